@@ -178,3 +178,14 @@ def quarter_range_in_text(text: Column | str) -> Column:
     )
     both = F.when(F.size(keys) >= 2, F.slice(keys, 1, 2))
     return F.struct(F.array_min(both).alias("from_quarter"), F.array_max(both).alias("to_quarter"))
+
+
+def quarter_keys(start: str, end: str) -> list[str]:
+    """Quarter keys between two keys, oldest first."""
+    def index(key: str) -> int:
+        return int(key[:4]) * 4 + (int(key[4:6]) - 1) // 3
+
+    return [
+        f"{i // 4:04d}" + ("0331", "0630", "0930", "1231")[i % 4]
+        for i in range(index(start), index(end) + 1)
+    ]
