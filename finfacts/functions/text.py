@@ -75,7 +75,7 @@ def short_name(c: Column | str) -> Column:
 
 def split_list(c: Column | str) -> Column:
     """Comma list to trimmed, non-blank items."""
-    return F.filter(F.transform(F.split(_col(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def contains_any(c: Column | str, phrases: Sequence[str]) -> Column:
