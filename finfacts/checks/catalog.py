@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from finfacts.checks import catalog_facts, catalog_items  # noqa: F401  (import registers)
+from finfacts.checks import catalog_facts, catalog_flow, catalog_items  # noqa: F401  (import registers)
 from finfacts.checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

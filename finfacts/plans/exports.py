@@ -21,6 +21,7 @@ def write_csv(frame: DataFrame, path: str, missing: str = "-") -> None:
         frame.select(*cells).write.mode("overwrite")
         .option("header", "true").option("quoteAll", "true").option("escape", '"')
         .option("emptyValue", "").option("lineSep", "\n")
+        .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
         .csv(path)
     )
 
