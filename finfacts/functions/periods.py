@@ -26,18 +26,38 @@ def is_quarter_key(c: Column | str) -> Column:
     return F.coalesce(_col(c).rlike(QUARTER_KEY), F.lit(False))
 
 
+# Keys are put together from integers: per-row date formatting costs more than a scan does.
+
+def quarter_index(d: Column | str) -> Column:
+    """Date or timestamp to a running quarter number, the cheapest key to group by."""
+    d = _col(d)
+    return F.year(d) * 4 + F.quarter(d) - 1
+
+
+def quarter_key(year: Column, quarter: Column) -> Column:
+    month_day = F.when(quarter == 1, 331).when(quarter == 2, 630).when(quarter == 3, 930).when(quarter == 4, 1231)
+    return F.lpad((year * 10000 + month_day).cast("string"), 8, "0")
+
+
+def index_to_key(index: Column | str) -> Column:
+    i = _col(index)
+    return quarter_key(F.floor(i / 4).cast("int"), i % 4 + 1)
+
+
 def quarter_end(d: Column | str) -> Column:
     """Date or timestamp to the key of its quarter's last day."""
     d = _col(d)
-    return F.date_format(F.last_day(F.make_date(F.year(d), F.quarter(d) * 3, F.lit(1))), "yyyyMMdd")
+    return quarter_key(F.year(d), F.quarter(d))
 
 
-def quarter_key(year: Column, quarter: Column) -> Column:
-    return F.date_format(F.last_day(F.make_date(year, quarter * 3, F.lit(1))), "yyyyMMdd")
+def day_key(d: Column | str) -> Column:
+    """Date or timestamp to YYYYMMDD text."""
+    d = _col(d)
+    return F.lpad((F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("string"), 8, "0")
 
 
 def quarter_period(year: Column, quarter: Column) -> Column:
-    return F.date_format(F.last_day(F.make_date(year, quarter * 3, F.lit(1))), "MM/dd/yyyy")
+    return key_to_period(quarter_key(year, quarter))
 
 
 def quarter_label(q: Column | str) -> Column:
@@ -51,12 +71,21 @@ def quarter_label(q: Column | str) -> Column:
 
 
 def key_to_period(q: Column | str) -> Column:
+    """YYYYMMDD to MM/DD/YYYY by position; NULL unless there are eight characters."""
     q = _col(q)
-    return F.date_format(F.try_to_timestamp(q, F.lit("yyyyMMdd")), "MM/dd/yyyy")
+    return F.when(
+        F.length(q) == 8,
+        F.concat(F.substring(q, 5, 2), F.lit("/"), F.substring(q, 7, 2), F.lit("/"), F.substring(q, 1, 4)),
+    )
 
 
 def period_to_key(p: Column | str) -> Column:
-    return F.date_format(F.try_to_timestamp(_col(p), F.lit("MM/dd/yyyy")), "yyyyMMdd")
+    """MM/DD/YYYY to YYYYMMDD by position; NULL unless it has that shape."""
+    p = _col(p)
+    return F.when(
+        p.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
+        F.concat(F.substring(p, 7, 4), F.substring(p, 1, 2), F.substring(p, 4, 2)),
+    )
 
 
 def two_years_back(q: Column | str) -> Column:

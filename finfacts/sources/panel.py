@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from finfacts.functions.numeric import round_half_up, strict_number
-from finfacts.functions.periods import key_to_period, quarter_end, quarter_label
+from finfacts.functions.numeric import fixed_text, round_half_up, strict_number
+from finfacts.functions.periods import (
+    day_key, index_to_key, key_to_period, quarter_end, quarter_index, quarter_label,
+)
 
 # Asset-size buckets scaled to the panel's price sums, [low, high).
 PANEL_BUCKETS = [
@@ -106,27 +108,37 @@ def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cents(c: Column | str) -> Column:
+    """A two-decimal amount as a whole number: sums of it are exact in any order, and unlike
+    decimals they stay primitive in generated code."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 100.0 + 0.5)
+
+
 def panel_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (supplier, ship quarter). Sums are decimal, so order never matters;
-    the aggregate combines map-side, so a hot supplier costs no more than a cold one."""
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    """One row per (supplier, ship quarter). Grouped by two integers and combined map-side, so a
+    hot supplier costs no more than a cold one; key text is made after the aggregate."""
+    price = cents("l_extendedprice")
     is_r = F.col("l_returnflag") == "R"
     is_n = F.col("l_returnflag") == "N"
     is_fa = (F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")
+    total = lambda c: F.sum(c).cast("double") / 100.0
     return (
         table(spark, sf_dir, "lineitem")
         .where(F.col("l_shipdate").isNotNull() & F.col("l_suppkey").isNotNull())
-        .groupBy("l_suppkey", quarter_end("l_shipdate").alias("quarter_date"))
+        .groupBy("l_suppkey", quarter_index("l_shipdate").alias("quarter_index"))
         .agg(
-            F.sum(price).cast("double").alias("price"),
-            F.sum(F.when(is_n, price).otherwise(F.lit(0))).cast("double").alias("price_n"),
-            F.sum(F.when(is_fa, price)).cast("double").alias("price_fa"),
-            F.sum(F.when(is_r, price)).cast("double").alias("price_r"),
-            F.sum(F.col("l_tax").cast("decimal(12,2)")).cast("double").alias("tax"),
-            F.sum(F.col("l_discount").cast("decimal(12,2)")).cast("double").alias("discount"),
-            F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"),
+            total(price).alias("price"),
+            total(F.when(is_n, price).otherwise(F.lit(0))).alias("price_n"),
+            total(F.when(is_fa, price)).alias("price_fa"),
+            total(F.when(is_r, price)).alias("price_r"),
+            total(cents("l_tax")).alias("tax"),
+            total(cents("l_discount")).alias("discount"),
+            total(cents("l_quantity")).alias("quantity"),
             F.count(F.lit(1)).alias("n_lines"),
         )
+        .withColumn("quarter_date", index_to_key("quarter_index"))
+        .drop("quarter_index")
     )
 
 
@@ -153,7 +165,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, (code, v) in enumerate(values.items())
         ]
     )
-    text = F.col("r.v").cast("decimal(18,4)").cast("string")
+    text = fixed_text("r.v", 4)
     h = (F.col("l_suppkey") * 31 + F.col("quarter_date").cast("int") * 7 + F.col("r.ord") * 13) % 97
     # Text defects on about one value in ten, placed by a hash of the ids.
     raw = (
@@ -179,7 +191,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filing line items. ``ord`` is the filing order: any orderable value works as the
     ordinal, so no per-filing numbering (one task per filing) is needed."""
-    amount = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    amount = fixed_text("l_extendedprice", 2)
     defect = (F.col("l_orderkey") + F.col("l_linenumber")) % 29
     value = (
         F.when(defect == 0, "").when(defect == 1, "n/a").when(defect == 2, F.concat(amount, F.lit("%")))
@@ -200,7 +212,7 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
             pick(ITEM_CODES, (F.col("l_partkey") + 3 * F.col("l_linenumber")) % len(ITEM_CODES))
             .alias("item_code"),
             value.alias("value_raw"),
-            F.date_format("l_shipdate", "yyyyMMdd").alias("last_update"),
+            day_key("l_shipdate").alias("last_update"),
             pick(ITEM_TEXTS, (F.col("l_partkey") + F.col("l_linenumber")) % len(ITEM_TEXTS))
             .alias("description"),
             pick(ITEM_SCHEDULES, F.col("l_linenumber") - 1).alias("schedule"),
