@@ -50,16 +50,12 @@ def round_half_up(c: Column | str, digits: int) -> Column:
 
 
 def fixed_text(c: Column | str, digits: int) -> Column:
-    """Fixed-point text, ties away from zero, through integers so no engine formatting is involved."""
-    x, scale = _col(c), 10**digits
-    units = F.floor(F.abs(x) * float(scale) + 0.5)
-    sign = F.when(x < 0, "-").otherwise("")
-    whole = (units - units % scale) / scale
-    if digits == 0:
-        return F.concat(sign, units.cast("string"))
+    """Fixed-point text, ties away from zero. The value is rounded before it becomes a decimal, so no
+    engine's float formatting is involved; the expression stays small because callers nest it."""
+    x, scale = _col(c), float(10**digits)
+    rounded = F.floor(F.abs(x) * scale + 0.5) / scale
     return F.concat(
-        sign, whole.cast("bigint").cast("string"), F.lit("."),
-        F.lpad((units % scale).cast("string"), digits, "0"),
+        F.when(x < 0, "-").otherwise(""), rounded.try_cast(f"decimal(30,{digits})").cast("string")
     )
 
 

@@ -34,9 +34,19 @@ def quarter_index(d: Column | str) -> Column:
     return F.year(d) * 4 + F.quarter(d) - 1
 
 
+def _listed(quarter: Column, values: tuple[str, ...]) -> Column:
+    """The quarter's entry of a constant list; an out-of-range quarter gives NULL."""
+    return F.get(F.array(*map(F.lit, values)), quarter - 1)
+
+
 def quarter_key(year: Column, quarter: Column) -> Column:
-    month_day = F.when(quarter == 1, 331).when(quarter == 2, 630).when(quarter == 3, 930).when(quarter == 4, 1231)
-    return F.lpad((year * 10000 + month_day).cast("string"), 8, "0")
+    return F.concat(F.lpad(year.cast("string"), 4, "0"), _listed(quarter, ("0331", "0630", "0930", "1231")))
+
+
+def quarter_period(year: Column, quarter: Column) -> Column:
+    return F.concat(
+        _listed(quarter, ("03/31/", "06/30/", "09/30/", "12/31/")), F.lpad(year.cast("string"), 4, "0")
+    )
 
 
 def index_to_key(index: Column | str) -> Column:
@@ -52,12 +62,7 @@ def quarter_end(d: Column | str) -> Column:
 
 def day_key(d: Column | str) -> Column:
     """Date or timestamp to YYYYMMDD text."""
-    d = _col(d)
-    return F.lpad((F.year(d) * 10000 + F.month(d) * 100 + F.dayofmonth(d)).cast("string"), 8, "0")
-
-
-def quarter_period(year: Column, quarter: Column) -> Column:
-    return key_to_period(quarter_key(year, quarter))
+    return F.replace(_col(d).cast("date").cast("string"), F.lit("-"), F.lit(""))
 
 
 def quarter_label(q: Column | str) -> Column:

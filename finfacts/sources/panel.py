@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from finfacts.functions.numeric import fixed_text, round_half_up, strict_number
+from finfacts.functions.numeric import round_half_up, strict_number
 from finfacts.functions.periods import (
-    day_key, index_to_key, key_to_period, quarter_end, quarter_index, quarter_label,
+    day_key, index_to_key, key_to_period, quarter_end, quarter_index, quarter_label, quarter_period,
 )
 
 # Asset-size buckets scaled to the panel's price sums, [low, high).
@@ -89,7 +89,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(values: list[str], index: Column) -> Column:
     """Element of a constant list by 0-based position."""
-    return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
+    return F.get(F.array(*map(F.lit, values)), index.cast("int"))
 
 
 def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +165,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, (code, v) in enumerate(values.items())
         ]
     )
-    text = fixed_text("r.v", 4)
+    text = F.col("r.v").cast("decimal(18,4)").cast("string")
     h = (F.col("l_suppkey") * 31 + F.col("quarter_date").cast("int") * 7 + F.col("r.ord") * 13) % 97
     # Text defects on about one value in ten, placed by a hash of the ids.
     raw = (
@@ -191,7 +191,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filing line items. ``ord`` is the filing order: any orderable value works as the
     ordinal, so no per-filing numbering (one task per filing) is needed."""
-    amount = fixed_text("l_extendedprice", 2)
+    amount = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
     defect = (F.col("l_orderkey") + F.col("l_linenumber")) % 29
     value = (
         F.when(defect == 0, "").when(defect == 1, "n/a").when(defect == 2, F.concat(amount, F.lit("%")))
@@ -205,7 +205,7 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("l_suppkey").cast("string").alias("rssd_id"),
             quarter.alias("quarter_date"),
-            key_to_period(quarter).alias("reporting_period"),
+            quarter_period(F.year("l_shipdate"), F.quarter("l_shipdate")).alias("reporting_period"),
             F.struct(
                 "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"
             ).alias("ord"),
