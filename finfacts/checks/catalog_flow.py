@@ -376,11 +376,9 @@ def word_sql(phrases) -> str:
 @query("qr01_route_words", Q + f"""
 SELECT question_id, CASE WHEN {word_sql(ref.ROUTE_OUT_OF_SCOPE)} THEN 'out_of_scope' WHEN {word_sql(ref.ROUTE_DATA)} THEN 'data'
   WHEN {word_sql(ref.ROUTE_KNOWLEDGE)} THEN 'knowledge' WHEN coalesce(rssd_id, '') <> '' THEN 'data' ELSE 'knowledge' END AS route
-FROM questions WHERE question_id LIKE 'p-%'""")
+FROM questions""")
 def _(spark, sf):
-    # Word boundaries beside accented letters differ between engines, so prose turns stay out here.
-    asked = questions(spark, sf).where(F.col("question_id").startswith("p-"))
-    return asked.select("question_id", qn.route("question", F.col("rssd_id"), word_boundary=True).alias("route"))
+    return questions(spark, sf).select("question_id", qn.route("question", F.col("rssd_id"), word_boundary=True).alias("route"))
 
 
 @query("qr02_intent", Q + f"""
@@ -490,10 +488,9 @@ def _(spark, sf):
 SELECT question_id, coalesce(nullif(array_to_string(list_filter(rc, lambda x, i: list_position(rc, x) = i), ','), ''), 'UBPRE013,UBPRE018,UBPRD487,UBPRD486') AS codes,
   coalesce(nullif(array_to_string(list_filter(sc, lambda x, i: list_position(sc, x) = i), ','), ''), 'RC,RI') AS schedules
 FROM (SELECT question_id, regexp_extract_all(upper(question), '\bUBPR[A-Z0-9]{4,}\b') AS rc,
-  regexp_extract_all(upper(question), '\bRC(?:-[A-Z]+)?\b|\bRI(?:-[A-Z]+)?\b') AS sc FROM questions WHERE question_id LIKE 'p-%')""")
+  regexp_extract_all(upper(question), '\bRC(?:-[A-Z]+)?\b|\bRI(?:-[A-Z]+)?\b') AS sc FROM questions)""")
 def _(spark, sf):
-    asked = questions(spark, sf).where(F.col("question_id").startswith("p-"))
-    return asked.select(
+    return questions(spark, sf).select(
         "question_id", F.array_join(qn.trend_codes("question"), ",").alias("codes"),
         F.array_join(qn.asked_schedules("question"), ",").alias("schedules"),
     )

@@ -71,27 +71,30 @@ def grouped_text(c: Column | str, max_fraction: int = 3) -> Column:
     return F.concat(sign, whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
 
 
-def _scaled_money(x: Column, below_million: Column) -> Column:
+def _magnitude(x: Column) -> tuple[Column, Column]:
+    """Divisor and unit letter of an amount, ``(1, "")`` below a million. Scaling first keeps every
+    money text a single formatting expression."""
     size = F.abs(x)
-    return (
-        F.when(size >= 1e12, F.concat(F.lit("$"), fixed_text(x / 1e12, 2), F.lit("T")))
-        .when(size >= 1e9, F.concat(F.lit("$"), fixed_text(x / 1e9, 2), F.lit("B")))
-        .when(size >= 1e6, F.concat(F.lit("$"), fixed_text(x / 1e6, 2), F.lit("M")))
-        .otherwise(below_million)
-    )
+    divisor = F.when(size >= 1e12, 1e12).when(size >= 1e9, 1e9).when(size >= 1e6, 1e6).otherwise(1.0)
+    unit = F.when(size >= 1e12, "T").when(size >= 1e9, "B").when(size >= 1e6, "M").otherwise("")
+    return divisor, unit
 
 
 def money_text(c: Column | str) -> Column:
     """Dashboard money: T/B/M with two decimals, plain dollars below a million, ``-`` for NULL."""
     x = _col(c)
-    return F.coalesce(_scaled_money(x, F.concat(F.lit("$"), fixed_text(x, 2))), F.lit("-"))
+    divisor, unit = _magnitude(x)
+    return F.coalesce(F.concat(F.lit("$"), fixed_text(x / divisor, 2), unit), F.lit("-"))
 
 
 def money_tool_text(c: Column | str) -> Column:
     """Assistant money: whole grouped dollars (half-even) below a million, ``N/A`` for NULL."""
     x = _col(c)
-    whole = F.concat(F.lit("$"), F.format_number(F.rint(x).cast("bigint"), 0))
-    return F.coalesce(_scaled_money(x, whole), F.lit("N/A"))
+    divisor, unit = _magnitude(x)
+    digits = F.when(F.abs(x) >= 1e6, fixed_text(x / divisor, 2)).otherwise(
+        F.format_number(F.rint(x).cast("bigint"), 0)
+    )
+    return F.coalesce(F.concat(F.lit("$"), digits, unit), F.lit("N/A"))
 
 
 def percent_text(c: Column | str, digits: int = 2) -> Column:
@@ -103,9 +106,13 @@ def fraction_percent_text(c: Column | str) -> Column:
 
 
 def auto_text(c: Column | str) -> Column:
-    """Money from a million up, percent below."""
+    """Money from a million up, percent below; NULL stays NULL."""
     x = _col(c)
-    return F.when(F.abs(x) >= 1e6, money_text(x)).otherwise(percent_text(x))
+    divisor, unit = _magnitude(x)
+    big = F.abs(x) >= 1e6
+    return F.concat(
+        F.when(big, "$").otherwise(""), fixed_text(x / divisor, 2), F.when(big, unit).otherwise("%")
+    )
 
 
 def custom_ratio_text(raw: Column, scale: Column, already_percent: Column) -> Column:

@@ -47,30 +47,39 @@ def _memberships(size: Column, buckets: Sequence[Bucket]) -> Column:
 
 
 def _peer_rows(facts: DataFrame, codes: Sequence[str], buckets: Sequence[Bucket]) -> DataFrame:
-    """One row per institution and quarter: every castable value, the valid ratios, the size."""
-    wanted = [*codes, SIZE_CODE]
-    is_code = {c: F.col("code") == c for c in wanted}
-    valid = is_ratio("value_raw")
+    """One row per institution and quarter with a column ``v_<code>`` per code, and the memberships.
+
+    A zero text that counts for peers but is no reported ratio is kept as NaN (no text parses to
+    NaN). With one column per code the group totals and the institutions' own rows read exactly
+    the same aggregate, so Spark runs it once and reuses its shuffle for both.
+    """
+    value = F.when(is_ratio("value_raw"), F.col("value_num")).when(
+        F.col("value_num").isNotNull(), F.lit(float("nan"))
+    )
     return (
-        facts.where(F.col("code").isin(wanted))
+        facts.where(F.col("code").isin([*codes, SIZE_CODE]))
         .groupBy(*CELL)
         .agg(
-            F.max(F.when(is_code[SIZE_CODE], F.col("value_num"))).alias("size"),
-            *[F.max(F.when(is_code[c], F.col("value_num"))).alias(f"num_{c}") for c in codes],
-            *[F.max(F.when(is_code[c] & valid, F.col("value_num"))).alias(f"own_{c}") for c in codes],
+            F.max(F.when(F.col("code") == SIZE_CODE, F.col("value_num"))).alias("size"),
+            *[F.max(F.when(F.col("code") == c, value)).alias(f"v_{c}") for c in codes],
         )
         .withColumn("groups", _memberships(F.col("size"), buckets))
     )
 
 
+def _counted(code: str) -> Column:
+    """The value as peers count it."""
+    return F.nanvl(F.col(f"v_{code}"), F.lit(0.0))
+
+
 def _totals(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
     return (
-        rows.select(*CELL, *[f"num_{c}" for c in codes], F.inline("groups"))
+        rows.select(*CELL, *[f"v_{c}" for c in codes], F.inline("groups"))
         .where("is_member")
         .groupBy("quarter_date", "peer_group")
         .agg(
-            *[F.sum(F.col(f"num_{c}").cast("decimal(30,8)")).alias(f"sum_{c}") for c in codes],
-            *[F.count(f"num_{c}").alias(f"n_{c}") for c in codes],
+            *[F.sum(_counted(c).cast("decimal(30,8)")).alias(f"sum_{c}") for c in codes],
+            *[F.count(f"v_{c}").alias(f"n_{c}") for c in codes],
         )
     )
 
@@ -127,31 +136,29 @@ def leave_one_out(
     if QUARTER_DOMAIN * len(names) * len(codes) * 2 <= BROADCAST_CELLS:
         totals = F.broadcast(totals)
     asked = (
-        rows.select(*CELL, *[f"num_{c}" for c in codes], *[f"own_{c}" for c in codes], F.inline("groups"))
+        rows.select(*CELL, *[f"v_{c}" for c in codes], F.inline("groups"))
         .where(F.col("peer_group").isin(wanted))
     )
     cells = F.array(
         *[
             F.struct(
-                F.lit(c).alias("code"),
-                F.col(f"own_{c}").alias("bank_value"),
-                (F.col("is_member") & F.col(f"num_{c}").isNotNull()).alias("counted"),
-                F.col(f"num_{c}").cast("decimal(30,8)").alias("num"),
-                F.col(f"sum_{c}").alias("total"),
-                F.coalesce(F.col(f"n_{c}"), F.lit(0)).alias("n"),
+                F.lit(c).alias("code"), F.col(f"v_{c}").alias("v"),
+                F.col(f"sum_{c}").alias("total"), F.col(f"n_{c}").alias("n"),
             )
             for c in codes
         ]
     )
-    n_peers = F.col("n") - F.col("counted").cast("bigint")
-    others = F.when(F.col("counted"), F.col("total") - F.col("num")).otherwise(F.col("total"))
+    # Only reported ratios get a row, and those are always castable, so a member is always counted.
+    own = F.when(F.col("is_member"), F.col("v").cast("decimal(30,8)")).otherwise(F.lit(0))
+    n_peers = F.coalesce("n", F.lit(0)) - F.col("is_member").cast("bigint")
     return (
         asked.join(totals, ["quarter_date", "peer_group"], "left")
-        .select(*CELL, "peer_group", F.inline(cells))
-        .where(F.col("bank_value").isNotNull())
+        .select(*CELL, "peer_group", "is_member", F.inline(cells))
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .select(
-            *CELL, "peer_group", "code", "bank_value", n_peers.alias("n_peers"),
-            round_half_up(others.cast("double") / F.nullif(n_peers, F.lit(0)), 6).alias("peer_average"),
+            *CELL, "peer_group", "code", F.col("v").alias("bank_value"), n_peers.alias("n_peers"),
+            round_half_up((F.col("total") - own).cast("double") / F.nullif(n_peers, F.lit(0)), 6)
+            .alias("peer_average"),
         )
     )
 

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture more than doubles the driver time spent building wide expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Archives are few and large, so one file per split is the useful grain there;
     # Parquet scans keep the 128 MB default.
     "spark.sql.files.maxPartitionBytes": "128m",

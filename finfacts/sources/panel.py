@@ -165,24 +165,25 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, (code, v) in enumerate(values.items())
         ]
     )
-    text = F.col("r.v").cast("decimal(18,4)").cast("string")
-    h = (F.col("l_suppkey") * 31 + F.col("quarter_date").cast("int") * 7 + F.col("r.ord") * 13) % 97
-    # Text defects on about one value in ten, placed by a hash of the ids.
-    raw = (
-        F.when(h == 0, "0000").when(h == 1, "").when(h == 2, "n/a").when(h == 3, "1,234")
-        .when(h == 4, F.concat(text, F.lit("%"))).when(h == 5, F.concat(F.lit(" "), text, F.lit(" ")))
-        .when(h == 6, "0.0").when(h == 7, "nan").when(h == 8, "1d").when(h == 9, "1_000")
-        .when(h == 10, "0").otherwise(text)
-    )
+    def stored_text(r: Column) -> Column:
+        text = r["v"].cast("decimal(18,4)").cast("string")
+        h = (F.col("l_suppkey") * 31 + F.col("quarter_date").cast("int") * 7 + r["ord"] * 13) % 97
+        # Text defects on about one value in ten, placed by a hash of the ids.
+        raw = (
+            F.when(h == 0, "0000").when(h == 1, "").when(h == 2, "n/a").when(h == 3, "1,234")
+            .when(h == 4, F.concat(text, F.lit("%"))).when(h == 5, F.concat(F.lit(" "), text, F.lit(" ")))
+            .when(h == 6, "0.0").when(h == 7, "nan").when(h == 8, "1d").when(h == 9, "1_000")
+            .when(h == 10, "0").otherwise(text)
+        )
+        return F.struct(r["code"].alias("code"), raw.alias("value_raw"))
+
+    # The text is made before the explode, so later steps see a plain column, as in a stored table.
+    reported = F.filter(rows, lambda r: r["v"].isNotNull())
     return (
         panel_cells(spark, sf_dir)
-        .select("l_suppkey", "quarter_date", F.explode(rows).alias("r"))
-        .where(F.col("r.v").isNotNull())
         .select(
-            F.col("l_suppkey").cast("string").alias("rssd_id"),
-            "quarter_date",
-            F.col("r.code").alias("code"),
-            raw.alias("value_raw"),
+            F.col("l_suppkey").cast("string").alias("rssd_id"), "quarter_date",
+            F.inline(F.transform(reported, stored_text)),
         )
         .withColumn("value_num", strict_number("value_raw"))
     )
