@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from finfacts.reference_data import QUARTER_NAMES
 
-# A quarter key names the last day of a calendar quarter of years 1900-2199, so a
-# frame with one row per quarter has at most QUARTER_DOMAIN rows.
+# A quarter key names the last day of a calendar quarter. Four-digit years have 40,000 of
+# them, so a frame with one row per quarter has at most QUARTER_DOMAIN rows; files whose name
+# holds no key of QUARTER_KEY are not ingested.
 QUARTER_KEY = r"^(19|20|21)[0-9]{2}(0331|0630|0930|1231)$"
-QUARTER_DOMAIN = 1200
+QUARTER_DOMAIN = 40_000
 
 
 def _col(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from finfacts.functions.numeric import is_ratio, round_half_up
-from finfacts.functions.periods import QUARTER_DOMAIN, is_quarter_key
+from finfacts.functions.periods import QUARTER_DOMAIN
 from finfacts.operators.facts import CELL, with_meta
 from finfacts.reference_data import PEER_BUCKETS, PEER_CODES, PEER_GROUP_ALIASES, SIZE_CODE
 
@@ -51,13 +51,18 @@ def _peer_rows(facts: DataFrame, codes: Sequence[str], buckets: Sequence[Bucket]
 
     A zero text that counts for peers but is no reported ratio is kept as NaN (no text parses to
     NaN). With one column per code the group totals and the institutions' own rows read exactly
-    the same aggregate, so Spark runs it once and reuses its shuffle for both.
+    the same aggregate, so Spark runs it once and reuses its shuffle for both. Facts are keyed by
+    calendar quarter ends, which bounds the size of the group totals.
     """
+    # The NaN is computed from the zero itself: two NaN literals never compare equal, which would
+    # make the two uses of this aggregate look different to the planner.
     value = F.when(is_ratio("value_raw"), F.col("value_num")).when(
-        F.col("value_num").isNotNull(), F.lit(float("nan"))
+        F.col("value_num").isNotNull(), F.sqrt(F.col("value_num") - 1.0)
     )
     return (
         facts.where(F.col("code").isin([*codes, SIZE_CODE]))
+        # The join below adds the NULL test to one of its sides only; said here, both have it.
+        .where(F.col("quarter_date").isNotNull())
         .groupBy(*CELL)
         .agg(
             F.max(F.when(F.col("code") == SIZE_CODE, F.col("value_num"))).alias("size"),
@@ -132,7 +137,7 @@ def leave_one_out(
     wanted = [peer_group(g) for g in groups] if groups is not None else names
     rows = _peer_rows(facts, codes, buckets)
     # At most one totals row per calendar quarter and group, whatever the data volume.
-    totals = _totals(rows, codes).where(is_quarter_key("quarter_date"))
+    totals = _totals(rows, codes)
     if QUARTER_DOMAIN * len(names) * len(codes) * 2 <= BROADCAST_CELLS:
         totals = F.broadcast(totals)
     asked = (

@@ -42,6 +42,13 @@ def test_peers_use_no_pairwise_join(spark, stored):
     assert "SortMergeJoin" not in text
 
 
+def test_peers_scan_once(spark, stored):
+    frame = peers.leave_one_out(store.read_facts(spark, stored), buckets=PANEL_BUCKETS)
+    frame.collect()
+    # The totals and the institutions' own rows come from one shuffled aggregate.
+    assert frame._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+
+
 def test_top_rows_limit_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(QUERIES["srt05_top10_schedule"](spark, sf_dir))
     assert "WindowGroupLimit" in plan(trends.sparkline(facts(spark, sf_dir)))
