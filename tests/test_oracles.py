@@ -5,7 +5,7 @@ import pytest
 from finfacts.checks.catalog import ORACLES, QUERIES
 from finfacts.checks.compare import difference
 
-# Empty at the smallest scale: its twenty-eight quarters fit the budget.
+# A query may have no rows at the smallest scale.
 EMPTY_OK = {"no rows on either side"}
 
 
