@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from .op02_quality_rules import ORACLE as _sql2
 from .op02_quality_rules import op2_quality_rules
+from .op04_secret_scans import op4_secret_scans
 from .op06_url_filters import ORACLE as _sql6
 from .op06_url_filters import op6_url_filters
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_url_filters": op6_url_filters}
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op4_secret_scans": op4_secret_scans,
+    "op6_url_filters": op6_url_filters,
+}
 ORACLES = {"op2_quality_rules": _sql2, "op6_url_filters": _sql6}
