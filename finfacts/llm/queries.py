@@ -7,10 +7,14 @@ from .op02_quality_rules import op2_quality_rules
 from .op04_secret_scans import op4_secret_scans
 from .op06_url_filters import ORACLE as _sql6
 from .op06_url_filters import op6_url_filters
+from .op07_language_id import op7_language_id
+from .op10_source_mixing import op10_source_mixing
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scans": op4_secret_scans,
     "op6_url_filters": op6_url_filters,
+    "op7_language_id": op7_language_id,
+    "op10_source_mixing": op10_source_mixing,
 }
 ORACLES = {"op2_quality_rules": _sql2, "op6_url_filters": _sql6}
