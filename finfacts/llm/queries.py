@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op01_toxicity import op1_toxicity
 from .op02_quality_rules import ORACLE as _sql2
 from .op02_quality_rules import op2_quality_rules
 from .op04_secret_scans import op4_secret_scans
@@ -11,6 +12,7 @@ from .op07_language_id import op7_language_id
 from .op10_source_mixing import op10_source_mixing
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op4_secret_scans": op4_secret_scans,
     "op6_url_filters": op6_url_filters,
