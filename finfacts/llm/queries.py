@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op01_toxicity import op1_toxicity
 from .op02_quality_rules import ORACLE as _sql2
 from .op02_quality_rules import op2_quality_rules
+from .op03_sentencepiece import op3_sentencepiece
 from .op04_secret_scans import op4_secret_scans
 from .op06_url_filters import ORACLE as _sql6
 from .op06_url_filters import op6_url_filters
@@ -14,6 +15,7 @@ from .op10_source_mixing import op10_source_mixing
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_secret_scans": op4_secret_scans,
     "op6_url_filters": op6_url_filters,
     "op7_language_id": op7_language_id,
