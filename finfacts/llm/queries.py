@@ -7,6 +7,8 @@ from .op02_quality_rules import ORACLE as _sql2
 from .op02_quality_rules import op2_quality_rules
 from .op03_sentencepiece import op3_sentencepiece
 from .op04_secret_scans import op4_secret_scans
+from .op05_minhash import ORACLE as _sql5
+from .op05_minhash import op5_minhash
 from .op06_url_filters import ORACLE as _sql6
 from .op06_url_filters import op6_url_filters
 from .op07_language_id import op7_language_id
@@ -17,8 +19,9 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_secret_scans": op4_secret_scans,
+    "op5_minhash": op5_minhash,
     "op6_url_filters": op6_url_filters,
     "op7_language_id": op7_language_id,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op2_quality_rules": _sql2, "op6_url_filters": _sql6}
+ORACLES = {"op2_quality_rules": _sql2, "op5_minhash": _sql5, "op6_url_filters": _sql6}
