@@ -12,6 +12,8 @@ from .op05_minhash import op5_minhash
 from .op06_url_filters import ORACLE as _sql6
 from .op06_url_filters import op6_url_filters
 from .op07_language_id import op7_language_id
+from .op09_substring_dedup import ORACLE as _sql9
+from .op09_substring_dedup import op9_substring_dedup
 from .op10_source_mixing import op10_source_mixing
 
 QUERIES = {
@@ -22,6 +24,12 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_url_filters": op6_url_filters,
     "op7_language_id": op7_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op2_quality_rules": _sql2, "op5_minhash": _sql5, "op6_url_filters": _sql6}
+ORACLES = {
+    "op2_quality_rules": _sql2,
+    "op5_minhash": _sql5,
+    "op6_url_filters": _sql6,
+    "op9_substring_dedup": _sql9,
+}
