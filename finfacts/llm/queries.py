@@ -12,6 +12,8 @@ from .op05_minhash import op5_minhash
 from .op06_url_filters import ORACLE as _sql6
 from .op06_url_filters import op6_url_filters
 from .op07_language_id import op7_language_id
+from .op08_embedding_dedup import ORACLE as _sql8
+from .op08_embedding_dedup import op8_embedding_dedup
 from .op09_substring_dedup import ORACLE as _sql9
 from .op09_substring_dedup import op9_substring_dedup
 from .op10_source_mixing import op10_source_mixing
@@ -24,6 +26,7 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_url_filters": op6_url_filters,
     "op7_language_id": op7_language_id,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
@@ -31,5 +34,6 @@ ORACLES = {
     "op2_quality_rules": _sql2,
     "op5_minhash": _sql5,
     "op6_url_filters": _sql6,
+    "op8_embedding_dedup": _sql8,
     "op9_substring_dedup": _sql9,
 }
