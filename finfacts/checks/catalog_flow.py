@@ -12,7 +12,7 @@ from finfacts.checks import roundtrip, sqltext as S
 from finfacts.checks.registry import query
 from finfacts.functions import periods as per, text as txt
 from finfacts.operators import facts as fx, items as it, lifecycle as life, questions as qn
-from finfacts.plans import exports, tools
+from finfacts.plans import exports, ingestion, tools
 from finfacts.session import scratch_path
 from finfacts.sources import snapshots, store, xbrl
 from finfacts.sources.panel import PANEL_BUCKETS, facts, institutions, line_items, panel_cells, questions
@@ -154,7 +154,7 @@ def _bank_analysis_sql() -> str:
       '## Profitability', '- Return on Assets (ROA): ' || {_P('UBPRE013')}, '- Return on Equity (ROE): ' || {_P('UBPRE630')},
       '- Net Interest Margin (NIM): ' || {_P('UBPRE018')}, '', '## Asset Quality',
       '- Non-Performing Loan Ratio: ' || {_P('UBPR7414')}, '- Net Charge-Off Rate: ' || {_P('UBPRE019')}, '',
-      '## Peer Comparison', '| Metric | This Bank | Peer Avg | Difference |',
+      '## Peer Comparison', '| Metric | This Bank | Peer Avg | Difference |', '| --- | --- | --- | --- |',
       '| ROA | ' || {_P('UBPRE013')} || ' | ' || {_P('peer_roa')} || ' | ' || {gap('UBPRE013', 'peer_roa')} || ' |',
       '| NIM | ' || {_P('UBPRE018')} || ' | ' || {_P('peer_nim')} || ' | ' || {gap('UBPRE018', 'peer_nim')} || ' |') AS report
     FROM own o LEFT JOIN peer p ON p.rssd_id = o.rssd_id AND p.quarter_date = o.quarter_date LEFT JOIN institutions i ON i.rssd_id = o.rssd_id"""
@@ -204,7 +204,8 @@ def _(spark, sf):
 
 
 @query("tf05_available_periods", S.with_(_PERIODS_SQL) + """
-SELECT string_agg(period, ', ' ORDER BY quarter_date DESC) AS periods FROM (SELECT * FROM periods ORDER BY quarter_date DESC LIMIT 12)""")
+SELECT string_agg(period, ', ' ORDER BY quarter_date DESC) FILTER (WHERE pos <= 12) AS periods, count(*) AS n_periods
+FROM (SELECT *, row_number() OVER (ORDER BY quarter_date DESC) AS pos FROM periods)""")
 def _(spark, sf):
     return tools.get_available_periods(_period_snapshot(spark, sf))
 
@@ -351,6 +352,48 @@ def _(spark, sf):
     return spark.read.parquet(first_path).join(last().withColumnRenamed("outcome", "second_run"), "quarter_date")
 
 
+@query("rep12_run", S.with_(S.FACTS) + """
+, q AS (SELECT DISTINCT quarter_date FROM facts)
+SELECT 'completed' AS result, string_agg(quarter_date, ',' ORDER BY quarter_date DESC) FILTER (WHERE quarter_date <= '20010630') AS succeeded,
+  coalesce(string_agg(quarter_date, ',' ORDER BY quarter_date DESC) FILTER (WHERE quarter_date > '20010630'), '') AS deferred,
+  count(*) FILTER (WHERE quarter_date <= '20010630') AS total_quarters FROM q""".lstrip())
+def _(spark, sf):
+    """Plan, budget, load and run log in one run; the run log is read back."""
+    root = _landed(spark, sf)
+    ingestion.run(spark, f"{root}/in", f"{root}/facts", f"{root}/log", f"{root}/runs", f"{root}/checkpoint", AS_OF,
+                  start_year=START_YEAR, max_files_per_trigger=512)
+    return store.last_run(spark, f"{root}/runs").select(
+        "result", F.array_join("succeeded", ",").alias("succeeded"), F.array_join("deferred", ",").alias("deferred"),
+        "total_quarters")
+
+
+@query("src10_last_run", S.with_(S.FACTS) + """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT quarter_date FROM facts)) AS total_quarters, 0::BIGINT AS rows_when_absent""")
+def _(spark, sf):
+    """The newest run of several, and no row when no log exists."""
+    from datetime import datetime, timezone
+
+    path = scratch_path(spark, "runs")
+    absent = store.last_run(spark, path).count()
+    # One row per calendar quarter.
+    n = facts(spark, sf).select("quarter_date").distinct().count()
+    for year, total in ((2001, n), (1999, 0)):
+        store.append_run(spark, path, {"run_ts": datetime(year, 1, 1, tzinfo=timezone.utc), "total_quarters": total})
+    return store.last_run(spark, path).select("total_quarters", F.lit(absent).cast("bigint").alias("rows_when_absent"))
+
+
+@query("src01_wide_quarter", S.with_(S.FACTS) + "SELECT rssd_id, quarter_date, code, value_raw FROM facts")
+def _(spark, sf):
+    """Wide quarter tables with drifting columns, read back as long facts."""
+    path = scratch_path(spark, "wide")
+    rows = facts(spark, sf)
+    for name, part in (("old", "quarter_date <= '19981231'"), ("new", "quarter_date > '19981231'")):
+        some = rows.where(part)
+        codes = sorted(r[0] for r in some.select("code").distinct().collect())
+        fx.wide(some, codes).write.parquet(f"{path}/part={name}")
+    return store.read_wide(spark, path).where("code <> 'part'").select("rssd_id", "quarter_date", "code", "value_raw")
+
+
 # ---------------------------------------------------------------- questions
 
 Q = S.with_(S.QUESTIONS)

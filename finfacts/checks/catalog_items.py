@@ -20,6 +20,12 @@ BASE = S.with_(S.ITEMS)
 VARIANT_CODES = [c for _, codes in ref.METRIC_VARIANTS for c in codes]
 
 
+def _periods(spark, sf):
+    """The panel's own calendar: every quarter between the first and the last that a line has."""
+    span = line_items(spark, sf).agg(F.min("quarter_date").alias("a"), F.max("quarter_date").alias("b")).first()
+    return [f"{k[4:6]}/{k[6:]}/{k[:4]}" for k in (per.quarter_keys(span.a, span.b) if span.a else [])]
+
+
 def items(spark, sf):
     return it.with_section(line_items(spark, sf))
 
@@ -126,7 +132,7 @@ _PIVOT = "SELECT rssd_id, section, item_code, arg_min(description, ROW(ord, desc
 
 @query("agg06_pivot", BASE + _PIVOT.format(src="items"))
 def _(spark, sf):
-    return it.report_by_period(items(spark, sf), PERIODS)
+    return it.report_by_period(items(spark, sf), _periods(spark, sf))
 
 
 @query("agg09_counts", BASE + """
@@ -195,7 +201,7 @@ _METRIC_ROWS = _METRIC_CTES.rstrip() + ", " + _metric_rows_sql()
     f"max(display) FILTER (WHERE reporting_period = '{p}') AS \"{p}\"" for p in PERIODS
 ) + " FROM metric_rows GROUP BY 1, 2, 3, 4, 5")
 def _(spark, sf):
-    return it.metric_matrix(it.metrics(items(spark, sf)), PERIODS)
+    return it.metric_matrix(it.metrics(items(spark, sf)), _periods(spark, sf))
 
 
 @query("tf06_metrics", _METRIC_ROWS + " SELECT rssd_id, reporting_period, metric_ord, metric, text FROM metric_rows")
@@ -337,7 +343,7 @@ def _(spark, sf):
 
 @query("rep08_custom", S.with_(S.ITEMS, _OVER, _SELECTED) + _PIVOT.format(src="chosen"))
 def _(spark, sf):
-    return it.report_by_period(_chosen(spark, sf), PERIODS)
+    return it.report_by_period(_chosen(spark, sf), _periods(spark, sf))
 
 
 @query("rep09_section_browser", BASE + f"""
@@ -355,12 +361,12 @@ def _(spark, sf):
 , seclist AS (SELECT rssd_id, reporting_period, string_agg(section, ', ' ORDER BY section) AS sections
   FROM (SELECT DISTINCT rssd_id, reporting_period, section FROM items WHERE section IS NOT NULL) GROUP BY 1, 2)
 SELECT m.rssd_id, m.reporting_period, concat_ws(chr(10), '# Call Report Summary', '', '**Institution:** ' || coalesce(name, m.rssd_id), '**RSSD ID:** ' || m.rssd_id,
-  '**Reporting Period:** ' || m.reporting_period, '', '## Key Metrics', '| Metric | Value |',
+  '**Reporting Period:** ' || m.reporting_period, '', '## Key Metrics', '| Metric | Value |', '| --- | --- |',
   """.lstrip() + ", ".join(
     f"'| {label} | ' || {S.money_tool(m)} || ' |'" for label, m in [
         ("Total Assets", "total_assets"), ("Total Loans", "total_loans"), ("Total Deposits", "total_deposits"),
         ("Total Equity", "total_equity"), ("Net Income", "net_income")]
-) + ", '', '## Computed Ratios', '| Ratio | Value |', " + ", ".join(
+) + ", '', '## Computed Ratios', '| Ratio | Value |', '| --- | --- |', " + ", ".join(
     f"'| {label} | ' || {S.percent(f'({m} * 100.0::DOUBLE)')} || ' |'" for label, m in [
         ("Equity-to-Assets", "equity_to_assets"), ("Loans-to-Deposits", "loans_to_deposits")]
 ) + """, '', '## Available Schedules', coalesce(sections, '')) AS report

@@ -83,7 +83,7 @@ def bank_analysis(
         line("- Non-Performing Loan Ratio: ", _pct(F.col("UBPR7414"))),
         line("- Net Charge-Off Rate: ", _pct(F.col("UBPRE019"))), F.lit(""),
         F.lit("## Peer Comparison"),
-        F.lit("| Metric | This Bank | Peer Avg | Difference |"),
+        F.lit("| Metric | This Bank | Peer Avg | Difference |"), F.lit("| --- | --- | --- | --- |"),
         against("ROA", "UBPRE013", "peer_roa"),
         against("NIM", "UBPRE018", "peer_nim"),
     )
@@ -103,11 +103,11 @@ def call_summary(items: DataFrame, institutions: DataFrame) -> DataFrame:
         F.concat(F.lit("**Institution:** "), F.col("name")),
         F.concat(F.lit("**RSSD ID:** "), F.col("rssd_id")),
         F.concat(F.lit("**Reporting Period:** "), F.col("reporting_period")), F.lit(""),
-        F.lit("## Key Metrics"), F.lit("| Metric | Value |"),
+        F.lit("## Key Metrics"), F.lit("| Metric | Value |"), F.lit("| --- | --- |"),
         money("Total Assets", "total_assets"), money("Total Loans", "total_loans"),
         money("Total Deposits", "total_deposits"), money("Total Equity", "total_equity"),
         money("Net Income", "net_income"), F.lit(""),
-        F.lit("## Computed Ratios"), F.lit("| Ratio | Value |"),
+        F.lit("## Computed Ratios"), F.lit("| Ratio | Value |"), F.lit("| --- | --- |"),
         share("Equity-to-Assets", "equity_to_assets"), share("Loans-to-Deposits", "loans_to_deposits"),
         F.lit(""), F.lit("## Available Schedules"), F.coalesce("sections", F.lit("")),
     )
@@ -125,7 +125,7 @@ def regulatory_alerts(facts: DataFrame, institutions: DataFrame) -> DataFrame:
         F.concat(F.lit("**RSSD ID:** "), F.col("rssd_id")),
         F.concat(F.lit("**Quarter:** "), quarter_label("quarter_date")),
         F.concat(F.lit("**Alert Level:** "), F.col("status")), F.lit(""),
-        F.lit("| Ratio | Current | Minimum | Well-Capitalized |"),
+        F.lit("| Ratio | Current | Minimum | Well-Capitalized |"), F.lit("| --- | --- | --- | --- |"),
         F.concat(
             F.lit("| "), F.col("rule_label"), F.lit(" | "), _pct(F.col("value_num")), F.lit(" | "),
             fixed_text("minimum", 1), F.lit("% | "), fixed_text("well", 1), F.lit("% |"),

@@ -64,12 +64,12 @@ def flag_regulatory_issues(
 
 
 def get_available_periods(periods: DataFrame, n: int = 12) -> DataFrame:
-    """Newest ``n`` periods as one comma list with the total count. One row per period goes in."""
-    newest = periods.orderBy(F.col("quarter_date").desc()).limit(n)
-    mdy = F.transform(
-        F.sort_array(F.collect_list(F.struct("quarter_date", "period")), asc=False), lambda p: p["period"]
+    """Newest ``n`` periods as one comma list, and the count of all. One row per period goes in."""
+    ordered = F.sort_array(F.collect_list(F.struct("quarter_date", "period")), asc=False)
+    return periods.agg(ordered.alias("all")).select(
+        F.array_join(F.transform(F.slice("all", 1, n), lambda p: p["period"]), ", ").alias("periods"),
+        F.size("all").cast("bigint").alias("n_periods"),
     )
-    return newest.agg(F.array_join(mdy, ", ").alias("periods"))
 
 
 def get_bank_metrics(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finfacts.functions.numeric import strict_number
@@ -15,20 +18,19 @@ RUN_LOG = (
 ROWS_PER_FILE = 20_000_000
 
 
-def write_quarters(facts: DataFrame, path: str, files_per_quarter: int = 8) -> None:
+def write_quarters(facts: DataFrame, path: str) -> None:
     """Overwrite exactly the quarters present in ``facts``.
 
-    Rows of a quarter are dealt over ``files_per_quarter`` files by institution, so a quarter
-    with most of the data is not one task, and sorted so that the column statistics of each
-    file narrow a look-up by institution.
+    The rows are rebalanced by quarter: adaptive execution splits a quarter by its bytes and joins small
+    ones, so a heavy quarter becomes many tasks at any size. Rows are sorted so that the column statistics
+    of each file narrow a look-up by institution.
     """
     rows = facts.select(
         "rssd_id", "code", "value_raw",
         F.substring("quarter_date", 1, 4).alias("year"), F.col("quarter_date").alias("quarter"),
     )
-    slot = F.pmod(F.xxhash64("rssd_id"), F.lit(files_per_quarter))
     (
-        rows.repartition("year", "quarter", slot)
+        rows.hint("rebalance", "year", "quarter")
         .sortWithinPartitions("quarter", "rssd_id", "code")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -49,6 +51,25 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_wide(spark: SparkSession, path: str, codes: Sequence[str] | None = None) -> DataFrame:
+    """Wide quarter tables (``rssd_id, quarter_date``, one text column for each code; columns differ between
+    quarters) as long facts. The column names come from the files' schemas; no data is read for them.
+    ``codes`` narrows the columns that are scanned."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    names = [c for c in rows.columns if c not in ("rssd_id", "quarter_date", "year", "quarter")]
+    if codes is not None:
+        names = [c for c in names if c in set(codes)]
+    quarter = F.col("quarter_date" if "quarter_date" in rows.columns else "quarter").cast("string")
+    cells = F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"`{c}`").cast("string").alias("value_raw")) for c in names])
+    if not names:
+        cells = F.array().cast("array<struct<code:string,value_raw:string>>")
+    return (
+        rows.select(F.col("rssd_id").cast("string").alias("rssd_id"), quarter.alias("quarter_date"), F.inline(cells))
+        .where(F.col("value_raw").isNotNull())
+        .withColumn("value_num", strict_number("value_raw"))
+    )
+
+
 def scan_quarter(spark: SparkSession, path: str, quarter_date: str) -> DataFrame:
     """One quarter: both partition keys are fixed, so only its directory is listed and read."""
     return (
@@ -99,11 +120,17 @@ def field_counts(facts: DataFrame) -> DataFrame:
     return filled.join(catalog, "quarter_date")
 
 
-def append_run(spark: SparkSession, path: str, run: dict) -> None:
-    """Append one run to the log."""
+def append_run(spark: SparkSession, path: str, run: dict) -> bool:
+    """Append one run to the log. A log that cannot be written is no reason to fail a run that is done:
+    a warning is raised and False returned."""
     names = [part.strip().split(" ", 1)[0] for part in RUN_LOG.split(", ")]
     row = tuple(run.get(n) for n in names)
-    spark.createDataFrame([row], RUN_LOG).write.mode("append").parquet(path)
+    try:
+        spark.createDataFrame([row], RUN_LOG).write.mode("append").parquet(path)
+    except Exception as error:
+        warnings.warn(f"run log {path} not written: {error}", stacklevel=2)
+        return False
+    return True
 
 
 def last_run(spark: SparkSession, path: str) -> DataFrame:
@@ -119,6 +146,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Remove a table that this library wrote for its own use."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def delete_quarters(spark: SparkSession, path: str, plan: DataFrame, dry_run: bool = True) -> DataFrame:
     """Delete the partition directories of the planned quarters, newest first.
 

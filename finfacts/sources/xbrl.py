@@ -14,27 +14,36 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from finfacts.functions.text import ENTITY_ID
 
-MEMBERS = "path string, quarter_date string, member string, rssd_id string, xml binary, status string"
+MEMBERS = (
+    "path string, modified timestamp, quarter_date string, member string, rssd_id string, xml binary, status string"
+)
 FACT_ROWS = (
-    "path string, quarter_date string, member string, rssd_id string, code string, value_raw string,"
-    " ord long, status string"
+    "path string, modified timestamp, quarter_date string, member string, rssd_id string, code string,"
+    " value_raw string, ord long, status string"
 )
 ROWS_PER_BATCH = 20_000
 BYTES_PER_BATCH = 32 << 20
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archive files ``(path, content, quarter_date)``; the quarter comes from the file name."""
+    """Archive files ``(path, modified, content, quarter_date)``; the quarter comes from the file name."""
     return with_quarter(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
 
 
+def quarter_of(path: str) -> Column:
+    """The first eight digits of an archive's name; empty when it has none."""
+    return F.regexp_extract(path, r"([0-9]{8})[^/]*\.zip$", 1)
+
+
 def with_quarter(files: DataFrame) -> DataFrame:
-    found = F.regexp_extract("path", r"([0-9]{8})[^/]*\.zip$", 1)
-    return files.select("path", "content", F.when(found != "", found).alias("quarter_date"))
+    found = quarter_of("path")
+    return files.select(
+        "path", F.col("modificationTime").alias("modified"), "content", F.when(found != "", found).alias("quarter_date")
+    )
 
 
 def _members(path: str, content: bytes) -> Iterator[tuple[str, str | None, bytes | None, str]]:
@@ -75,16 +84,16 @@ def current_facts(xml: bytes, quarter_date: str) -> list[tuple[str, str]]:
 
 
 def list_members(archives: DataFrame, spread: int | None = None) -> DataFrame:
-    """Members of every archive. An archive cannot be split, so when archives are fewer than cores
-    ``spread`` deals their members out over that many partitions before parsing."""
+    """Members of every archive. An archive cannot be split, so its members are dealt out before they are
+    parsed: over ``spread`` partitions, or as many as adaptive execution finds right for their bytes."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "quarter_date", "member", "rssd_id", "xml", "status"]
+        columns = ["path", "modified", "quarter_date", "member", "rssd_id", "xml", "status"]
         rows, held = [], 0
         for batch in batches:
-            for path, content, quarter in zip(batch["path"], batch["content"], batch["quarter_date"]):
+            for path, modified, content, quarter in zip(batch["path"], batch["modified"], batch["content"], batch["quarter_date"]):
                 for member, rssd, xml, status in _members(path, content):
-                    rows.append((path, quarter, member, rssd, xml, status))
+                    rows.append((path, modified, quarter, member, rssd, xml, status))
                     held += len(xml or b"")
                     if held >= BYTES_PER_BATCH:
                         yield pd.DataFrame(rows, columns=columns)
@@ -92,18 +101,20 @@ def list_members(archives: DataFrame, spread: int | None = None) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    members = archives.select("path", "content", "quarter_date").mapInPandas(unzip, MEMBERS)
-    return members.repartition(spread, "path", "member") if spread else members
+    if "modified" not in archives.columns:
+        archives = archives.withColumn("modified", F.lit(None).cast("timestamp"))
+    members = archives.select("path", "modified", "content", "quarter_date").mapInPandas(unzip, MEMBERS)
+    return members.repartition(*([spread] if spread else []), "path", "member")
 
 
 def extract_facts(members: DataFrame) -> DataFrame:
     """Long rows of every member, with a status row for each member that gave none."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "quarter_date", "member", "rssd_id", "code", "value_raw", "ord", "status"]
+        columns = ["path", "modified", "quarter_date", "member", "rssd_id", "code", "value_raw", "ord", "status"]
         rows = []
         for batch in batches:
-            for path, quarter, member, rssd, xml, status in batch.itertuples(index=False):
+            for path, modified, quarter, member, rssd, xml, status in batch.itertuples(index=False):
                 facts = []
                 if status == "ok":
                     try:
@@ -112,9 +123,9 @@ def extract_facts(members: DataFrame) -> DataFrame:
                     except ET.ParseError:
                         status = "malformed_xml"
                 if not facts:
-                    rows.append((path, quarter, member, rssd, None, None, 0, status))
+                    rows.append((path, modified, quarter, member, rssd, None, None, 0, status))
                 rows.extend(
-                    (path, quarter, member, rssd, code, text, i, "ok") for i, (code, text) in enumerate(facts)
+                    (path, modified, quarter, member, rssd, code, text, i, "ok") for i, (code, text) in enumerate(facts)
                 )
                 if len(rows) >= ROWS_PER_BATCH:
                     yield pd.DataFrame(rows, columns=columns)
@@ -130,11 +141,16 @@ def parse_archives(archives: DataFrame, spread: int | None = None) -> DataFrame:
 
 
 def facts_of(parsed: DataFrame) -> DataFrame:
-    """One row per (institution, quarter, code); a later duplicate in the document wins."""
+    """One row per (institution, quarter, code). The institution's newest archive of the quarter gives all its
+    codes (one that was withdrawn is gone); a later duplicate in its documents wins."""
+    usable = parsed.where((F.col("status") == "ok") & F.col("code").isNotNull()).withColumn(
+        "archive", F.struct(F.coalesce(F.unix_micros("modified"), F.lit(0)).alias("at"), "path")
+    )
+    newest = usable.groupBy("rssd_id", "quarter_date").agg(F.max("archive").alias("archive"))
     return (
-        parsed.where((F.col("status") == "ok") & F.col("code").isNotNull())
+        usable.join(newest, ["rssd_id", "quarter_date", "archive"], "left_semi")
         .groupBy("rssd_id", "quarter_date", "code")
-        .agg(F.max_by("value_raw", F.struct("path", "member", "ord")).alias("value_raw"))
+        .agg(F.max_by("value_raw", F.struct("member", "ord")).alias("value_raw"))
     )
 
 

@@ -1,19 +1,19 @@
 """Arrival-driven ingestion: archives dropped in a landing folder become stored quarters.
 
-A file stream finds what is new (its checkpoint replaces comparing inventories); each touched
-quarter is then rebuilt from all its landed archives and overwrites its own partition, so a
-re-published archive or a replayed batch gives the same table.
+A file stream finds what is new (its checkpoint replaces comparing inventories). Each archive is parsed
+once, into a staging table beside the store; a touched quarter is then rebuilt from all its staged rows
+and overwrites its own partition, so a re-published archive or a replayed batch gives the same table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finfacts.functions.periods import is_quarter_key, last_published_key
 from finfacts.reference_data import PUBLICATION_LAG_QUARTERS
-from finfacts.session import scratch_path
 from finfacts.sources import store, xbrl
 
 OUTCOMES = (
@@ -29,39 +29,65 @@ def _log(rows: DataFrame, log_path: str) -> None:
     ).write.mode("append").parquet(log_path)
 
 
-def _quarter_rows(spark: SparkSession, quarters: list[str], outcome: str) -> DataFrame:
-    return spark.createDataFrame(
-        [(q, "", 0, 0, 0, outcome) for q in quarters],
-        "quarter_date string, path string, n_institutions bigint, n_skipped bigint, n_facts bigint, outcome string",
-    )
+def _note(spark: SparkSession, rows: list[tuple[str, str]], outcome: str, log_path: str) -> None:
+    """Log ``(quarter_date, path)`` entries that brought no rows."""
+    if rows:
+        _log(spark.createDataFrame(
+            [(q, path, 0, 0, 0, outcome) for q, path in rows],
+            "quarter_date string, path string, n_institutions bigint, n_skipped bigint, n_facts bigint, outcome string",
+        ), log_path)
+
+
+def _build(spark: SparkSession, parsed: DataFrame, store_path: str, log_path: str, quarters: Collection[str]) -> None:
+    """Overwrite each of ``quarters`` from its parsed rows. If the write fails, quarters are tried one by
+    one: a quarter that cannot be built is logged as failed, stays as it was, and stops no other."""
+
+    def build(names: list[str]) -> None:
+        rows = parsed.where(F.col("quarter_date").isin(names))
+        store.write_quarters(xbrl.facts_of(rows), store_path)
+        _log(xbrl.archive_outcomes(rows), log_path)
+
+    names = sorted(quarters)
+    if not names:
+        return
+    try:
+        build(names)
+    except Exception:
+        for name in names:
+            try:
+                build([name])
+            except Exception:
+                _note(spark, [(name, "")], "failed", log_path)
 
 
 def load_quarters(
     spark: SparkSession, landing: str, store_path: str, log_path: str, quarters: list[str],
     spread: int | None = None,
 ) -> None:
-    """Rebuild the given quarters from every archive of theirs in the landing folder.
+    """Rebuild the given quarters, and no others, from every archive of theirs in the landing folder.
 
-    Parsed rows are written once to the shared scratch folder and read back for both the facts
-    and the outcome log, so nothing is parsed twice and a lost executor re-reads a table. An
-    archive that yields nothing is logged as failed and leaves the stored quarter untouched.
+    The file-name pattern only narrows the listing: a name may hold several dates, and the quarter that is
+    parsed from it decides. An archive that yields nothing is logged as failed and leaves the stored quarter
+    untouched.
     """
     if not quarters:
         return
     pattern = "{" + ",".join(f"*{q}*.zip" for q in quarters) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(landing)
-    staged = scratch_path(spark, "parsed")
-    xbrl.parse_archives(xbrl.with_quarter(files), spread).write.parquet(staged)
-    parsed = spark.read.parquet(staged)
-    store.write_quarters(xbrl.facts_of(parsed), store_path)
-    _log(xbrl.archive_outcomes(parsed), log_path)
+    asked = xbrl.with_quarter(files).where(F.col("quarter_date").isin(quarters))
+    staging = f"{store_path.rstrip('/')}__reload_{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}"
+    xbrl.parse_archives(asked, spread).write.parquet(staging)
+    try:
+        _build(spark, spark.read.parquet(staging), store_path, log_path, quarters)
+    finally:
+        store.delete_path(spark, staging)
 
 
 def deferred_quarters(spark: SparkSession, log_path: str) -> list[str]:
-    """Quarters whose newest log entry says they arrived before they were eligible."""
+    """Quarters whose newest log entry says they arrived before they could be stored."""
     if not store.path_exists(spark, log_path):
         return []
-    last = spark.read.schema(OUTCOMES).parquet(log_path).groupBy("quarter_date").agg(
+    last = spark.read.schema(OUTCOMES).parquet(log_path).where("quarter_date <> ''").groupBy("quarter_date").agg(
         F.max_by("outcome", "run_ts").alias("outcome")
     )
     return [r[0] for r in last.where("outcome = 'deferred'").select("quarter_date").collect()]
@@ -70,27 +96,37 @@ def deferred_quarters(spark: SparkSession, log_path: str) -> list[str]:
 def ingest_new(
     spark: SparkSession, landing: str, store_path: str, log_path: str, checkpoint: str, as_of: str,
     lag_quarters: int = PUBLICATION_LAG_QUARTERS, spread: int | None = None,
-    max_files_per_trigger: int = 64,
+    max_files_per_trigger: int = 64, admitted: Collection[str] | None = None,
 ) -> None:
     """Process every archive that arrived since the last call, then stop; a no-op when none did.
 
-    A quarter younger than the publication lag is logged as deferred and picked up by the first
-    later call for which it is old enough.
+    A quarter younger than the publication lag, or outside ``admitted`` when that is given, is logged as
+    deferred; its staged rows are stored by the first later call that may. Archives without a quarter in
+    their name are logged as failed.
     """
     newest_eligible = last_published_key(as_of, lag_quarters)
-    waiting = [q for q in deferred_quarters(spark, log_path) if q <= newest_eligible]
-    done: set[str] = set()
+    staging = f"{store_path.rstrip('/')}__staged"
+
+    def may_store(q: str) -> bool:
+        return q <= newest_eligible and (admitted is None or q in admitted)
+
+    waiting = [q for q in deferred_quarters(spark, log_path) if may_store(q)]
+    touched: set[str] = set()
+    late: set[str] = set()
 
     def on_arrival(batch: DataFrame, _batch_id: int) -> None:
-        found = F.regexp_extract("path", r"([0-9]{8})[^/]*\.zip$", 1)
-        # Names only: the content column is not read here. One key per calendar quarter.
-        arrived = batch.select(found.alias("q")).where(is_quarter_key("q")).distinct()
-        keys = sorted(r[0] for r in arrived.collect())
-        load_quarters(spark, landing, store_path, log_path, [q for q in keys if q <= newest_eligible], spread)
-        done.update(q for q in keys if q <= newest_eligible)
-        late = [q for q in keys if q > newest_eligible]
-        if late:
-            _log(_quarter_rows(spark, late, "deferred"), log_path)
+        # Names only: the content column is not read here.
+        named = batch.select("path", xbrl.quarter_of("path").alias("q"))
+        usable = F.coalesce(is_quarter_key("q"), F.lit(False))
+        lost = [(r.q or "", r.path) for r in named.where(~usable).collect()]
+        _note(spark, lost, "failed", log_path)
+        keys = sorted(r[0] for r in named.where(usable).select("q").distinct().collect())
+        if not keys:
+            return
+        archives = xbrl.with_quarter(batch).where(F.col("quarter_date").isin(keys))
+        xbrl.parse_archives(archives, spread).write.mode("append").partitionBy("quarter_date").parquet(staging)
+        touched.update(q for q in keys if may_store(q))
+        late.update(q for q in keys if not may_store(q))
 
     stream = (
         spark.readStream.format("binaryFile")
@@ -103,4 +139,21 @@ def ingest_new(
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    load_quarters(spark, landing, store_path, log_path, [q for q in waiting if q not in done], spread)
+    # Built once, after all batches: a backfill parses every archive once and writes every quarter once.
+    # A call that dies in between leaves its quarters staged and unlogged; they count as waiting then.
+    staged_only = _staged_unlogged(spark, staging, log_path)
+    todo = touched | set(waiting) | {q for q in staged_only if may_store(q)}
+    _note(spark, [(q, "") for q in sorted(late)], "deferred", log_path)
+    if todo:
+        _build(spark, spark.read.schema(xbrl.FACT_ROWS).parquet(staging), store_path, log_path, todo)
+
+
+def _staged_unlogged(spark: SparkSession, staging: str, log_path: str) -> list[str]:
+    """Staged quarters (partition names only) that no log row mentions."""
+    if not store.path_exists(spark, staging):
+        return []
+    staged = spark.read.schema(xbrl.FACT_ROWS).parquet(staging).select("quarter_date").distinct()
+    if store.path_exists(spark, log_path):
+        logged = spark.read.schema(OUTCOMES).parquet(log_path).select("quarter_date").distinct()
+        staged = staged.join(logged, "quarter_date", "left_anti")
+    return [r[0] for r in staged.collect()]

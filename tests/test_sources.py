@@ -126,3 +126,176 @@ def test_restated_archive_replaces_its_quarter(spark, tmp_path):
     assert run() == {("1", "20200331", "1"), ("2", "20200331", "7"), ("1", "20200630", "5")}
     log = spark.read.schema(incremental.OUTCOMES).parquet(f"{root}/log")
     assert {r[0] for r in log.where("outcome = 'failed'").select("quarter_date").collect()} == {"20200930"}
+
+
+def _folder(spark, name):
+    from pyarrow import fs
+
+    root = scratch_path(spark, name)
+    system, base = fs.FileSystem.from_uri(f"file://{root}")
+    system.create_dir(f"{base}/in", recursive=True)
+
+    def drop(file, content):
+        with system.open_output_stream(f"{base}/in/{file}") as out:
+            out.write(content)
+
+    return root, drop
+
+
+def _one(rssd, day, *facts):
+    return {f"FI {rssd}(ID RSSD) x.xml": report(*[(f"u:{c}", f"C_{day}", v) for c, v in facts])}
+
+
+def test_a_name_with_two_dates_stays_in_its_own_quarter(spark):
+    root, drop = _folder(spark, "two-dates")
+    drop("20200331-a.zip", zip_of({**_one("1", "2020-03-31", ("UBPRE013", "1")), **_one("2", "2020-03-31", ("UBPRE013", "2"))}))
+    drop("20200331-restated-20200630.zip", zip_of(_one("3", "2020-03-31", ("UBPRE013", "3"))))
+    drop("20200630-a.zip", zip_of(_one("1", "2020-06-30", ("UBPRE013", "5"))))
+    read = lambda: {(r.rssd_id, r.quarter_date, r.value_raw) for r in store.read_facts(spark, f"{root}/facts").collect()}
+    incremental.ingest_new(spark, f"{root}/in", f"{root}/facts", f"{root}/log", f"{root}/cp", "2021-01-15")
+    first = {("1", "20200331", "1"), ("2", "20200331", "2"), ("3", "20200331", "3"), ("1", "20200630", "5")}
+    assert read() == first
+    incremental.load_quarters(spark, f"{root}/in", f"{root}/facts", f"{root}/log", ["20200630"])
+    assert read() == first
+
+
+def test_newest_archive_of_an_institution_wins_whole(spark):
+    import datetime as dt
+
+    old, new = dt.datetime(2020, 5, 1), dt.datetime(2020, 6, 1)
+    archives = spark.createDataFrame([
+        # The path text of the older one is the greater.
+        ("z-20200331.zip", old, zip_of(_one("1", "2020-03-31", ("UBPRE013", "1"), ("UBPRE018", "8"))), "20200331"),
+        ("a-20200331.zip", new, zip_of(_one("1", "2020-03-31", ("UBPRE013", "9"))), "20200331"),
+        ("y-20200331.zip", old, zip_of(_one("2", "2020-03-31", ("UBPRE013", "7"))), "20200331"),
+    ], "path string, modified timestamp, content binary, quarter_date string")
+    facts = {(r.rssd_id, r.code, r.value_raw) for r in xbrl.facts_of(xbrl.parse_archives(archives)).collect()}
+    assert facts == {("1", "UBPRE013", "9"), ("2", "UBPRE013", "7")}
+
+
+def test_archive_without_a_quarter_is_logged(spark):
+    root, drop = _folder(spark, "no-quarter")
+    drop("restated.zip", zip_of(_one("1", "2020-03-31", ("UBPRE013", "1"))))
+    incremental.ingest_new(spark, f"{root}/in", f"{root}/facts", f"{root}/log", f"{root}/cp", "2021-01-15")
+    rows = spark.read.schema(incremental.OUTCOMES).parquet(f"{root}/log").collect()
+    assert [(r.outcome, r.path.endswith("restated.zip")) for r in rows] == [("failed", True)]
+
+
+def test_budget_defers_and_a_later_run_takes_in(spark):
+    from finfacts.plans import ingestion
+
+    root, drop = _folder(spark, "budget")
+    drop("20200331-a.zip", zip_of(_one("1", "2020-03-31", ("UBPRE013", "1"))))
+    drop("20200630-a.zip", zip_of(_one("1", "2020-06-30", ("UBPRE013", "5"))))
+    run = lambda gb, dry=False: ingestion.run(
+        spark, f"{root}/in", f"{root}/facts", f"{root}/log", f"{root}/runs", f"{root}/cp", "2021-01-15",
+        budget_gb=gb, start_year=2020, dry_run=dry)
+    stored = lambda: {r.quarter_date for r in store.read_facts(spark, f"{root}/facts").collect()}
+    # The newest published quarter has no archive; it takes its share of the budget all the same.
+    assert run(0.085, dry=True).where("decision = 'admitted'").count() == 2
+    assert not store.path_exists(spark, f"{root}/runs")
+    run(0.085)
+    assert stored() == {"20200630"}
+    assert store.last_run(spark, f"{root}/runs").first().deferred == ["20200331"]
+    run(9.0)
+    assert stored() == {"20200331", "20200630"}
+
+
+def test_a_run_log_that_cannot_be_written_fails_nothing(spark):
+    import pytest
+
+    with pytest.warns(UserWarning):
+        assert store.append_run(spark, "nosuchscheme://x/runs", {"mode": "full"}) is False
+
+
+def test_a_heavy_quarter_becomes_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    path = scratch_path(spark, "heavy")
+    rows = spark.range(0, 400_000, 1, 32).select(
+        F.col("id").cast("string").alias("rssd_id"), F.lit("20200331").alias("quarter_date"), F.lit("A").alias("code"),
+        F.sha2(F.col("id").cast("string"), 256).alias("value_raw"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        store.write_quarters(rows, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert store.inventory(spark, path).first().n_files > 8
+    assert store.read_facts(spark, path).count() == 400_000
+
+
+def test_long_and_unclosed_records_keep_every_field(spark):
+    from finfacts.sources import sdf
+
+    text = 'h\na;b;c;d;e;f;RC;1;nine;ten\n1;"x;y";"say ""hi""";\t4 \na;"b;c'
+    rows = sdf.parse_documents(spark.createDataFrame([("d", text)], "id string, text string")).orderBy("source_line_number").collect()
+    assert rows[0].columns == ["a", "b", "c", "d", "e", "f", "RC", "1", "nine", "ten"]
+    assert rows[0].raw.endswith(";nine;ten")
+    assert rows[1].columns == ["1", "x;y", 'say "hi"', "4", "", "", "", ""]
+    assert rows[2].columns[:2] == ["a", "b;c"]
+
+
+def test_filing_files_to_items(spark):
+    from finfacts.sources import sdf
+
+    root, drop = _folder(spark, "filing")
+    drop("f.txt", b"header\n12/31/2020;42;RCFD2170;5;20210101;Total;RC;12\n")
+    items = sdf.to_items(sdf.parse_documents(sdf.read_documents(spark, f"{root}/in"))).collect()
+    assert [(r.rssd_id, r.item_code, r.value_raw, r.section) for r in items] == [("42", "RCFD2170", "5", "RC")]
+
+
+def test_json_lists_over_several_lines(spark):
+    from finfacts.sources import snapshots
+
+    root, drop = _folder(spark, "snapshots")
+    drop("panel.json", b'[\n {"ID_RSSD": 1, "Name": " A "},\n {"ID_RSSD": 2,\n  "Name": "B"}\n]\n')
+    drop("more.json", b'{"ID_RSSD": 3, "Name": "C"}\n{"ID_RSSD": 4, "Name": "D"}\n')
+    assert {(r.rssd_id, r.name) for r in snapshots.read_institutions(spark, f"{root}/in").collect()} == {
+        ("1", "A"), ("2", "B"), ("3", "C"), ("4", "D")}
+    root, drop = _folder(spark, "periods")
+    drop("p.json", b'[\n "12/31/2025",\n "09/30/2025"\n]')
+    drop("broken.json", b"[nothing")
+    assert {r.quarter_date for r in snapshots.read_periods(spark, f"{root}/in").collect()} == {"20251231", "20250930"}
+    assert [r.path.endswith("broken.json") for r in snapshots.unreadable(spark, f"{root}/in").collect()] == [True]
+
+
+def test_one_very_large_value_spoils_no_average(facts_of):
+    from finfacts.operators import facts as fx, peers
+
+    facts = facts_of([("1", "20200331", "UBPRE013", "1e30"), ("2", "20200331", "UBPRE013", "2"), ("3", "20200331", "UBPRE013", "4")])
+    rows = {r.rssd_id: r.peer_average for r in peers.leave_one_out(facts, ["UBPRE013"], groups=["all"]).collect()}
+    assert rows == {"1": 3.0, "2": 5e29, "3": 5e29}
+    assert fx.castable_average(facts, ["code"]).first().avg_value == 1e30 / 3
+
+
+def test_large_values_and_long_years_print_whole(spark):
+    from pyspark.sql import functions as F
+
+    from finfacts.functions import numeric as num, periods as per
+
+    row = spark.range(1).select(
+        num.percent_text(F.lit(1e20)).alias("p"), num.grouped_text(F.lit(1e20)).alias("g"),
+        num.grouped_text(F.lit(1234.5)).alias("h"), per.quarter_key(F.lit(12345), F.lit(1)).alias("k")).first()
+    assert (row.p, row.g, row.h, row.k) == (
+        "100000000000000000000.00%", "100,000,000,000,000,000,000", "1,234.5", "123450331")
+
+
+def test_workers_need_no_package(spark, tmp_path):
+    """Functions travel by value: a worker that cannot import the package still runs them."""
+    import subprocess
+    import sys
+    import textwrap
+
+    code = textwrap.dedent("""
+        import sys
+        sys.path.insert(0, %r)
+        from finfacts.session import build_session
+        from finfacts.checks.catalog import QUERIES
+        spark = build_session("elsewhere", "local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
+        print("ROWS", QUERIES["src04_xbrl_roundtrip"](spark, "/root/testdata/sf0.001").count())
+    """) % sys.path[0]
+    found = [p for p in sys.path if p.endswith("repo")] or sys.path[:1]
+    code = code.replace(repr(sys.path[0]), repr(found[0]))
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
