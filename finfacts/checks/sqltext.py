@@ -223,7 +223,7 @@ QUESTIONS = (
 )
 
 RATIO_META = f"ratio_meta(code, label, category, higher_better) AS ({ref.values_sql(ref.RATIO_META)})"
-UI_THRESHOLDS = f"ui_thresholds(code, minimum, well, rule_label, note) AS ({ref.values_sql(ref.UI_THRESHOLDS)})"
+UI_THRESHOLDS = f"ui_thresholds(code, minimum, well, rule_label) AS ({ref.values_sql(ref.UI_THRESHOLDS)})"
 AGENT_THRESHOLDS = (
     f"agent_thresholds(code, rule_label, well, adequate, minimum) AS ({ref.values_sql(ref.AGENT_THRESHOLDS)})"
 )

@@ -102,14 +102,14 @@ COMPARE_CODES = [
     ("Asset Quality", ["UBPR7414", "UBPRE019"]),
 ]
 
-# --- fixed values: dashboard thresholds (code, minimum, well-capitalized, label, note) ---
+# --- fixed values: dashboard thresholds (code, minimum, well-capitalized, label) ---
 UI_THRESHOLDS = [
-    ("UBPRD487", 6.0, 8.0, "Tier 1 Capital Ratio", "Basel III min 6%, well-capitalized 8%"),
-    ("UBPRR031", 6.0, 8.0, "CET1 Ratio", "Basel III min 6%, well-capitalized 8%"),
-    ("UBPRR029", 6.0, 8.0, "CET1 Advanced", "Basel III min 6%, well-capitalized 8%"),
-    ("UBPRD486", 4.0, 5.0, "Leverage Ratio", "Minimum 4%, well-capitalized 5%"),
-    ("UBPRD488", 8.0, 10.0, "Total Capital Ratio", "Minimum 8%, well-capitalized 10%"),
-    ("UBPR7400", 4.0, 5.0, "Tier 1 (legacy)", "Minimum 4%"),
+    ("UBPRD487", 6.0, 8.0, "Tier 1 Capital Ratio"),
+    ("UBPRR031", 6.0, 8.0, "CET1 Ratio"),
+    ("UBPRR029", 6.0, 8.0, "CET1 Advanced"),
+    ("UBPRD486", 4.0, 5.0, "Leverage Ratio"),
+    ("UBPRD488", 8.0, 10.0, "Total Capital Ratio"),
+    ("UBPR7400", 4.0, 5.0, "Tier 1 (legacy)"),
 ]
 
 # --- fixed values: assistant thresholds (code, label, well, adequate, printed minimum) ---
@@ -264,10 +264,6 @@ REPORT_INTENT_SCHEDULE = [
     "schedule", "rc-c", "rc-b", "rc-r", "ri-a", "ri-b", "schedule rc", "schedule ri",
     "line item", "section",
 ]
-PERIOD_WORDS = [
-    "quarter", "q1", "q2", "q3", "q4", "2023", "2024", "2025", "2026", "january", "march",
-    "june", "september", "december", "last", "this", "recent",
-]
 ACTION_CALL = [
     "balance sheet", "income statement", "schedule", "call report", "filing", "deposits",
     "loans", "assets", "net income", "metrics",
@@ -348,7 +344,7 @@ def ratio_meta(spark: SparkSession) -> DataFrame:
 
 def ui_thresholds(spark: SparkSession) -> DataFrame:
     return constant_frame(
-        spark, UI_THRESHOLDS, "code string, minimum double, well double, rule_label string, note string"
+        spark, UI_THRESHOLDS, "code string, minimum double, well double, rule_label string"
     )
 
 
@@ -367,32 +363,13 @@ def priority_group_rows() -> list[tuple[int, int, str, str]]:
     ]
 
 
-def priority_groups(spark: SparkSession) -> DataFrame:
-    return constant_frame(
-        spark, priority_group_rows(),
-        "group_ord bigint, code_ord bigint, code string, fallback_label string",
-    )
-
-
 def metric_variant_rows() -> list[tuple[str, int, str]]:
     return [
         (metric, i, code) for metric, codes in METRIC_VARIANTS for i, code in enumerate(codes, 1)
     ]
 
 
-def metric_variants(spark: SparkSession) -> DataFrame:
-    return constant_frame(
-        spark, metric_variant_rows(), "metric string, variant_ord bigint, item_code string"
-    )
-
-
 def compare_code_rows() -> list[tuple[str, int, str]]:
     return [
         (category, i, code) for category, codes in COMPARE_CODES for i, code in enumerate(codes, 1)
     ]
-
-
-def compare_codes(spark: SparkSession) -> DataFrame:
-    return constant_frame(
-        spark, compare_code_rows(), "compare_category string, code_ord bigint, code string"
-    )

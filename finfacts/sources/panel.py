@@ -37,49 +37,53 @@ ITEM_TEXTS = [
     "Equity capital", "Net income", "Interest-bearing balances due from depository institutions",
     "Securities",
 ]
-# Question templates: {name} {q} {q0} {period} {code} are filled from the panel.
+# Question templates, marks are filled from the panel: each keyword class of the router alone, several classes in
+# one text, keywords inside other words, and texts with none.
 QUESTION_TEMPLATES = [
-    "Is {name} well capitalized?",
-    "What is {name}'s CET1 ratio for {q}?",
-    "Show me the capital ratios for RSSD {id}",
-    "Flag any regulatory issues for this bank",
-    "What is {name}'s ROA?",
-    "How does {name}'s net interest margin compare to peers?",
-    "Show me profitability trends over the last 8 quarters",
-    "Compare this bank's ROE to the industry average",
-    "How does {name} rank among large banks for capital?",
-    "Show peer group comparison for community banks",
-    "What is the NPL ratio for {name}?",
-    "How has the net charge-off rate trended from {q} to {q0}?",
-    "Show me the {q} Call Report for {name}",
-    "What are total deposits for December 2024?",
-    "Load the most recent filing for this bank",
-    "Show me the report from last quarter",
-    "What are {name}'s total assets?",
-    "Show me the balance sheet for {q}",
-    "What is the equity to assets ratio?",
-    "What was net income in {q0}?",
-    "Show me the income statement",
-    "Show me Schedule RC and RC-C for {name}, then RC again",
-    "What does Schedule RI show for {q}?",
-    "Which quarters are the available periods?",
-    "List schedules of this filing",
-    "Trend of {code} and UBPR7414 over time from {q0} to {q}",
-    "quarterly leverage ratio history since {q}",
-    "What is the weather today?",
-    "Write me a poem about bitcoin",
-    "explain Basel III",
-    "explain CET1",
-    "What does market discipline do to a minimum?",
-    "Who won the Super Bowl?",
-    "Compare small mid-size banks",
-    "mid-size benchmark please",
-    "tier 1 capital ratio trend this quarter",
-    "first quarter results vs last year",
-    "March {y} loan-to-deposit over time",
-    "pdf facsimile of the report",
-    "schedule data line items",
     "",
+    "hello",
+    "thanks, that was all",
+    "{id}",
+    "{code}",
+    "{code}, {code} and UBPRE013 please",
+    "Is bank {id} undercapitalized or merely adequate",
+    "tier one buffer of {name} at {q}",
+    "leverage and CET1 side by side, {q0} and {q}",
+    "regulatory alerts for {id}",
+    "which thresholds does {name} miss",
+    "return on equity, {name}",
+    "margin and ROA in one table for {q}",
+    "earnings looked thin in {q0}, what about profitability",
+    "{name} against its peers",
+    "rank all large banks by {code}",
+    "peer average of {code} for mid-size institutions",
+    "small and community and large in one benchmark",
+    "industry percentile of {id}",
+    "bad loans: NPL of {name}",
+    "charge-off rate, then allowance, then NPL",
+    "trend of {code} since {q0}",
+    "{code} history, eight quarters up to {q}",
+    "has leverage moved over time at {name}",
+    "quarter over quarter change of UBPR7414",
+    "deposits and loans of {id} on the balance sheet",
+    "total assets, total equity",
+    "net income line of the income statement {q}",
+    "open the call report of {id}, {q}",
+    "latest filing on record",
+    "filing for March {y} against the one for June {y}",
+    "schedule RI, then Schedule RC-C, then schedule rc",
+    "every schedule in this filing",
+    "schedules available for {q}",
+    "what periods are available",
+    "facsimile as pdf",
+    "line items of RCFD2170",
+    "define Basel capital",
+    "capitalise the first letter of every assetless word",
+    "supermarket minimum roaming",
+    "sing about rain",
+    "price of bitcoin tomorrow",
+    "second quarter of last year",
+    "this quarter or the previous one",
 ]
 
 
