@@ -8,7 +8,7 @@ from finfacts import reference_data as ref
 from finfacts.checks import sqltext as S
 from finfacts.checks.registry import query
 from finfacts.functions import numeric as num, periods as per
-from finfacts.operators import compare as cmp, facts as fx, peers, ranking, ratios, regulatory, trends
+from finfacts.operators import compare as cmp, facts as fx, lifecycle, peers, ranking, ratios, regulatory, trends
 from finfacts.plans import reports, tools
 from finfacts.sources import store
 from finfacts.sources.panel import PANEL_BUCKETS, PANEL_CODES, facts, institutions, table
@@ -49,7 +49,7 @@ def ui_status_sql(code: str, v: str) -> str:
     cases = " ".join(
         f"WHEN {code} = '{c}' THEN CASE WHEN {v} IS NULL THEN NULL WHEN {v} < {lo} THEN 'danger'"
         f" WHEN {v} < {well} THEN 'warning' ELSE 'healthy' END"
-        for c, lo, well, _, _ in ref.UI_THRESHOLDS
+        for c, lo, well, _ in ref.UI_THRESHOLDS
     )
     return f"(CASE {cases} END)"
 
@@ -277,7 +277,7 @@ series AS (SELECT DISTINCT rssd_id, code FROM facts WHERE quarter_date BETWEEN '
 SELECT s.rssd_id, s.code, c.quarter_date, {S.percent(S.prefix('f.value_raw'))} AS display FROM series s CROSS JOIN cal c
 LEFT JOIN facts f ON f.rssd_id = s.rssd_id AND f.code = s.code AND f.quarter_date = c.quarter_date""".lstrip())
 def _(spark, sf):
-    return trends.calendar_filled(facts(spark, sf), per.quarter_keys(*FULL_SPAN))
+    return trends.calendar_filled(facts(spark, sf))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -318,11 +318,7 @@ def _(spark, sf):
 , used AS (SELECT DISTINCT code, coalesce(label, code) AS label, coalesce(category, 'Other') AS category FROM facts LEFT JOIN ratio_meta USING (code))
 SELECT category, count(*) AS n_codes, string_agg(code || '=' || label, ';' ORDER BY code) AS codes FROM used GROUP BY 1""".lstrip())
 def _(spark, sf):
-    used = fx.with_meta(fx.all_codes(facts(spark, sf)))
-    entry = F.concat_ws("=", "code", "label")
-    return used.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n_codes"), F.array_join(F.sort_array(F.collect_list(entry)), ";").alias("codes")
-    )
+    return fx.category_map(facts(spark, sf))
 
 
 # ---------------------------------------------------------------- windows and trends
@@ -445,15 +441,15 @@ def _(spark, sf):
 
 @query("agg08_min_max", S.with_(S.FACTS, S.INSTITUTIONS, _COMPARE_SQL) + "SELECT set_id, code, hi AS max_value, lo AS min_value FROM present")
 def _(spark, sf):
-    rows = cmp.compare(_compare_sets(spark, sf), facts(spark, sf))
-    return rows.select("set_id", "code", "max_value", "min_value").distinct()
+    rows = cmp.set_extremes(_compare_sets(spark, sf), facts(spark, sf))
+    return rows.select("set_id", "code", "max_value", "min_value")
 
 
 @query("prj18_present_codes", S.with_(S.FACTS, S.INSTITUTIONS, _COMPARE_SQL) + """
 SELECT set_id, code FROM present WHERE code IN (SELECT code FROM cc WHERE category = 'Asset Quality')""")
 def _(spark, sf):
-    rows = cmp.compare(_compare_sets(spark, sf), facts(spark, sf)).where("category = 'Asset Quality'")
-    return rows.select("set_id", "code").distinct()
+    rows = cmp.set_extremes(_compare_sets(spark, sf), facts(spark, sf)).where("category = 'Asset Quality'")
+    return rows.select("set_id", "code")
 
 
 _PG = f"pg(group_ord, code_ord, code, fallback_label) AS ({ref.values_sql(ref.priority_group_rows())})"
@@ -523,12 +519,7 @@ def _(spark, sf):
 SELECT string_agg(quarter_date, ',' ORDER BY quarter_date) AS oldest_first, string_agg(quarter_date, ',' ORDER BY quarter_date DESC) AS newest_first
 FROM (SELECT DISTINCT quarter_date FROM facts)""")
 def _(spark, sf):
-    quarters = facts(spark, sf).select("quarter_date").distinct()
-    keys = F.collect_list("quarter_date")
-    return quarters.agg(
-        F.array_join(F.sort_array(keys), ",").alias("oldest_first"),
-        F.array_join(F.sort_array(keys, asc=False), ",").alias("newest_first"),
-    )
+    return lifecycle.quarter_lists(facts(spark, sf))
 
 
 # ---------------------------------------------------------------- set operations
@@ -549,12 +540,7 @@ def _(spark, sf):
 @query("set04_intersect", S.with_(S.FACTS) + f"""
 SELECT rssd_id, quarter_date, string_agg(code, ',' ORDER BY {_PLACE}) AS peer_codes FROM facts WHERE valid AND code IN {_PEERS} GROUP BY 1, 2""")
 def _(spark, sf):
-    have = fx.wide(fx.valid_ratios(facts(spark, sf)), ref.PEER_CODES, "value_num")
-    own = F.array_intersect(
-        F.array(*map(F.lit, ref.PEER_CODES)),
-        F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ref.PEER_CODES]),
-    )
-    return have.select("rssd_id", "quarter_date", F.array_join(own, ",").alias("peer_codes"))
+    return fx.listed_codes(fx.valid_ratios(facts(spark, sf)), ref.PEER_CODES, "peer_codes")
 
 
 # ---------------------------------------------------------------- table functions and reports

@@ -53,15 +53,25 @@ def fixed_text(c: Column | str, digits: int) -> Column:
     """Fixed-point text, ties away from zero. The value is rounded before it becomes a decimal, so no
     engine's float formatting is involved; the expression stays small because callers nest it."""
     x, scale = _col(c), float(10**digits)
-    rounded = F.floor(F.abs(x) * scale + 0.5) / scale
+    size = F.abs(x)
+    # From 2 ** 53 units on a double holds no finer part, and floor would leave the range of a long.
+    rounded = F.when(size * scale < EXACT_INTEGER, F.floor(size * scale + 0.5) / scale).otherwise(size)
     return F.concat(
-        F.when(x < 0, "-").otherwise(""), rounded.try_cast(f"decimal(30,{digits})").cast("string")
+        F.when(x < 0, "-").otherwise(""), rounded.try_cast(f"decimal(38,{digits})").cast("string")
     )
 
 
 def grouped_text(c: Column | str, max_fraction: int = 3) -> Column:
     """Thousands-grouped text with up to ``max_fraction`` decimals, trailing zeros dropped."""
     x, scale = _col(c), 10**max_fraction
+    exact = F.abs(x) * float(scale) < EXACT_INTEGER
+    return F.when(exact, _grouped_exact(x, max_fraction)).otherwise(
+        F.concat(F.when(x < 0, "-").otherwise(""), F.format_number(F.abs(x).try_cast("decimal(38,0)"), 0))
+    )
+
+
+def _grouped_exact(x: Column, max_fraction: int) -> Column:
+    scale = 10**max_fraction
     units = F.floor(F.abs(x) * float(scale) + 0.5)
     sign = F.when((x < 0) & (units > 0), "-").otherwise("")
     whole = F.format_number(((units - units % scale) / scale).cast("bigint"), 0)
@@ -92,7 +102,7 @@ def money_tool_text(c: Column | str) -> Column:
     x = _col(c)
     divisor, unit = _magnitude(x)
     digits = F.when(F.abs(x) >= 1e6, fixed_text(x / divisor, 2)).otherwise(
-        F.format_number(F.rint(x).cast("bigint"), 0)
+        F.format_number(F.rint(x).try_cast("bigint"), 0)
     )
     return F.coalesce(F.concat(F.lit("$"), digits, unit), F.lit("N/A"))
 

@@ -40,13 +40,19 @@ def _listed(quarter: Column, values: tuple[str, ...]) -> Column:
     return F.get(F.array(*map(F.lit, values)), quarter - 1)
 
 
+def _year_text(year: Column) -> Column:
+    """Four digits, or all of a longer year: cutting it would make two years one."""
+    text = year.cast("string")
+    return F.when(F.length(text) > 4, text).otherwise(F.lpad(text, 4, "0"))
+
+
 def quarter_key(year: Column, quarter: Column) -> Column:
-    return F.concat(F.lpad(year.cast("string"), 4, "0"), _listed(quarter, ("0331", "0630", "0930", "1231")))
+    return F.concat(_year_text(year), _listed(quarter, ("0331", "0630", "0930", "1231")))
 
 
 def quarter_period(year: Column, quarter: Column) -> Column:
     return F.concat(
-        _listed(quarter, ("03/31/", "06/30/", "09/30/", "12/31/")), F.lpad(year.cast("string"), 4, "0")
+        _listed(quarter, ("03/31/", "06/30/", "09/30/", "12/31/")), _year_text(year)
     )
 
 

@@ -12,6 +12,35 @@ from finfacts.operators.regulatory import ui_status_of_code
 from finfacts.reference_data import COMPARE_CODES, RATIO_META
 
 
+def _listed() -> list[tuple[str, int, str]]:
+    return [(category, i, c) for category, codes in COMPARE_CODES for i, c in enumerate(codes, 1)]
+
+
+def _grid(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Every member with a column for each compare code."""
+    codes = [c for _, _, c in _listed()]
+    return members.join(wide(facts.where(is_ratio("value_raw")), codes, "value_num"), CELL, "left")
+
+
+def _extremes(grid: DataFrame) -> DataFrame:
+    codes = [c for _, _, c in _listed()]
+    return grid.groupBy("set_id").agg(
+        *[F.max(c).alias(f"max_{c}") for c in codes],
+        *[F.min(c).alias(f"min_{c}") for c in codes],
+        *[F.count(c).alias(f"n_{c}") for c in codes],
+    )
+
+
+def set_extremes(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """``set_id, category, code, max_value, min_value, n_values`` of the codes that some member reports."""
+    cells = F.array(*[
+        F.struct(F.lit(category).alias("category"), F.lit(c).alias("code"), F.col(f"max_{c}").alias("max_value"),
+                 F.col(f"min_{c}").alias("min_value"), F.col(f"n_{c}").alias("n_values"))
+        for category, _, c in _listed()
+    ])
+    return _extremes(_grid(members, facts)).select("set_id", F.inline(cells)).where("n_values > 0")
+
+
 def compare(members: DataFrame, facts: DataFrame, direction_aware: bool = False) -> DataFrame:
     """``members``: ``set_id, rssd_id, quarter_date, name``. One output row per member and
     compare code that at least one member of the set reports.
@@ -21,15 +50,8 @@ def compare(members: DataFrame, facts: DataFrame, direction_aware: bool = False)
     size never has to fit one task; a hot set is split by the adaptive skew join.
     """
     meta = {m[0]: m for m in RATIO_META}
-    listed = [(category, i, c) for category, codes in COMPARE_CODES for i, c in enumerate(codes, 1)]
-    codes = [c for _, _, c in listed]
-    values = wide(facts.where(is_ratio("value_raw")), codes, "value_num")
-    grid = members.join(values, CELL, "left")
-    extremes = grid.groupBy("set_id").agg(
-        *[F.max(c).alias(f"max_{c}") for c in codes],
-        *[F.min(c).alias(f"min_{c}") for c in codes],
-        *[F.count(c).alias(f"n_{c}") for c in codes],
-    )
+    grid = _grid(members, facts)
+    extremes = _extremes(grid)
     cells = F.array(
         *[
             F.struct(
@@ -39,7 +61,7 @@ def compare(members: DataFrame, facts: DataFrame, direction_aware: bool = False)
                 F.col(c).alias("value_num"), F.col(f"max_{c}").alias("max_value"),
                 F.col(f"min_{c}").alias("min_value"), F.col(f"n_{c}").alias("n_values"),
             )
-            for category, i, c in listed
+            for category, i, c in _listed()
         ]
     )
     v, top, low = F.col("value_num"), F.col("max_value"), F.col("min_value")

@@ -107,12 +107,13 @@ def with_bank_names(frame: DataFrame, institutions: DataFrame) -> DataFrame:
 def code_presence(facts: DataFrame, required: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """For each key: is each required code present? One aggregate of flags, no code list is collected."""
     required = list(required)
-    flags = facts.groupBy(*keys).agg(
+    found = facts.where(F.col("code").isin(required)).groupBy(*keys).agg(
         *[F.max(F.when(F.col("code") == c, 1).otherwise(0)).alias(f"p{i}") for i, c in enumerate(required)]
     )
+    flags = facts.select(*keys).distinct().join(found, list(keys), "left")
     rows = F.array(
         *[
-            F.struct(F.lit(c).alias("code"), (F.col(f"p{i}") == 1).alias("present"))
+            F.struct(F.lit(c).alias("code"), (F.coalesce(f"p{i}", F.lit(0)) == 1).alias("present"))
             for i, c in enumerate(required)
         ]
     )
@@ -140,10 +141,29 @@ def find_codes(catalog: DataFrame, prefix: str | None = None, any_of: Sequence[s
     return catalog.where(test)
 
 
+def category_map(facts: DataFrame) -> DataFrame:
+    """Codes in use by category: how many, and ``code=label`` entries in code order."""
+    used = with_meta(all_codes(facts))
+    entry = F.concat_ws("=", "code", "label")
+    return used.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_codes"), F.array_join(F.sort_array(F.collect_list(entry)), ";").alias("codes")
+    )
+
+
+def listed_codes(facts: DataFrame, codes: Sequence[str], name: str = "codes") -> DataFrame:
+    """The listed codes that each cell has, in list order, as one comma text."""
+    have = wide(facts, codes, "value_num")
+    own = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in safe_codes(codes)]))
+    return have.select(*CELL, F.array_join(own, ",").alias(name))
+
+
 def castable_average(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Average of the values that are numbers; the others are skipped, none at all gives NULL.
     Summed as decimal, so the result does not depend on task order."""
-    total = F.sum(F.col("value_num").cast("decimal(30,8)")).cast("double")
+    value, large = F.col("value_num"), F.abs("value_num") >= 1e21
+    # Values too large for the decimal are summed apart.
+    total = (F.sum(F.when(large, F.lit(0.0)).otherwise(value).cast("decimal(30,8)")).cast("double")
+             + F.sum(F.when(large, value).otherwise(F.lit(0.0))))
     return facts.groupBy(*keys).agg(
         (total / F.nullif(F.count("value_num"), F.lit(0))).alias("avg_value"),
         F.count("value_num").alias("n_values"),

@@ -36,6 +36,15 @@ def to_delete(stored: DataFrame, published: DataFrame) -> DataFrame:
     return stored.join(published.select("quarter_date"), "quarter_date", "left_anti")
 
 
+def quarter_lists(facts: DataFrame) -> DataFrame:
+    """The stored quarters as comma lists, oldest first and newest first; one row."""
+    keys = F.collect_list("quarter_date")
+    return facts.select("quarter_date").distinct().agg(
+        F.array_join(F.sort_array(keys), ",").alias("oldest_first"),
+        F.array_join(F.sort_array(keys, asc=False), ",").alias("newest_first"),
+    )
+
+
 def inventory_totals(inventory: DataFrame) -> DataFrame:
     return inventory.agg(
         F.count(F.lit(1)).alias("n_quarters"),

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from finfacts.functions.numeric import is_ratio, round_half_up
-from finfacts.functions.periods import QUARTER_DOMAIN
 from finfacts.operators.facts import CELL, with_meta
 from finfacts.reference_data import PEER_BUCKETS, PEER_CODES, PEER_GROUP_ALIASES, SIZE_CODE
 
 Bucket = tuple[str, float | None, float | None]
-BROADCAST_CELLS = 5_000_000
+# A sum of decimals is exact in any order; larger magnitudes are summed apart as doubles.
+EXACT_LIMIT = 1e21
 
 
 def peer_group(name: str) -> str:
@@ -77,13 +77,24 @@ def _counted(code: str) -> Column:
     return F.nanvl(F.col(f"v_{code}"), F.lit(0.0))
 
 
+def _exact(value: Column) -> Column:
+    """The value as a decimal, 0 where it is too large for one."""
+    return F.when(F.abs(value) < EXACT_LIMIT, value).otherwise(F.lit(0.0)).cast("decimal(30,8)")
+
+
+def _large(value: Column) -> Column:
+    """The value where :func:`_exact` leaves it out, else 0."""
+    return F.when(F.abs(value) >= EXACT_LIMIT, value).otherwise(F.lit(0.0))
+
+
 def _totals(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
     return (
         rows.select(*CELL, *[f"v_{c}" for c in codes], F.inline("groups"))
         .where("is_member")
         .groupBy("quarter_date", "peer_group")
         .agg(
-            *[F.sum(_counted(c).cast("decimal(30,8)")).alias(f"sum_{c}") for c in codes],
+            *[F.sum(_exact(_counted(c))).alias(f"sum_{c}") for c in codes],
+            *[F.sum(_large(_counted(c))).alias(f"large_{c}") for c in codes],
             *[F.count(f"v_{c}").alias(f"n_{c}") for c in codes],
         )
     )
@@ -91,9 +102,9 @@ def _totals(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
 
 def size_groups(facts: DataFrame, buckets: Sequence[Bucket] = PEER_BUCKETS) -> DataFrame:
     """Every (institution, quarter, peer group) membership."""
-    sizes = facts.groupBy(*CELL).agg(
-        F.max(F.when(F.col("code") == SIZE_CODE, F.col("value_num"))).alias("size")
-    )
+    # The cells come from the id columns alone, the texts are read for one code.
+    known = facts.where(F.col("code") == SIZE_CODE).groupBy(*CELL).agg(F.max("value_num").alias("size"))
+    sizes = facts.select(*CELL).distinct().join(known, CELL, "left")
     return (
         sizes.select(*CELL, "size", F.inline(_memberships(F.col("size"), buckets)))
         .where("is_member")
@@ -110,7 +121,8 @@ def peer_averages(
         *[
             F.struct(
                 F.lit(c).alias("code"), F.col(f"n_{c}").alias("n_banks"),
-                round_half_up(F.col(f"sum_{c}").cast("double") / F.nullif(F.col(f"n_{c}"), F.lit(0)), 6)
+                round_half_up(
+                    (F.col(f"sum_{c}").cast("double") + F.col(f"large_{c}")) / F.nullif(F.col(f"n_{c}"), F.lit(0)), 6)
                 .alias("peer_average"),
             )
             for c in codes
@@ -136,10 +148,8 @@ def leave_one_out(
     names = ["all", *[b[0] for b in buckets]]
     wanted = [peer_group(g) for g in groups] if groups is not None else names
     rows = _peer_rows(facts, codes, buckets)
-    # At most one totals row per calendar quarter and group, whatever the data volume.
+    # One totals row per calendar quarter and group; adaptive execution broadcasts it by its real size.
     totals = _totals(rows, codes)
-    if QUARTER_DOMAIN * len(names) * len(codes) * 2 <= BROADCAST_CELLS:
-        totals = F.broadcast(totals)
     asked = (
         rows.select(*CELL, *[f"v_{c}" for c in codes], F.inline("groups"))
         .where(F.col("peer_group").isin(wanted))
@@ -148,13 +158,14 @@ def leave_one_out(
         *[
             F.struct(
                 F.lit(c).alias("code"), F.col(f"v_{c}").alias("v"),
-                F.col(f"sum_{c}").alias("total"), F.col(f"n_{c}").alias("n"),
+                F.col(f"sum_{c}").alias("total"), F.col(f"large_{c}").alias("large"), F.col(f"n_{c}").alias("n"),
             )
             for c in codes
         ]
     )
     # Only reported ratios get a row, and those are always castable, so a member is always counted.
-    own = F.when(F.col("is_member"), F.col("v").cast("decimal(30,8)")).otherwise(F.lit(0))
+    own = F.when(F.col("is_member"), _exact(F.col("v"))).otherwise(F.lit(0))
+    own_large = F.when(F.col("is_member"), _large(F.col("v"))).otherwise(F.lit(0.0))
     n_peers = F.coalesce("n", F.lit(0)) - F.col("is_member").cast("bigint")
     return (
         asked.join(totals, ["quarter_date", "peer_group"], "left")
@@ -162,7 +173,8 @@ def leave_one_out(
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .select(
             *CELL, "peer_group", "code", F.col("v").alias("bank_value"), n_peers.alias("n_peers"),
-            round_half_up((F.col("total") - own).cast("double") / F.nullif(n_peers, F.lit(0)), 6)
+            round_half_up(
+                ((F.col("total") - own).cast("double") + (F.col("large") - own_large)) / F.nullif(n_peers, F.lit(0)), 6)
             .alias("peer_average"),
         )
     )

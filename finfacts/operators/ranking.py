@@ -8,6 +8,9 @@ from finfacts.operators.facts import CELL, valid_ratios, wide, with_meta
 from finfacts.reference_data import PRIORITY_CODES, PRIORITY_GROUPS
 
 
+SUMMARY_CODES = sorted({c for group, _ in PRIORITY_GROUPS for c in group})
+
+
 def summary_picks(facts: DataFrame) -> DataFrame:
     """First available valid code of each summary group, per institution and quarter:
     ``group_ord, code, value_num, fallback_label``. One aggregate to a row of candidate values."""

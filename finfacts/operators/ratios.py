@@ -25,11 +25,17 @@ def custom_ratios(facts: DataFrame, definitions: Sequence[RatioDef]) -> DataFram
     numerator and a missing or zero denominator are error rows, not dropped rows. All codes are
     gathered in one aggregate instead of one self join per definition.
     """
+    definitions = [
+        d._replace(numerator=d.numerator.strip(), denominator=(d.denominator or "").strip() or None) for d in definitions
+    ]
     codes = safe_codes([c for d in definitions for c in (d.numerator, d.denominator) if c])
     number = prefix_number("value_raw")
-    rows = facts.groupBy(*CELL).agg(
+    # The cells come from the id columns alone, the texts are read for the asked codes.
+    found = facts.where(F.col("code").isin(codes)).groupBy(*CELL).agg(
         *[F.max(F.when(F.col("code") == c, number)).alias(c) for c in codes]
-    )
+    ) if codes else None
+    rows = facts.select(*CELL).distinct()
+    rows = rows.join(found, CELL, "left") if found is not None else rows
     out = []
     for d in definitions:
         num = F.col(d.numerator) if d.numerator in codes else F.lit(None).cast("double")

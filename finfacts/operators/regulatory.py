@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from finfacts.functions.numeric import fixed_text
 from finfacts.operators.facts import valid_ratios
-from finfacts.reference_data import UI_THRESHOLDS, agent_thresholds, ui_thresholds
+from finfacts.reference_data import AGENT_THRESHOLDS, UI_THRESHOLDS, agent_thresholds, ui_thresholds
 
 
 def ui_status(value: Column, minimum: Column, well: Column) -> Column:
@@ -29,7 +29,7 @@ def ui_status_label(status: Column) -> Column:
 def ui_status_of_code(code: Column, value: Column) -> Column:
     """Dashboard status straight from the fixed six-code table; NULL for other codes."""
     out = F.lit(None).cast("string")
-    for known, minimum, well, _, _ in UI_THRESHOLDS:
+    for known, minimum, well, _ in UI_THRESHOLDS:
         out = F.when(code == known, ui_status(value, F.lit(minimum), F.lit(well))).otherwise(out)
     return out
 
@@ -48,7 +48,9 @@ def regulatory_status(facts: DataFrame, ruleset: str = "ui") -> DataFrame:
     ``ruleset`` is ``ui`` (danger / warning / healthy) or ``agent`` (well / adequately / under).
     """
     spark = facts.sparkSession
-    valid = valid_ratios(facts)
+    # A literal list of codes reaches the scan; the join alone would read every code.
+    listed = [r[0] for r in (UI_THRESHOLDS if ruleset == "ui" else AGENT_THRESHOLDS)]
+    valid = valid_ratios(facts.where(F.col("code").isin(listed)))
     if ruleset == "ui":
         rows = valid.join(F.broadcast(ui_thresholds(spark)), "code")
         status = ui_status(F.col("value_num"), F.col("minimum"), F.col("well"))

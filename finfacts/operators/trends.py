@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from finfacts.functions.numeric import percent_text, prefix_number, round_half_up
+from finfacts.functions.periods import quarter_keys
 from finfacts.operators.facts import with_meta
 
 SERIES = ["rssd_id", "code"]
@@ -124,9 +125,13 @@ def first_rule_change(
     return frame.withColumn("rule_label", hit["rule_label"]).withColumn("rule_note", hit["rule_note"])
 
 
-def calendar_filled(facts: DataFrame, quarters: Sequence[str]) -> DataFrame:
-    """Every series on every listed quarter as percent text, ``-`` where nothing was reported.
+def calendar_filled(facts: DataFrame, quarters: Sequence[str] | None = None) -> DataFrame:
+    """Every series on every listed quarter as percent text, ``-`` where nothing was reported; by default every
+    quarter between the first and the last of the facts (one row is read for them).
     A series is gathered once (bounded by the calendar); no series-by-calendar join is needed."""
+    if quarters is None:
+        span = facts.agg(F.min("quarter_date").alias("a"), F.max("quarter_date").alias("b")).first()
+        quarters = quarter_keys(span.a, span.b) if span.a else []
     cells = F.map_from_entries(F.collect_list(F.struct("quarter_date", F.col("value_raw"))))
     listed = F.array(*map(F.lit, quarters))
     return (

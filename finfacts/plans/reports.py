@@ -53,7 +53,9 @@ def executive_summary(
 ) -> DataFrame:
     """The summary ratios of each institution and quarter: value, change, distance to peers, status."""
     picks = ranking.summary_picks(facts)
-    changes = trends.quarter_change(facts).select(*fx.CELL, "code", "change")
+    # Only codes that a summary can show are windowed.
+    shown = facts.where(F.col("code").isin(ranking.SUMMARY_CODES))
+    changes = trends.quarter_change(shown).select(*fx.CELL, "code", "change")
     vs_peers = peers.leave_one_out(facts, PEER_CODES, buckets, [group]).select(
         *fx.CELL, "code", "peer_average"
     )

@@ -10,10 +10,13 @@ FIELDS = [
     "call_date", "bank_rssd", "item_code", "value", "last_update", "description", "schedule",
     "line_number",
 ]
-# One delimited field: quoted (doubled quotes inside, may span lines) or plain. Possessive
-# quantifiers keep the scan linear.
-_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"[^;\n]*+|[^;\n"][^;\n]*+|)'
-_RECORD = rf"({_FIELD}(?:;{_FIELD})*+)\n"
+# One delimited field: quoted (doubled quotes inside, may span lines), quoted and never closed (it goes on
+# to the end of the text, as CSV readers have it), plain, or empty. Every byte of a text is matched by one
+# of these, so nothing is skipped. Possessive quantifiers keep the scan linear.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:{_QUOTED}"[^;\n]*+|{_QUOTED}\z|[^;\n"][^;\n]*+|)'
+_RECORD = rf"(?!\z)({_FIELD}(?:;{_FIELD})*+)(?:\n|\z)"
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def decode_payload(c: Column | str) -> Column:
@@ -36,8 +39,8 @@ def decode_payload(c: Column | str) -> Column:
 def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per data record of each filing text, other columns of ``docs`` kept.
 
-    Adds the eight trimmed fields (missing trailing ones are empty), ``section``, ``raw``,
-    ``columns`` and ``source_line_number`` (the header is record 1 and is dropped; a blank line
+    Adds the eight trimmed fields (missing trailing ones are empty), ``section``, ``columns`` with every
+    field of the record (eight at least), ``raw`` with all of them joined, and ``source_line_number`` (the header is record 1 and is dropped; a blank line
     is a record of empty fields).
     """
     body = F.regexp_replace(F.col(text), "\r\n?", "\n")
@@ -45,25 +48,28 @@ def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     records = F.regexp_extract_all(body, F.lit(_RECORD), F.lit(1))
     others = [c for c in docs.columns if c != text]
     rows = docs.select(*others, F.posexplode(records).alias("pos", "record")).where("pos > 0")
-    schema = ", ".join(f"f{i} string" for i in range(len(FIELDS)))
-    options = {
-        "sep": ";", "quote": '"', "escape": '"', "mode": "PERMISSIVE",
-        "emptyValue": "", "nullValue": "\u0000",
-    }
-    parsed = F.from_csv("record", schema, options)
-    fields = [F.coalesce(F.trim(F.col(f"p.f{i}")), F.lit("")) for i in range(len(FIELDS))]
+    # A separator in front gives every field a first character, so empty ones are matched as well.
+    fields = F.regexp_extract_all(F.concat(F.lit(";"), "record"), F.lit(f";({_FIELD})"), F.lit(1))
+    cells = F.transform(fields, lambda f: F.btrim(_unquoted(f), F.lit(_BLANKS)))
+    missing = F.greatest(F.lit(len(FIELDS)) - F.size(cells), F.lit(0))
     return (
-        rows.withColumn("p", parsed)
+        rows.withColumn("columns", F.concat(cells, F.array_repeat(F.lit(""), missing)))
         .select(
             *others, (F.col("pos") + 1).alias("source_line_number"),
-            *[f.alias(n) for f, n in zip(fields, FIELDS)],
+            *[F.element_at("columns", i).alias(n) for i, n in enumerate(FIELDS, 1)], "columns",
         )
         .withColumn("section", normalize_schedule("schedule"))
-        .withColumn("columns", F.array(*FIELDS))
         .withColumn("raw", F.array_join("columns", ";"))
     )
 
 
+def _unquoted(field: Column) -> Column:
+    """A quoted field without its quotes, doubled ones once; text after the closing quote stays."""
+    inner = F.regexp_extract(field, rf'(?s)^{_QUOTED[:1]}([^"]*+(?:""[^"]*+)*+)', 1)
+    rest = F.regexp_replace(field, rf'(?s)^{_QUOTED}"?', "")
+    return F.when(field.startswith('"'), F.concat(F.replace(inner, F.lit('""'), F.lit('"')), rest)).otherwise(field)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Filing files, one row per file: ``path, text``. A filing is one document by nature."""
     return spark.read.text(path, wholetext=True).select(

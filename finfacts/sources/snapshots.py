@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 PANEL = "ID_RSSD bigint, Name string, City string, State string"
 
 
+def _lines(text: str) -> Column:
+    return F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
+
+
+def _records(spark: SparkSession, path: str, element: str) -> DataFrame:
+    """``path, records``: all records of each snapshot file. A file holds JSON values one a line (records or
+    lists of them) or one list over any number of lines. Snapshot files are small by nature."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    kind = f"array<{element}>"
+    by_line = F.transform(_lines("text"), lambda x: F.from_json(x, kind))
+    complete = F.forall(by_line, lambda x: x.isNotNull())
+    return files.select(
+        "path", F.when(complete, F.flatten(by_line)).otherwise(F.from_json("text", kind)).alias("records")
+    )
+
+
 def read_institutions(spark: SparkSession, path: str) -> DataFrame:
-    """Panel JSON (one record per line or a list per file) to trimmed institutions."""
-    rows = spark.read.schema(PANEL).option("multiLine", "false").json(path)
+    """Panel JSON (one record per line, or a list) to trimmed institutions."""
+    rows = _records(spark, path, f"struct<{PANEL.replace(' ', ':').replace(',:', ',')}>").select(F.inline("records"))
     return rows.where(F.col("ID_RSSD").isNotNull()).select(
         F.col("ID_RSSD").cast("string").alias("rssd_id"),
         F.trim("Name").alias("name"), F.trim("City").alias("city"), F.trim("State").alias("state"),
     )
 
 
+def unreadable(spark: SparkSession, path: str, element: str = "string") -> DataFrame:
+    """Paths of snapshot files that are neither one JSON list nor a JSON value on every line."""
+    return _records(spark, path, element).where(F.col("records").isNull()).select("path")
+
+
 def read_periods(spark: SparkSession, path: str) -> DataFrame:
-    """Period lists (``["12/31/2025", ...]`` per line) to one row per valid period, listed order kept."""
-    lists = spark.read.text(path).select(F.from_json("value", "array<string>").alias("periods"))
-    return lists.select(F.posexplode("periods").alias("pos", "period")).select(
+    """Period lists (``["12/31/2025", ...]``) to one row per valid period, listed order kept."""
+    lists = _records(spark, path, "string")
+    return lists.select(F.posexplode("records").alias("pos", "period")).select(
         "period",
         F.col("pos").cast("bigint").alias("pos"),
         F.date_format(F.try_to_timestamp("period", F.lit("MM/dd/yyyy")), "yyyyMMdd").alias("quarter_date"),
     ).where(F.col("quarter_date").isNotNull())
-
-
-def newest_periods(periods: DataFrame, n: int = 12) -> DataFrame:
-    return periods.orderBy(F.col("quarter_date").desc()).limit(n)

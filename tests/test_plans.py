@@ -36,10 +36,16 @@ def test_trend_range_reaches_the_scan(spark, stored):
 
 def test_peers_use_no_pairwise_join(spark, stored):
     text = plan(peers.leave_one_out(store.read_facts(spark, stored), buckets=PANEL_BUCKETS))
-    assert "BroadcastHashJoin" in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    # The large side is shuffled once, to gather each institution's row.
-    assert "SortMergeJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["rep10_regulatory", "jn07_reg_ui"])
+def test_code_filter_of_thresholds_reaches_a_stored_scan(spark, stored, name):
+    from finfacts.operators import regulatory
+
+    rules = "agent" if name == "rep10_regulatory" else "ui"
+    text = plan(regulatory.regulatory_status(store.read_facts(spark, stored), rules))
+    assert "In(code, [" in text.split("PushedFilters: [")[1].split("\n")[0]
 
 
 def test_peers_scan_once(spark, stored):
