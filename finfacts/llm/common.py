@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +73,12 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def shared(spark: SparkSession, value) -> Callable[[], Any]:
+    """A model for the tasks: broadcast once, and by value, so that executors need not have this package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written once to the shared scratch folder and read again: lineage ends here."""
     path = scratch_path(frame.sparkSession, name)

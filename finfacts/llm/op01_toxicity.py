@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, shared, table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -138,7 +138,8 @@ def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = {f for token in set(_TOKEN.findall(text.lower())) for f in features(token)}
             (toxic if label else clean).update(found)
         names = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"feature": names, "a": [toxic[f] for f in names], "b": [clean[f] for f in names]})
+        if names:
+            yield pd.DataFrame({"feature": names, "a": [toxic[f] for f in names], "b": [clean[f] for f in names]})
 
 
 def cues(sample: DataFrame) -> list[str]:
@@ -293,10 +294,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Field | None:
     segments = sample.mapInPandas(_segments(names), "tokens array<string>, toxic int")
     segments = segments.orderBy(F.xxhash64("tokens"), "toxic").limit(MAX_SEGMENTS)
     model = fit_field([(r.tokens, r.toxic) for r in segments.collect()], names)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    opened = shared(documents.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(shared.value)
+        tagger = Tagger(opened())
         for b in batches:
             x = [summary(p) for p in tagger.texts(list(b["text"]))]
             yield pd.DataFrame({"x": x, "y": b["toxic"]})
@@ -318,10 +319,10 @@ def offending(text: str, p: np.ndarray) -> list[tuple[int, int]]:
 
 def score(documents: DataFrame, model: Field | None) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic and the offending spans of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    opened = shared(documents.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = shared.value
+        field = opened()
         tagger = Tagger(field) if field else None
         for b in batches:
             texts = [t or "" for t in b["text"]]
