@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, shared, stored, table
 
 FOLDS = 5
 MAX_DOCUMENTS = 2_000
-MAX_WORDS, MAX_GRAMS = 100_000, 100_000
+MAX_WORDS, MAX_GRAMS = 50_000, 50_000
 LONGEST_GRAM = 5
 EVIDENCE = 40
 SMOOTH = 0.5
@@ -66,7 +66,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words: Counter = Counter()
             for text in group["text"]:
                 words.update(_WORD.findall(text.lower()))
-            yield pd.DataFrame({"lang": lang, "word": list(words.keys()), "n": list(words.values())})
+            if words:
+                yield pd.DataFrame({"lang": lang, "word": list(words.keys()), "n": list(words.values())})
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,83 +76,84 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, word, n in zip(b["lang"], b["word"], b["n"]):
             for size in range(1, LONGEST_GRAM + 1):
                 for g in grams(word, size):
-                    found[lang, size, g] += n
+                    found[lang, g] += n
         keys = list(found)
-        yield pd.DataFrame({
-            "lang": [k[0] for k in keys], "size": [k[1] for k in keys], "gram": [k[2] for k in keys],
-            "n": list(found.values())})
+        if keys:
+            yield pd.DataFrame({"lang": [k[0] for k in keys], "gram": [k[1] for k in keys], "n": list(found.values())})
 
 
-def _logs(rows: list, langs: list[str]) -> dict[str, np.ndarray]:
-    """Log frequencies by language from (text, lang, n) rows, additively smoothed."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for text, lang, n in rows:
-        counts.setdefault(text, np.zeros(len(langs)))[at[lang]] += n
-    if not counts:
-        return {}
-    totals = np.log(sum(counts.values()) + SMOOTH * len(counts))
-    return {text: (np.log(c + SMOOTH) - totals).astype(np.float32) for text, c in counts.items()}
+def _logs(best: DataFrame, name: str, langs: list[str]) -> tuple[str, np.ndarray]:
+    """(the entries, one a line; their smoothed log frequencies by language) of one row for each entry."""
+    columns = [F.coalesce(F.element_at("by", lang), F.lit(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    rows = best.select(name, *columns).toPandas()  # as many rows as the model may have entries
+    counts = rows.drop(columns=name).to_numpy(np.float64)
+    totals = np.log(counts.sum(axis=0) + SMOOTH * max(len(counts), 1))
+    return "\n".join(rows[name]), (np.log(counts + SMOOTH) - totals).astype(np.float32)
 
 
-@dataclass
+@dataclass(frozen=True)
 class Model:
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by size - 1
-
-    def unseen(self, word: str) -> np.ndarray:
-        for size in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            known = [v for g in grams(word, size) if (v := self.grams[size - 1].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+    words: str
+    word_logs: np.ndarray
+    grams: str
+    gram_logs: np.ndarray
 
 
 def fit(documents: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Model:
     """The model of the learning rows' sample; what reaches the driver is bounded by MAX_WORDS and MAX_GRAMS."""
     sample = learning_sample(documents, max_documents)
-    words = sample.mapInPandas(_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = stored(sample.mapInPandas(_counts, "lang string, word string, n long")
+                   .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    counted = words.mapInPandas(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def top(frame: DataFrame, name: str, limit: int) -> DataFrame:
+        by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+        return frame.groupBy(name).agg(F.sum("n").alias("total"), by).orderBy(F.desc("total"), name).limit(limit)
+
+    return Model(langs, *_logs(top(words, "word", MAX_WORDS), "word", langs), *_logs(top(counted, "gram", MAX_GRAMS), "gram", langs))
 
-    def top(frame: DataFrame, name: str, limit: int) -> list:
-        best = frame.groupBy(name).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        kept = best.orderBy(F.desc("total"), name).limit(limit).collect()
-        return [(r[name], x.lang, x.n) for r in kept for x in r["by"]]
 
-    listed = top(words, "word", MAX_WORDS)
-    counted = words.mapInPandas(_gram_counts, "lang string, size int, gram string, n long")
-    counted = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    gram_rows = top(counted.select("lang", "gram", "n"), "gram", MAX_GRAMS)
-    langs = sorted({lang for _, lang, _ in listed})
-    by_size: list[list] = [[] for _ in range(LONGEST_GRAM)]
-    for g, lang, n in gram_rows:
-        by_size[len(g) - 1].append((g, lang, n))
-    return Model(langs, _logs(listed, langs), [_logs(rows, langs) for rows in by_size])
+def numbers_of(lines: str) -> dict[str, int]:
+    return {x: i for i, x in enumerate(lines.split("\n"))} if lines else {}
 
 
 class Scorer:
-    """Scores texts; the vectors of words are looked up once, those of unseen words kept in a bounded cache."""
+    """Scores texts. Unseen words get a row behind the known ones, in a bounded table that starts anew when full."""
 
     def __init__(self, model: Model, room: int = 100_000):
-        self.model, self.room = model, room
-        self.numbers = {w: i for i, w in enumerate(model.words)}
-        self.table = np.array(list(model.words.values()), np.float32).reshape(len(self.numbers), len(model.langs))
-        self.unseen: dict[str, np.ndarray] = {}
+        self.model = model
+        self.grams = numbers_of(model.grams)
+        self.known = len(model.word_logs)
+        self.numbers = numbers_of(model.words)
+        self.table = np.zeros((self.known + room, len(model.langs)), np.float32)
+        self.table[: self.known] = model.word_logs
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean log frequencies of the longest n-grams of which any is known."""
+        for size in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
+            at = [i for g in grams(word, size) if (i := self.grams.get(g)) is not None]
+            if at:
+                return self.model.gram_logs[at].mean(axis=0)
+        return np.zeros(len(self.model.langs), np.float32)
+
+    def _add(self, word: str) -> int:
+        number = self.numbers[word] = len(self.numbers)
+        self.table[number] = self.unseen(word)
+        return number
 
     def sums(self, text: str) -> tuple[np.ndarray, int]:
         words = _WORD.findall(text.lower())
-        numbers = list(map(self.numbers.get, words))
-        known = np.array([n for n in numbers if n is not None], np.int64)
-        total = self.table[known].sum(axis=0, dtype=np.float64) if len(known) else np.zeros(len(self.model.langs))
-        if len(known) < len(words):
-            for word, number in zip(words, numbers):
-                if number is None:
-                    vector = self.unseen.get(word)
-                    if vector is None:
-                        if len(self.unseen) >= self.room:
-                            self.unseen.clear()
-                        vector = self.unseen[word] = self.model.unseen(word)
-                    total = total + vector
+        total = np.zeros(len(self.model.langs))
+        # Bounded slices, so that the table has room for the new words of any text.
+        for start in range(0, len(words), 10_000):
+            part = words[start : start + 10_000]
+            if len(self.numbers) + len(part) > len(self.table):
+                self.numbers = numbers_of(self.model.words)
+            get = self.numbers.get
+            at = [i if (i := get(w)) is not None else self._add(w) for w in part]
+            total += self.table[at].sum(axis=0, dtype=np.float64)
         return total, len(words)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -166,10 +168,10 @@ class Scorer:
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    opened = shared(documents.sparkSession, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(opened())
         for b in batches:
             found = [scorer.predict(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"],
@@ -182,11 +184,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 def accepted(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is told with ``min_score``, with all their columns; learned on the same table."""
     model = fit(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    opened = shared(documents.sparkSession, model)
 
     @F.pandas_udf("boolean")
     def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(opened())
         for batch in texts:
             found = [scorer.predict(t) for t in batch]
             yield pd.Series([lang != UNKNOWN and score >= min_score for lang, score in found], dtype=bool)
