@@ -46,7 +46,7 @@ def _memberships(size: Column, buckets: Sequence[Bucket]) -> Column:
     return F.array(*rows)
 
 
-def _peer_rows(facts: DataFrame, codes: Sequence[str], buckets: Sequence[Bucket]) -> DataFrame:
+def peer_rows(facts: DataFrame, codes: Sequence[str], buckets: Sequence[Bucket]) -> DataFrame:
     """One row per institution and quarter with a column ``v_<code>`` per code, and the memberships.
 
     A zero text that counts for peers but is no reported ratio is kept as NaN (no text parses to
@@ -72,7 +72,7 @@ def _peer_rows(facts: DataFrame, codes: Sequence[str], buckets: Sequence[Bucket]
     )
 
 
-def _counted(code: str) -> Column:
+def counted(code: str) -> Column:
     """The value as peers count it."""
     return F.nanvl(F.col(f"v_{code}"), F.lit(0.0))
 
@@ -87,19 +87,45 @@ def _large(value: Column) -> Column:
     return F.when(F.abs(value) >= EXACT_LIMIT, value).otherwise(F.lit(0.0))
 
 
-def _totals(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
+def group_totals(rows: DataFrame, codes: Sequence[str]) -> DataFrame:
     return (
         rows.select(*CELL, *[f"v_{c}" for c in codes], F.inline("groups"))
         .where("is_member")
         .groupBy("quarter_date", "peer_group")
         .agg(
-            *[F.sum(_exact(_counted(c))).alias(f"sum_{c}") for c in codes],
-            *[F.sum(_large(_counted(c))).alias(f"large_{c}") for c in codes],
+            *[F.sum(_exact(counted(c))).alias(f"sum_{c}") for c in codes],
+            *[F.sum(_large(counted(c))).alias(f"large_{c}") for c in codes],
             *[F.count(f"v_{c}").alias(f"n_{c}") for c in codes],
         )
     )
 
 
+def is_member(group: str) -> Column:
+    return F.exists("groups", lambda g: (g["peer_group"] == group) & g["is_member"])
+
+
+def one_group_totals(rows: DataFrame, codes: Sequence[str], group: str) -> DataFrame:
+    """Totals of one group, one row a quarter. Members are told apart inside the sums: a filter would send
+    the planner looking for partitions to prune with the other side of the join."""
+    inside = rows.withColumn("inside", is_member(group))
+    return inside.groupBy("quarter_date").agg(
+        *[F.sum(F.when(F.col("inside"), _exact(counted(c)))).alias(f"sum_{c}") for c in codes],
+        *[F.sum(F.when(F.col("inside"), _large(counted(c)))).alias(f"large_{c}") for c in codes],
+        *[F.count(F.when(F.col("inside"), F.col(f"v_{c}"))).alias(f"n_{c}") for c in codes],
+    )
+
+
+def others_average(code: str, value: Column, is_member: Column) -> Column:
+    """The group's average of a code without the institution itself, from a joined row of totals. A member
+    that reports nothing is not counted, so nothing is taken away for it."""
+    counts = is_member & value.isNotNull()
+    own = F.when(counts, _exact(F.nanvl(value, F.lit(0.0)))).otherwise(F.lit(0))
+    own_large = F.when(counts, _large(F.nanvl(value, F.lit(0.0)))).otherwise(F.lit(0.0))
+    n = F.coalesce(f"n_{code}", F.lit(0)) - counts.cast("bigint")
+    total = (F.col(f"sum_{code}") - own).cast("double") + (F.col(f"large_{code}") - own_large)
+    return round_half_up(total / F.nullif(n, F.lit(0)), 6)
+
+
 def size_groups(facts: DataFrame, buckets: Sequence[Bucket] = PEER_BUCKETS) -> DataFrame:
     """Every (institution, quarter, peer group) membership."""
     # The cells come from the id columns alone, the texts are read for one code.
@@ -116,7 +142,7 @@ def peer_averages(
     facts: DataFrame, codes: Sequence[str] = PEER_CODES, buckets: Sequence[Bucket] = PEER_BUCKETS
 ) -> DataFrame:
     """Plain group averages ``(quarter_date, peer_group, code, n_banks, peer_average)``."""
-    totals = _totals(_peer_rows(facts, codes, buckets), codes)
+    totals = group_totals(peer_rows(facts, codes, buckets), codes)
     cells = F.array(
         *[
             F.struct(
@@ -147,9 +173,9 @@ def leave_one_out(
     """
     names = ["all", *[b[0] for b in buckets]]
     wanted = [peer_group(g) for g in groups] if groups is not None else names
-    rows = _peer_rows(facts, codes, buckets)
+    rows = peer_rows(facts, codes, buckets)
     # One totals row per calendar quarter and group; adaptive execution broadcasts it by its real size.
-    totals = _totals(rows, codes)
+    totals = group_totals(rows, codes)
     asked = (
         rows.select(*CELL, *[f"v_{c}" for c in codes], F.inline("groups"))
         .where(F.col("peer_group").isin(wanted))

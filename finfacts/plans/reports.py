@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from finfacts.functions.numeric import auto_text, fixed_text, round_half_up
 from finfacts.functions.periods import quarter_label
 from finfacts.operators import facts as fx, items as it, peers, ranking, regulatory, trends
-from finfacts.reference_data import PEER_BUCKETS, PEER_CODES, RULE_CHANGES
+from finfacts.reference_data import PEER_BUCKETS, PEER_CODES, PRIORITY_GROUPS, RULE_CHANGES
 
 
 def key_ratios(facts: DataFrame) -> DataFrame:
@@ -51,18 +51,32 @@ def peer_comparison(
 def executive_summary(
     facts: DataFrame, buckets: Sequence[peers.Bucket] = PEER_BUCKETS, group: str = "all"
 ) -> DataFrame:
-    """The summary ratios of each institution and quarter: value, change, distance to peers, status."""
-    picks = ranking.summary_picks(facts)
-    # Only codes that a summary can show are windowed.
-    shown = facts.where(F.col("code").isin(ranking.SUMMARY_CODES))
-    changes = trends.quarter_change(shown).select(*fx.CELL, "code", "change")
-    vs_peers = peers.leave_one_out(facts, PEER_CODES, buckets, [group]).select(
-        *fx.CELL, "code", "peer_average"
-    )
-    key = [*fx.CELL, "code"]
-    rows = fx.with_meta(picks.join(changes, key, "left").join(vs_peers, key, "left"))
+    """The summary ratios of each institution and quarter: value, change, distance to peers, status.
+
+    One aggregate gives a row per institution and quarter with every code that a summary needs: the change is a
+    window over these rows and the picks are an expression. The peers' totals are a second, narrower scan.
+    """
+    codes = sorted({*PEER_CODES, *ranking.SUMMARY_CODES})
+    rows = peers.peer_rows(facts, codes, buckets)
+    name = peers.peer_group(group)
+    totals = peers.one_group_totals(rows, PEER_CODES, name)
+    before = W.partitionBy("rssd_id").orderBy("quarter_date").rowsBetween(W.unboundedPreceding, -1)
+    wide = rows.select("*", peers.is_member(name).alias("member"), *[
+        F.last(peers.counted(c), ignorenulls=True).over(before).alias(f"prev_{c}") for c in ranking.SUMMARY_CODES
+    ]).join(totals, "quarter_date", "left")
+
+    def pick(g: int, code: str):
+        v = F.col(f"v_{code}")
+        average = peers.others_average(code, v, F.col("member")) if code in PEER_CODES else F.lit(None).cast("double")
+        return F.when(v.isNotNull() & ~F.isnan(v), F.struct(
+            F.lit(g).cast("bigint").alias("group_ord"), F.lit(code).alias("code"), v.alias("value_num"),
+            round_half_up(v - F.col(f"prev_{code}"), 6).alias("change"), average.alias("peer_average")))
+
+    picks = F.array_compact(F.array(*[
+        F.coalesce(*[pick(g, c) for c in group_codes]) for g, (group_codes, _) in enumerate(PRIORITY_GROUPS, 1)]))
+    shown = fx.with_meta(wide.select(*fx.CELL, F.inline(picks)))
     status = regulatory.ui_status_of_code(F.col("code"), F.col("value_num"))
-    return rows.select(
+    return shown.select(
         *fx.CELL, "group_ord", "code", "label", "category", "value_num",
         auto_text("value_num").alias("display"),
         F.coalesce(fixed_text("change", 2), F.lit("-")).alias("qoq_change"),

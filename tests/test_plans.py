@@ -55,6 +55,15 @@ def test_peers_scan_once(spark, stored):
     assert frame._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
 
 
+def test_summary_scans_twice_at_most(spark, stored):
+    frame = reports.executive_summary(store.read_facts(spark, stored), PANEL_BUCKETS)
+    frame.collect()
+    final = plan(frame).split("== Initial Plan ==")[0]
+    # The second scan reads the peers' codes only, for the totals.
+    assert final.count("FileScan parquet") <= 2
+    assert all("In(code, [" in part.split("\n")[0] for part in final.split("PushedFilters: [")[1:])
+
+
 def test_top_rows_limit_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in plan(QUERIES["srt05_top10_schedule"](spark, sf_dir))
     assert "WindowGroupLimit" in plan(trends.sparkline(facts(spark, sf_dir)))
