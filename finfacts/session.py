@@ -24,11 +24,22 @@ DEFAULTS = {
 }
 
 
+# On a cluster shuffles start with thousands of partitions: adaptive execution joins small ones, but cannot split
+# the partitions of an aggregate later.
+CLUSTER = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000"}
+
+
+def _is_local(master: str) -> bool:
+    """One process for driver and executors, so that they share a disk."""
+    return master == "local" or master.startswith("local[")
+
+
 def build_session(app: str = "finfacts", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    cluster = {} if master and _is_local(master) else CLUSTER
+    for key, value in {**DEFAULTS, **cluster, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -41,7 +52,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _is_local(spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="finfacts-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
