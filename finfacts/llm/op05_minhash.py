@@ -8,9 +8,11 @@ with probability 3e-7.
 Equal sets become one node first, so copies meet no further step. Candidates are then confirmed on full sets:
 
 1. every node of a bucket against the bucket's least node (a star: linear in the bucket);
-2. within buckets whose nodes are still in different components, the pairs of different components whose set sizes
-   allow the similarity and whose signatures differ in at most MAX_BITS of 192 single-bit coordinates (a pair at 0.8
-   differs in 19 on average; 46 is more than six standard deviations away). Both tests run inside the join.
+2. within buckets whose nodes are still in different components, the pairs of different components that may reach
+   the similarity by three tests inside the join: the set sizes; the parities of 1024 shingle counters, whose number
+   of differences never exceeds the sets' symmetric difference, so no link fails it; and the signatures, which may
+   differ in at most MAX_BITS of 192 single-bit coordinates (a pair at 0.8 differs in 19 on average; 46 is more than
+   six standard deviations away).
 
 Pairs that are already in one component are never compared: more links would not change the components.
 
@@ -27,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import HashCache, mix, stored, table, windows
@@ -37,8 +39,9 @@ SHINGLE = 4
 PERCENT = 80
 BANDS, ROWS, COORDINATES = 38, 5, 192
 MAX_BITS = 46
+PARITIES = 1024
 
-_PROFILE = "doc_id long, n_shingles long, node long, buckets array<long>, bits array<long>"
+_PROFILE = "doc_id long, n_shingles long, node long, buckets array<long>, bits array<long>, odd array<long>"
 
 
 def shingles(text: str | None, width: int, cache: HashCache) -> np.ndarray:
@@ -74,17 +77,24 @@ def signature(shingle_hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(shingle_hashes: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles that fall to each of PARITIES counters."""
+    at = (shingle_hashes >> np.uint64(17)) % np.uint64(PARITIES)
+    odd = np.bincount(at.astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _profile(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = HashCache()
         salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for b in batches:
-            sizes, nodes, buckets, bits = [], [], [], []
+            sizes, nodes, buckets, bits, odd = [], [], [], [], []
             for text in b["text"]:
                 found = shingles(text, width, cache)
                 sizes.append(len(found))
                 if not len(found):
-                    nodes.append(None), buckets.append(None), bits.append(None)
+                    nodes.append(None), buckets.append(None), bits.append(None), odd.append(None)
                     continue
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - 2**63)
                 s = signature(found)
@@ -94,8 +104,9 @@ def _profile(width: int):
                     key = mix(key ^ rows[:, r]) + np.uint64(r)
                 buckets.append(key.view(np.int64))
                 bits.append(np.packbits((s & 1).astype(np.uint8)).view(np.int64))
+                odd.append(parities(found))
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": sizes, "node": pd.array(nodes, "Int64"),
-                                "buckets": buckets, "bits": bits})
+                                "buckets": buckets, "bits": bits, "odd": odd})
 
     return run
 
@@ -154,7 +165,7 @@ def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     nodes = stored(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     # One profile row for each node: that of its least document.
     heads = usable.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"])
-    buckets = stored(heads.select("node", F.col("n_shingles").alias("n"), "bits", F.explode("buckets").alias("bucket")), "buckets")
+    buckets = stored(heads.select("node", F.explode("buckets").alias("bucket")), "buckets")
 
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w")
     stars = buckets.join(shared, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
@@ -164,11 +175,19 @@ def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
 
     named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    open_rows = stored(named.join(mixed.select("bucket"), "bucket"), "open")
+    sketches = heads.select("node", F.col("n_shingles").alias("n"), "bits", "odd")
+    open_rows = stored(named.join(mixed.select("bucket"), "bucket").join(sketches, "node"), "open")
     a, b = open_rows.alias("a"), open_rows.alias("b")
-    differing = reduce(lambda x, y: x + y, (F.bit_count(F.col("a.bits")[i].bitwiseXOR(F.col("b.bits")[i])) for i in range(3)))
-    sizes = (100 * F.col("a.n") >= percent * F.col("b.n")) & (100 * F.col("b.n") >= percent * F.col("a.n"))
-    close = (F.col("a.component") < F.col("b.component")) & sizes & (differing <= MAX_BITS)
+
+    def differing(name: str, words: int) -> Column:
+        each = (F.bit_count(F.col(f"a.{name}")[i].bitwiseXOR(F.col(f"b.{name}")[i])) for i in range(words))
+        return reduce(lambda x, y: x + y, each)
+
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    sizes = (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
+    # Similarity p means a symmetric difference of at most (1 - p) / (1 + p) of both sizes together.
+    apart = (100 + percent) * differing("odd", PARITIES // 64) <= (100 - percent) * (n_a + n_b)
+    close = (F.col("a.component") < F.col("b.component")) & sizes & apart & (differing("bits", COORDINATES // 64) <= MAX_BITS)
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & close).select(
         F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
     pairs = stored(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
@@ -188,7 +207,8 @@ def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
 def deduplicated(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each group, its least doc_id, and all columns; identical rows count as one."""
     verdict = link(documents, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    found = documents.where("doc_id is not null").join(verdict, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = documents.where("doc_id is not null").join(verdict, "doc_id", "left_semi")
+    found = found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return found.unionByName(documents.where("doc_id is null"))
 
 
