@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finfacts.session import scratch_path
+from finfacts.sources.store import delete_path
 
 #: The six separators of ``[^\x20\x09-\x0D]+``; everything else belongs to a word.
 SPACES = "\t\n\x0b\x0c\r "
@@ -73,17 +74,33 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def shared(spark: SparkSession, value) -> Callable[[], Any]:
-    """A model for the tasks: broadcast once, and by value, so that executors need not have this package."""
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)
+def shared(spark: SparkSession, value, make: Callable[[Any], Any] = lambda value: value) -> Callable[[], Any]:
+    """``make(value)`` for the tasks. The value is broadcast once, and by value, so that executors need not have this
+    package. What is made of it stays with the broadcast in a worker process and serves its later tasks too."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps((value, make)))
+
+    def opened():
+        if not hasattr(sent, "made"):
+            value, make = pickle.loads(sent.value)
+            sent.made = make(value)
+        return sent.made
+
+    return opened
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written once to the shared scratch folder and read again: lineage ends here."""
     path = scratch_path(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of ``stored`` frames. Only for frames that nothing unwritten still reads."""
+    for frame in frames:
+        delete_path(frame.sparkSession, frame.scratch)
 
 
 def row_key(*columns: str) -> Column:

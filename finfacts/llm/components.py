@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -33,8 +33,11 @@ def components(links: DataFrame) -> DataFrame:
     links = stored(links, "links")
     seen = None
     while True:
-        links = stored(_small_star(_large_star(links).distinct()), "links")
+        old, links = links, stored(_small_star(_large_star(links).distinct()), "links")
+        discard(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out.scratch = links.scratch
+            return out
         seen = state

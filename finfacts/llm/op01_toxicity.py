@@ -294,10 +294,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Field | None:
     segments = sample.mapInPandas(_segments(names), "tokens array<string>, toxic int")
     segments = segments.orderBy(F.xxhash64("tokens"), "toxic").limit(MAX_SEGMENTS)
     model = fit_field([(r.tokens, r.toxic) for r in segments.collect()], names)
-    opened = shared(documents.sparkSession, model)
+    opened = shared(documents.sparkSession, model, Tagger)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(opened())
+        tagger = opened()
         for b in batches:
             x = [summary(p) for p in tagger.texts(list(b["text"]))]
             yield pd.DataFrame({"x": x, "y": b["toxic"]})
@@ -319,16 +319,15 @@ def offending(text: str, p: np.ndarray) -> list[tuple[int, int]]:
 
 def score(documents: DataFrame, model: Field | None) -> DataFrame:
     """doc_id, held_out, score, predicted, n_toxic and the offending spans of every document."""
-    opened = shared(documents.sparkSession, model)
+    opened = shared(documents.sparkSession, model, lambda m: Tagger(m) if m else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        field = opened()
-        tagger = Tagger(field) if field else None
+        tagger = opened()
         for b in batches:
             texts = [t or "" for t in b["text"]]
             scores, spans = [], []
             for text, p in zip(texts, tagger.texts(texts) if tagger else (np.zeros(0) for _ in texts)):
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(field.score, summary(p))))))) if field else 0.0)
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(tagger.model.score, summary(p))))))) if tagger else 0.0)
                 spans.append(offending(text, p))
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "held_out": b["held_out"], "score": scores,

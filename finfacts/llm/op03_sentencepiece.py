@@ -297,10 +297,10 @@ def encode(documents: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip (the decoded ids equal the text) of every document."""
     with open(model_path, "rb") as f:
         model = read_model(f.read())
-    opened = shared(documents.sparkSession, model)
+    opened = shared(documents.sparkSession, model, Machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(opened())
+        machine = opened()
         for batch in batches:
             # A few hundred documents at a time, so that ids never fill the memory.
             for start in range(0, batch.num_rows, 256):
@@ -325,10 +325,10 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, token_ids; null ids give a null text."""
     with open(model_path, "rb") as f:
         model = read_model(f.read())
-    opened = shared(encoded.sparkSession, model)
+    opened = shared(encoded.sparkSession, model, Machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Machine(opened())
+        machine = opened()
         for batch in batches:
             texts = [None if ids is None else machine.decode(np.array(ids, np.int64)) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])

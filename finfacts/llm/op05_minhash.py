@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashCache, mix, stored, table, windows
+from .common import HashCache, discard, mix, stored, table, windows
 from .components import components
 
 SHINGLE = 4
@@ -155,7 +155,9 @@ def _confirmed(candidates: DataFrame, nodes: DataFrame, documents: DataFrame, wi
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     # The second join leaves the pairs of one v together, so its set is built once.
     pairs = candidates.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-    return stored(pairs.mapInPandas(_verify(width, percent), "u long, v long"), "confirmed")
+    links = stored(pairs.mapInPandas(_verify(width, percent), "u long, v long"), "confirmed")
+    discard(texts)
+    return links
 
 
 def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -171,9 +173,9 @@ def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     stars = buckets.join(shared, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     stars = stored(stars, "stars")
     links = _confirmed(stars, nodes, documents, width, percent)
-    labels = components(links)
+    first = components(links)
 
-    named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     sketches = heads.select("node", F.col("n_shingles").alias("n"), "bits", "odd")
     open_rows = stored(named.join(mixed.select("bucket"), "bucket").join(sketches, "node"), "open")
@@ -193,6 +195,8 @@ def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     pairs = stored(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
     more = _confirmed(pairs, nodes, documents, width, percent)
     labels = components(links.unionAll(more))
+    # From here on only the profiles, the nodes and their labels are read.
+    discard(buckets, stars, links, first, open_rows, pairs, more)
 
     # Least doc_id of a component from its nodes, not from all copies.
     placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -168,10 +168,10 @@ class Scorer:
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    opened = shared(documents.sparkSession, model)
+    opened = shared(documents.sparkSession, model, Scorer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(opened())
+        scorer = opened()
         for b in batches:
             found = [scorer.predict(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"],
@@ -184,11 +184,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 def accepted(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is told with ``min_score``, with all their columns; learned on the same table."""
     model = fit(documents)
-    opened = shared(documents.sparkSession, model)
+    opened = shared(documents.sparkSession, model, Scorer)
 
     @F.pandas_udf("boolean")
     def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(opened())
+        scorer = opened()
         for batch in texts:
             found = [scorer.predict(t) for t in batch]
             yield pd.Series([lang != UNKNOWN and score >= min_score for lang, score in found], dtype=bool)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, stored, table, windows
+from .common import HashCache, discard, stored, table, windows
 
 WORDS, ANCHOR = 20, 6
 HEAVY = 20_000
@@ -223,6 +223,7 @@ def remove_repeats(documents: DataFrame, heavy: int = HEAVY) -> DataFrame:
     grouped = suffixes.withColumn("part", part).drop("times").repartition("anchor", "part")
     ordered = grouped.sortWithinPartitions("anchor", "part", "d", "th", "lo")
     marks = stored(ordered.mapInArrow(_repeats, "d long, th int, lo int, mask long, anchor long, window long"), "marks")
+    discard(anchors)
     node = Window.partitionBy("anchor", "window").orderBy("d", "th", "lo")
     later = marks.where("window is not null").withColumn("i", F.row_number().over(node)).where("i > 1")
     columns = ["d", "th", "lo", "mask"]
