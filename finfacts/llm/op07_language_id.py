@@ -6,8 +6,10 @@ at the same order, so no back-off penalty is needed. The prediction is the langu
 first by name); its score is the posterior at ``EVIDENCE`` words at most, so long texts don't saturate at once.
 
 The model is fitted on a bounded sample: at most ``MAX_DOCUMENTS`` whole texts of each language, the ones of least
-hash among the learning rows. It keeps the ``MAX_WORDS`` and ``MAX_GRAMS`` most frequent entries, so its size is
-bounded and it is broadcast. Every document is scored on its whole text.
+hash among the learning rows. It keeps about the ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams that are most frequent
+in each language (of the last level of equal frequency, the share that fits, by hash), so a small language loses
+nothing to a large one. Its size is bounded by the number of languages and it is broadcast. Every document is scored
+on its whole text.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any learning row every text is ``und``.
 Repeated rows are scored each; rows with a null language never train.
@@ -30,7 +32,8 @@ from .common import remainder, shared, stored, table
 
 FOLDS = 5
 MAX_DOCUMENTS = 2_000
-MAX_WORDS, MAX_GRAMS = 50_000, 50_000
+#: For each language.
+MAX_WORDS, MAX_GRAMS = 100_000, 100_000
 LONGEST_GRAM = 5
 EVIDENCE = 40
 SMOOTH = 0.5
@@ -100,18 +103,25 @@ class Model:
     gram_logs: np.ndarray
 
 
+def top(frame: DataFrame, name: str, limit: int) -> DataFrame:
+    """``name`` and ``by`` (its counts by language) of the entries that are among the ``limit`` first of any language."""
+    # One row for each frequency, so no language's entries are ranked in one task.
+    levels = frame.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    fits = levels.select("lang", "n", ((limit - (upto - F.col("c"))) / F.col("c")).alias("share")).where("share > 0")
+    within = F.pmod(F.xxhash64(name), F.lit(1_000_000)) < F.coalesce("share", F.lit(0.0)) * 1_000_000
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+    return frame.join(F.broadcast(fits), ["lang", "n"], "left").groupBy(name).agg(by, F.max(within).alias("within")).where("within")
+
+
 def fit(documents: DataFrame, max_documents: int = MAX_DOCUMENTS) -> Model:
-    """The model of the learning rows' sample; what reaches the driver is bounded by MAX_WORDS and MAX_GRAMS."""
+    """The model of the learning rows' sample; what reaches the driver is bounded by the limits of each language."""
     sample = learning_sample(documents, max_documents)
     words = stored(sample.mapInPandas(_counts, "lang string, word string, n long")
                    .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
-    counted = words.mapInPandas(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    def top(frame: DataFrame, name: str, limit: int) -> DataFrame:
-        by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-        return frame.groupBy(name).agg(F.sum("n").alias("total"), by).orderBy(F.desc("total"), name).limit(limit)
-
+    counted = stored(words.mapInPandas(_gram_counts, "lang string, gram string, n long")
+                     .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     return Model(langs, *_logs(top(words, "word", MAX_WORDS), "word", langs), *_logs(top(counted, "gram", MAX_GRAMS), "gram", langs))
 
 

@@ -36,3 +36,18 @@ def test_odd_rows(odd_documents, documents_of):
     assert {r.lang_pred for r in op.predict(odd_documents, nothing).collect()} == {"und"}
     kept = op.accepted(odd_documents)
     assert kept.columns == odd_documents.columns and not {r.doc_id for r in kept.collect()} & {1, 2, 3}
+
+
+def test_small_languages_keep_their_words(documents_of):
+    many = " ".join("w" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_000))
+    model = op.fit(documents_of([(1, f"{many} {many}", "en"), (2, "das haus steht dort", "de")]))
+    words = set(model.words.split("\n"))
+    assert len(words) == 60_004 == len(model.word_logs) and {"das", "haus", "steht", "dort"} <= words
+    assert len(set(model.grams.split("\n"))) == len(model.gram_logs) and "haus\x03" in model.grams.split("\n")
+
+
+def test_limits_hold_for_each_language(spark):
+    rows = [("en", f"e{i}", 5 if i < 10 else 1) for i in range(2000)] + [("de", f"d{i}", 1) for i in range(20)] + [("de", "e3", 1)]
+    kept = {r.word: r.by for r in op.top(spark.createDataFrame(rows, "lang string, word string, n long"), "word", 100).collect()}
+    assert {f"e{i}" for i in range(10)} | {f"d{i}" for i in range(20)} <= kept.keys()
+    assert 60 <= sum(w[0] == "e" for w in kept) <= 140 and kept["e3"] == {"en": 5, "de": 1}
