@@ -260,6 +260,23 @@ def test_json_lists_over_several_lines(spark):
     assert [r.path.endswith("broken.json") for r in snapshots.unreadable(spark, f"{root}/in").collect()] == [True]
 
 
+def test_a_broken_line_loses_no_other(spark):
+    from finfacts.sources import snapshots
+
+    root, drop = _folder(spark, "brokenlines")
+    drop("lines.json", b'{"ID_RSSD": 1, "Name": "A"}\r\n{"ID_RSSD": 2, "Na\n\n{"ID_RSSD": 3, "Name": "C"}\n')
+    drop("open.json", b'[\n{"ID_RSSD": 4, "Name": "D"},\n{"ID_RSSD": 5, "Na\n')
+    drop("lists.json", b'[{"ID_RSSD": 6, "Name": "F"}]\n[{"ID_RSSD": 7\n[{"ID_RSSD": 8, "Name": "H"}]\n')
+    assert sorted((r.rssd_id, r.name) for r in snapshots.read_institutions(spark, f"{root}/in").collect()) == [
+        ("1", "A"), ("3", "C"), ("4", "D"), ("6", "F"), ("8", "H")]
+    bad = {r.path.rsplit("/", 1)[1]: r.n_lines for r in snapshots.unreadable(spark, f"{root}/in", "struct<ID_RSSD:bigint>").collect()}
+    assert bad == {"lines.json": 1, "open.json": 2, "lists.json": 1}
+    root, drop = _folder(spark, "periodlines")
+    drop("p.json", b'["12/31/2025", "no date"]\n["09/30/2025",\n["06/30/2025"]\n')
+    assert sorted((r.pos, r.quarter_date) for r in snapshots.read_periods(spark, f"{root}/in").collect()) == [
+        (0, "20251231"), (2, "20250630")]
+
+
 def test_one_very_large_value_spoils_no_average(facts_of):
     from finfacts.operators import facts as fx, peers
 
