@@ -4,7 +4,7 @@ Strong spans (assign, access, hex) need no partner. A weak part is a short assig
 token or an endpoint: common in clean text by itself. Each text is cut into scopes of ``scope`` code points; an
 interval join asks, for every weak part, whether a complementary kind starts within ``scope`` of it:
 
-* ``weak`` (a mixed token of 16+ characters) counts beside an access identifier or a login name;
+* ``weak`` (a mixed token of 16+ characters, without a name= before it) counts beside an access identifier or a login name;
 * ``login`` (a login or client identifier) counts beside a secret, weak or strong;
 * ``endpoint`` (an address with a scheme for stores or queues, or a host and port) counts beside a login or secret.
 
@@ -33,13 +33,19 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 # A run below the length can hold no longer match, so these two need no test afterwards.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[a-z0-9+/_=-]{0,64}[A-Z])[A-Za-z0-9+/_=-]{16,64}(?![A-Za-z0-9+/_=-])"
-LOGIN = r"""(?i:(?:user(?:name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{2,64})"""
-ENDPOINT = r"(?i:(?:s3|amqps?|postgres(?:ql)?|mysql|mongodb|redis|ftps?|sftp|jdbc:[a-z]+)://[A-Za-z0-9.:@/_-]{3,256})"
+# Group 2 is the span: behind a name and its '=' if what follows is a token by itself, else the whole run.
+WEAK = (r"(?<![A-Za-z0-9+/_=-])([A-Za-z_][A-Za-z0-9_-]*=+)?"
+        r"((?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{16,})")
+LOGIN = r"""(?i:(?:user(?:name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{2,})"""
+# Printable ASCII without the space, quotation marks, backticks and angle brackets.
+_URL = r"[!#-;=?-_a-~]"
+ENDPOINT = (rf"(?i:(?:s3|amqps?|postgres(?:ql)?|mysql|mongodb|redis|ftps?|sftp|jdbc:[a-z]+)://{_URL}{{3,}}"
+            rf"|(?<![A-Za-z0-9._-])(?:[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z][A-Za-z0-9-]*|[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}|localhost)"
+            rf":[0-9]{{2,5}}(?![A-Za-z0-9])(?:/{_URL}*)?)")
 #: Cheap tests that a text must pass before the full pattern is tried; each is implied by its pattern.
 HINTS = {
     "assign": r"(?i:pass|secret|token|api)", "login": r"(?i:user|login|client|account|access)",
-    "endpoint": r"://", "access": "AKIA",
+    "endpoint": r"://|:[0-9]{2}", "access": "AKIA",
 }
 PARTNERS = {
     "weak": ("access", "login"),
@@ -57,7 +63,7 @@ def _hits(kind: str, text: Column, pattern: str) -> Column:
     """Every match as (length of the text since the last one, its length, length of group 2)."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     lens = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda x: F.length(x)) if kind == "assign" else lens
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda x: F.length(x)) if kind in ("assign", "weak") else lens
     # There is one gap more than matches: the zip's last entry has a null length and goes later.
     zipped = F.arrays_zip(gaps.alias("gap"), lens.alias("len"), values.alias("value")).cast(_HITS)
     likely = text.contains(HINTS[kind]) if kind == "access" else text.rlike(HINTS[kind]) if kind in HINTS else F.lit(True)
@@ -80,7 +86,7 @@ def spans_of(found: DataFrame) -> DataFrame:
     end = F.sum(F.col("h.gap") + F.col("h.len")).over(upto)
     placed = rows.select("key", "kind", F.col("h.value").alias("value"), F.col("h.len").alias("len"), end.alias("end"))
     return placed.where((F.col("kind") != "assign") | (F.col("value") >= MIN_ASSIGN)).select(
-        "key", "kind", (F.col("end") - F.col("len")).alias("start"), "end")
+        "key", "kind", (F.col("end") - F.when(F.col("kind") == "weak", F.col("value")).otherwise(F.col("len"))).alias("start"), "end")
 
 
 def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
