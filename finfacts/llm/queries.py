@@ -17,6 +17,9 @@ from .op08_embedding_dedup import op8_embedding_dedup
 from .op09_substring_dedup import ORACLE as _sql9
 from .op09_substring_dedup import op9_substring_dedup
 from .op10_source_mixing import op10_source_mixing
+from .op12_vector_codes import ORACLE as _sql12
+from .op12_vector_codes import op12_vector_codes
+from .op13_periodic_runs import op13_periodic_runs
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -29,6 +32,8 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op2_quality_rules": _sql2,
@@ -36,4 +41,5 @@ ORACLES = {
     "op6_url_filters": _sql6,
     "op8_embedding_dedup": _sql8,
     "op9_substring_dedup": _sql9,
+    "op12_vector_codes": _sql12,
 }
