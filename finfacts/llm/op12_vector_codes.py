@@ -303,8 +303,8 @@ def _of_length(vectors: DataFrame, length: int) -> DataFrame:
     spark = vectors.sparkSession
     own = vectors.where(F.size("vec") == length)
     first = own.select("vec_id", "vec", "row_id").orderBy(F.col("vec_id").asc_nulls_last(), "vec", "row_id").limit(ENTRIES)
-    begin = first.collect()
-    begin = np.array([r.vec for r in begin], np.float64).reshape(len(begin), length)
+    listed = first.collect()
+    begin = np.array([r.vec for r in listed], np.float64).reshape(len(listed), length)
     books = [whole(begin[:, a:b]) for a, b in zip(_bounds(length), _bounds(length)[1:])]
     low, high = begin.min(axis=0), begin.max(axis=0)
     parts = own.select("row_id", "vec").mapInArrow(_cut(length, low, high), "part int, key binary, row_id long, vals binary")

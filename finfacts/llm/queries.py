@@ -17,6 +17,7 @@ from .op08_embedding_dedup import op8_embedding_dedup
 from .op09_substring_dedup import ORACLE as _sql9
 from .op09_substring_dedup import op9_substring_dedup
 from .op10_source_mixing import op10_source_mixing
+from .op11_quality_classifier import op11_quality_classifier
 from .op12_vector_codes import ORACLE as _sql12
 from .op12_vector_codes import op12_vector_codes
 from .op13_periodic_runs import op13_periodic_runs
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_vector_codes": op12_vector_codes,
     "op13_periodic_runs": op13_periodic_runs,
 }
