@@ -485,9 +485,12 @@ SELECT question_id, CASE WHEN is_call THEN 'load_report' ELSE 'load_ubpr' END AS
 FROM tabbed, avail""".lstrip())
 def _(spark, sf):
     newest = panel_cells(spark, sf).select("quarter_date").distinct()
-    keys = qn.available_periods(newest).select("keys").scalar()
-    act = qn.action("question", F.col("rssd_id"), F.get(keys, F.least(F.lit(7), F.size(keys) - 1)), F.get(keys, F.lit(0)))
-    return questions(spark, sf).select("question_id", act.alias("a")).select("question_id", "a.*")
+    # Two scalar subqueries: the eighth newest stored quarter, or the oldest, and the newest.
+    keys = qn.available_periods(newest)
+    ends = {"eighth": F.get("keys", F.least(F.lit(7), F.size("keys") - 1)), "newest": F.get("keys", F.lit(0))}
+    asked = questions(spark, sf).withColumns({name: keys.select(end).scalar() for name, end in ends.items()})
+    act = qn.action("question", F.col("rssd_id"), F.col("eighth"), F.col("newest"))
+    return asked.select("question_id", act.alias("a")).select("question_id", "a.*")
 
 
 _NAMES = " ".join(f"WHEN contains(t, '{n}') THEN {q}" for n, q in ref.QUARTER_NAMES)

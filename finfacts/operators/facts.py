@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from finfacts.functions.numeric import is_ratio
 from finfacts.functions.text import SAFE_CODE
+from finfacts.operators.intervals import band_join
 from finfacts.reference_data import ratio_meta
 
 CELL = ["rssd_id", "quarter_date"]
@@ -131,6 +132,11 @@ def codes_in_value_bands(facts: DataFrame, bands: Sequence[tuple[str, float, flo
     )
 
 
+def values_in_bands(facts: DataFrame, bands: DataFrame) -> DataFrame:
+    """Facts beside each band of a table ``(band, lo, hi)`` that holds their value, both ends included, null open."""
+    return band_join(facts, F.col("value_num"), bands)
+
+
 def find_codes(catalog: DataFrame, prefix: str | None = None, any_of: Sequence[str] = ()) -> DataFrame:
     """Codes starting with a prefix or containing any of some substrings."""
     test = F.lit(False)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from finfacts.functions.numeric import is_ratio, round_half_up
 from finfacts.operators.facts import CELL, with_meta
+from finfacts.operators.intervals import band_join
 from finfacts.reference_data import PEER_BUCKETS, PEER_CODES, PEER_GROUP_ALIASES, SIZE_CODE
 
 Bucket = tuple[str, float | None, float | None]
@@ -138,6 +139,15 @@ def size_groups(facts: DataFrame, buckets: Sequence[Bucket] = PEER_BUCKETS) -> D
     )
 
 
+def band_groups(facts: DataFrame, bands: DataFrame) -> DataFrame:
+    """Memberships for a table of size bands ``(peer_group, lo, hi)``: low end included, high end excluded, null open.
+    Everyone is in ``all``; bands may overlap, and there may be thousands."""
+    sizes = facts.groupBy(*CELL).agg(F.max(F.when(F.col("code") == SIZE_CODE, F.col("value_num"))).alias("size"))
+    inside = band_join(sizes, F.col("size"), bands.select("peer_group", "lo", "hi"), high_closed=False)
+    named = inside.select(*CELL, "size", "peer_group")
+    return sizes.select(*CELL, "size", F.lit("all").alias("peer_group")).unionByName(named)
+
+
 def peer_averages(
     facts: DataFrame, codes: Sequence[str] = PEER_CODES, buckets: Sequence[Bucket] = PEER_BUCKETS
 ) -> DataFrame:
