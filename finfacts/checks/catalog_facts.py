@@ -183,10 +183,9 @@ def _(spark, sf):
 
 @query("jn03_bank_names", S.with_(S.FACTS, S.INSTITUTIONS) + """
 SELECT f.rssd_id, quarter_date, code, value_raw, coalesce(name, f.rssd_id) AS name FROM facts f
-LEFT JOIN (SELECT * FROM institutions WHERE city <> 'NATION_3') i ON f.rssd_id = i.rssd_id""")
+LEFT JOIN institutions i ON f.rssd_id = i.rssd_id""")
 def _(spark, sf):
-    known = institutions(spark, sf).where("city <> 'NATION_3'")
-    return fx.with_bank_names(facts(spark, sf), known).select("rssd_id", "quarter_date", "code", "value_raw", "name")
+    return fx.with_bank_names(facts(spark, sf), institutions(spark, sf)).select("rssd_id", "quarter_date", "code", "value_raw", "name")
 
 
 @query("jn07_reg_ui", S.with_(S.FACTS, S.UI_THRESHOLDS) + f"""
@@ -272,9 +271,11 @@ def _(spark, sf):
 
 
 @query("jn12_calendar_fill", S.with_(S.FACTS) + f"""
-, cal(quarter_date) AS ({ref.values_sql([(k,) for k in KEYS])}),
-series AS (SELECT DISTINCT rssd_id, code FROM facts WHERE quarter_date BETWEEN '19950331' AND '20011231')
-SELECT s.rssd_id, s.code, c.quarter_date, {S.percent(S.prefix('f.value_raw'))} AS display FROM series s CROSS JOIN cal c
+, span AS (SELECT min(quarter_date) AS a, max(quarter_date) AS b FROM facts),
+cal AS (SELECT strftime(last_day(make_date(y, q * 3, 1)), '%Y%m%d') AS quarter_date FROM range(1900, 2200) t(y), range(1, 5) u(q)),
+series AS (SELECT DISTINCT rssd_id, code FROM facts)
+SELECT s.rssd_id, s.code, c.quarter_date, {S.percent(S.prefix('f.value_raw'))} AS display
+FROM series s CROSS JOIN (SELECT quarter_date FROM cal, span WHERE quarter_date BETWEEN a AND b) c
 LEFT JOIN facts f ON f.rssd_id = s.rssd_id AND f.code = s.code AND f.quarter_date = c.quarter_date""".lstrip())
 def _(spark, sf):
     return trends.calendar_filled(facts(spark, sf))

@@ -246,12 +246,16 @@ def _(spark, sf):
     return life.to_ingest(life.published_quarters(spark, AS_OF, START_YEAR), _inventory(spark, sf))
 
 
-@query("set02_recent_delta", S.with_(S.CELLS, _INV, _CAL) + """
-SELECT quarter_date, period_mdy FROM (SELECT * FROM cal ORDER BY quarter_date DESC LIMIT 8)
-WHERE quarter_date NOT IN (SELECT quarter_date FROM inv WHERE substr(quarter_date, 5) <> '0331')""")
+# Seen a year and a half later, the newest quarters are published but not stored.
+LATER = "2003-05-15"
+
+
+@query("set02_recent_delta", S.with_(S.CELLS, _INV) + """
+SELECT strftime(d, '%Y%m%d') AS quarter_date, strftime(d, '%m/%d/%Y') AS period_mdy FROM (
+  SELECT last_day(make_date(y, q * 3, 1)) AS d FROM range(1993, 2004) t(y), range(1, 5) u(q) WHERE y * 4 + q <= 2002 * 4 + 4 ORDER BY d DESC LIMIT 8)
+WHERE strftime(d, '%Y%m%d') NOT IN (SELECT quarter_date FROM inv)""")
 def _(spark, sf):
-    stored = _inventory(spark, sf).where(F.substring("quarter_date", 5, 4) != "0331")
-    return life.to_ingest(life.published_quarters(spark, AS_OF, START_YEAR), stored, recent=8)
+    return life.to_ingest(life.published_quarters(spark, LATER, START_YEAR), _inventory(spark, sf), recent=8)
 
 
 _CLEANUP = S.with_(S.CELLS, _INV, _CAL) + "SELECT quarter_date, bytes FROM inv WHERE quarter_date NOT IN (SELECT quarter_date FROM cal)"
@@ -305,14 +309,13 @@ def _(spark, sf):
 
 @query("rep12_ingestion_plan", S.with_(S.CELLS, _INV, _CAL) + """
 , plan AS (SELECT quarter_date, period_mdy, CAST(33554432 AS BIGINT) AS bytes FROM cal
-  WHERE quarter_date NOT IN (SELECT quarter_date FROM inv WHERE quarter_date >= '19990101')),
+  WHERE quarter_date NOT IN (SELECT quarter_date FROM inv)),
 priored AS (SELECT *, CAST(coalesce(sum(bytes) OVER (ORDER BY quarter_date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_bytes FROM plan)
-SELECT *, 0.5::DOUBLE - CAST(prior_bytes AS DOUBLE) / 1073741824.0::DOUBLE AS remaining_gb,
-  CASE WHEN 0.5::DOUBLE - CAST(prior_bytes AS DOUBLE) / 1073741824.0::DOUBLE >= 0.05::DOUBLE THEN 'admitted' ELSE 'deferred' END AS decision FROM priored""".lstrip())
+SELECT *, 0.2::DOUBLE - CAST(prior_bytes AS DOUBLE) / 1073741824.0::DOUBLE AS remaining_gb,
+  CASE WHEN 0.2::DOUBLE - CAST(prior_bytes AS DOUBLE) / 1073741824.0::DOUBLE >= 0.05::DOUBLE THEN 'admitted' ELSE 'deferred' END AS decision FROM priored""".lstrip())
 def _(spark, sf):
-    stored = _inventory(spark, sf).where("quarter_date >= '19990101'")
-    missing = life.to_ingest(life.published_quarters(spark, AS_OF, START_YEAR), stored)
-    return life.admit(life.with_planned_bytes(missing), budget_gb=0.5)
+    missing = life.to_ingest(life.published_quarters(spark, AS_OF, START_YEAR), _inventory(spark, sf))
+    return life.admit(life.with_planned_bytes(missing), budget_gb=0.2)
 
 
 # ---------------------------------------------------------------- streaming
@@ -494,10 +497,15 @@ def _(spark, sf):
 
 
 _NAMES = " ".join(f"WHEN contains(t, '{n}') THEN {q}" for n, q in ref.QUARTER_NAMES)
-# As of 2001-11-15: current quarter 4 of 2001, last quarter 3 of 2001.
-_ASKED = f"""asked AS (SELECT question_id, CASE WHEN lastq THEN 2001 WHEN thisq THEN 2001 WHEN lasty THEN 2000
-    ELSE coalesce(CAST(nullif(yt, '') AS INT), 2001) END AS y,
-  CASE WHEN lastq THEN 3 WHEN thisq THEN 4 WHEN lasty THEN 4 ELSE coalesce(CASE {_NAMES} END, 4) END AS q FROM (
+
+
+def _asked_sql(year: int, quarter: int) -> str:
+    """What the questions ask for in a given current quarter."""
+    last_year, last_quarter = (year, quarter - 1) if quarter > 1 else (year - 1, 4)
+    return f"""asked AS (SELECT question_id, CASE WHEN lastq THEN {last_year} WHEN thisq THEN {year} WHEN lasty THEN {year - 1}
+    ELSE coalesce(CAST(nullif(yt, '') AS INT), {year}) END AS y,
+  CASE WHEN lastq THEN {last_quarter} WHEN thisq THEN {quarter} WHEN lasty THEN 4
+    ELSE coalesce(CASE {_NAMES} END, CASE WHEN yt <> '' THEN 4 ELSE {quarter} END) END AS q FROM (
   SELECT question_id, lower(trim(question)) AS t, regexp_extract(lower(trim(question)), '\\b(20[0-9]{{2}})\\b', 1) AS yt,
     contains(lower(question), 'last quarter') OR contains(lower(question), 'previous quarter') AS lastq,
     contains(lower(question), 'this quarter') OR contains(lower(question), 'current quarter') AS thisq,
@@ -505,6 +513,9 @@ _ASKED = f"""asked AS (SELECT question_id, CASE WHEN lastq THEN 2001 WHEN thisq
 wanted AS (SELECT *, last_day(make_date(y, q * 3, 1)) AS d FROM asked)"""
 
 
+_ASKED = _asked_sql(2001, 4)
+
+
 @query("sc22_period_text", Q.rstrip() + ", " + _ASKED + """
 SELECT question_id, strftime(d, '%m/%d/%Y') AS period, strftime(d, '%Y%m%d') AS quarter_date, 'Q' || CAST(q AS VARCHAR) || ' ' || CAST(y AS VARCHAR) AS label FROM wanted""")
 def _(spark, sf):
@@ -514,17 +525,16 @@ def _(spark, sf):
     )
 
 
-@query("jn09_nearest", Q.rstrip() + ", " + _ASKED + """
-, avail AS (SELECT DISTINCT strptime(quarter_date, '%Y%m%d')::DATE AS a FROM cells WHERE quarter_date <= '20000930' AND substr(quarter_date, 5, 2) IN ('03', '09')),
+# Asked a year and a half after the last stored quarter, so that many wanted periods are not there.
+@query("jn09_nearest", Q.rstrip() + ", " + _asked_sql(2003, 2) + """
+, avail AS (SELECT DISTINCT strptime(quarter_date, '%Y%m%d')::DATE AS a FROM cells),
 near AS (SELECT question_id, arg_min(a, ROW(abs(a - d), -epoch(a))) AS a, any_value(d) AS d FROM wanted, avail GROUP BY 1)
 SELECT question_id, strftime(a, '%m/%d/%Y') AS period, strftime(a, '%Y%m%d') AS quarter_date, a = d AS exact FROM near""".lstrip())
 def _(spark, sf):
-    some = panel_cells(spark, sf).select("quarter_date").where(
-        "quarter_date <= '20000930' AND substr(quarter_date, 5, 2) IN ('03', '09')"
-    ).distinct()
+    some = panel_cells(spark, sf).select("quarter_date").distinct()
     # One array of calendar quarters, newest first, as a scalar subquery.
     available = qn.available_periods(some).select("periods").scalar()
-    asked = qn.resolved_period("question", AS_OF, F.col("available"))
+    asked = qn.resolved_period("question", LATER, F.col("available"))
     return questions(spark, sf).withColumn("available", available).select("question_id", asked.alias("r")).select(
         "question_id", "r.period", "r.quarter_date", "r.exact"
     )

@@ -10,6 +10,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from finfacts.functions.phrases import let
 from finfacts.reference_data import QUARTER_NAMES
 
 # A quarter key names the last day of a calendar quarter. Four-digit years have 40,000 of
@@ -191,18 +192,17 @@ def requested_period(text: Column | str, as_of: str) -> Column:
 
 def nearest_period(period: Column, available: Column) -> Column:
     """The available period closest in days to ``period``; the first listed wins a tie."""
-    target = F.try_to_timestamp(period, F.lit("MM/dd/yyyy")).cast("date")
-    ranked = F.transform(
-        available,
-        lambda p, i: F.struct(
-            F.abs(F.datediff(F.try_to_timestamp(p, F.lit("MM/dd/yyyy")).cast("date"), target)).alias("gap"),
-            i.alias("pos"),
-            p.alias("period"),
-        ),
-    )
-    return F.when(F.array_contains(available, period), period).otherwise(
-        F.array_min(F.filter(ranked, lambda r: r["gap"].isNotNull()))["period"]
-    )
+    day = lambda p: F.try_to_timestamp(p, F.lit("MM/dd/yyyy")).cast("date")
+
+    def nearest(target: Column) -> Column:
+        ranked = F.transform(
+            available,
+            lambda p, i: F.struct(F.abs(F.datediff(day(p), target)).alias("gap"), i.alias("pos"), p.alias("period")),
+        )
+        return F.array_min(F.filter(ranked, lambda r: r["gap"].isNotNull()))["period"]
+
+    # An exact match needs no dates at all; otherwise the wanted date is read once.
+    return F.when(F.array_contains(available, period), period).otherwise(let(day(period), nearest))
 
 
 def quarter_range_in_text(text: Column | str) -> Column:

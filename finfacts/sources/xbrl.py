@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from finfacts.functions.text import ENTITY_ID
 
@@ -142,23 +142,27 @@ def parse_archives(archives: DataFrame, spread: int | None = None) -> DataFrame:
 
 def facts_of(parsed: DataFrame) -> DataFrame:
     """One row per (institution, quarter, code). The institution's newest archive of the quarter gives all its
-    codes (one that was withdrawn is gone); a later duplicate in its documents wins."""
-    usable = parsed.where((F.col("status") == "ok") & F.col("code").isNotNull()).withColumn(
-        "archive", F.struct(F.coalesce(F.unix_micros("modified"), F.lit(0)).alias("at"), "path")
-    )
-    newest = usable.groupBy("rssd_id", "quarter_date").agg(F.max("archive").alias("archive"))
+    codes (one that was withdrawn is gone); a later duplicate in its documents wins.
+
+    The parsed rows are read once: the newest archive is found by a window over an institution's quarter, and the
+    aggregate by code keeps that partitioning."""
+    own = W.partitionBy("rssd_id", "quarter_date")
+    archive = F.struct(F.coalesce(F.unix_micros("modified"), F.lit(0)).alias("at"), "path")
+    usable = parsed.where((F.col("status") == "ok") & F.col("code").isNotNull()).select(
+        "rssd_id", "quarter_date", "code", "value_raw", "member", "ord", archive.alias("archive"))
     return (
-        usable.join(newest, ["rssd_id", "quarter_date", "archive"], "left_semi")
+        usable.withColumn("newest", F.max("archive").over(own)).where(F.col("archive") == F.col("newest"))
         .groupBy("rssd_id", "quarter_date", "code")
         .agg(F.max_by("value_raw", F.struct("member", "ord")).alias("value_raw"))
     )
 
 
 def archive_outcomes(parsed: DataFrame) -> DataFrame:
-    """Per archive: institutions extracted, members skipped, and whether anything was usable."""
+    """Per archive: institutions extracted, members skipped, and whether anything was usable. Facts are counted by
+    their position in a document, so rows that were staged twice count once."""
     member = parsed.groupBy("path", "quarter_date", "member").agg(
         F.max(F.when(F.col("status") == "ok", 1).otherwise(0)).alias("ok"),
-        F.count("code").alias("n_facts"),
+        F.coalesce(F.max(F.when(F.col("code").isNotNull(), F.col("ord") + 1)), F.lit(0)).alias("n_facts"),
     )
     return member.groupBy("path", "quarter_date").agg(
         F.sum("ok").alias("n_institutions"),

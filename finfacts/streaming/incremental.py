@@ -3,10 +3,13 @@
 A file stream finds what is new (its checkpoint replaces comparing inventories). Each archive is parsed
 once, into a staging table beside the store; a touched quarter is then rebuilt from all its staged rows
 and overwrites its own partition, so a re-published archive or a replayed batch gives the same table.
+What the store holds of institutions that are not staged (any more) is staged first, as their oldest archive, so
+a rebuild never loses stored rows, and stops half-way without losing any.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Collection
 from datetime import datetime, timezone
 
@@ -38,6 +41,43 @@ def _note(spark: SparkSession, rows: list[tuple[str, str]], outcome: str, log_pa
         ), log_path)
 
 
+#: The archive name of rows that come from the store itself; older than any archive.
+STORED = "stored"
+
+
+def _stage_stored(spark: SparkSession, store_path: str, staging: str, quarters: Collection[str]) -> None:
+    """Stage the stored rows of institutions that staging does not hold in these quarters."""
+    if not quarters or not store.path_exists(spark, store_path):
+        return
+    keys = ["rssd_id", "quarter_date"]
+    stored = store.read_facts(spark, store_path).where(F.col("quarter_date").isin(sorted(quarters)))
+    if store.path_exists(spark, staging):
+        staged = spark.read.schema(xbrl.FACT_ROWS).parquet(staging).where(
+            F.col("quarter_date").isin(sorted(quarters)) & (F.col("status") == "ok") & F.col("code").isNotNull())
+        stored = stored.join(staged.select(*keys).distinct(), keys, "left_anti")
+    none = F.lit(None).cast("timestamp")
+    rows = stored.select(
+        F.lit(STORED).alias("path"), none.alias("modified"), "quarter_date", F.lit("").alias("member"), "rssd_id", "code",
+        "value_raw", F.lit(0).cast("long").alias("ord"), F.lit("ok").alias("status"))
+    rows.write.mode("append").partitionBy("quarter_date").parquet(staging)
+
+
+def prune_staging(spark: SparkSession, store_path: str, log_path: str) -> list[str]:
+    """Delete the staged rows of quarters whose newest log entry says they are stored; return those quarters.
+
+    Stored rows are kept by later rebuilds all the same. With its staged rows an archive's age is forgotten: one that
+    is delivered again later counts as new.
+    """
+    staging = f"{store_path.rstrip('/')}__staged"
+    if not store.path_exists(spark, staging) or not store.path_exists(spark, log_path):
+        return []
+    last = spark.read.schema(OUTCOMES).parquet(log_path).where("quarter_date <> ''").groupBy("quarter_date").agg(
+        F.max_by("outcome", "run_ts").alias("outcome"))
+    done = sorted(r[0] for r in last.where("outcome = 'succeeded'").select("quarter_date").collect())
+    stored = {r[0] for r in store.inventory(spark, store_path).select("quarter_date").collect()}
+    return [q for q in done if q in stored and store.delete_path(spark, f"{staging}/quarter_date={q}")]
+
+
 def _build(spark: SparkSession, parsed: DataFrame, store_path: str, log_path: str, quarters: Collection[str]) -> None:
     """Overwrite each of ``quarters`` from its parsed rows. If the write fails, quarters are tried one by
     one: a quarter that cannot be built is logged as failed, stays as it was, and stops no other."""
@@ -45,18 +85,20 @@ def _build(spark: SparkSession, parsed: DataFrame, store_path: str, log_path: st
     def build(names: list[str]) -> None:
         rows = parsed.where(F.col("quarter_date").isin(names))
         store.write_quarters(xbrl.facts_of(rows), store_path)
-        _log(xbrl.archive_outcomes(rows), log_path)
+        _log(xbrl.archive_outcomes(rows.where(F.col("path") != STORED)), log_path)
 
     names = sorted(quarters)
     if not names:
         return
     try:
         build(names)
-    except Exception:
+    except Exception as error:
+        warnings.warn(f"quarters are built one by one: {error}", stacklevel=2)
         for name in names:
             try:
                 build([name])
-            except Exception:
+            except Exception as reason:
+                warnings.warn(f"quarter {name} is not built: {reason}", stacklevel=2)
                 _note(spark, [(name, "")], "failed", log_path)
 
 
@@ -145,6 +187,7 @@ def ingest_new(
     todo = touched | set(waiting) | {q for q in staged_only if may_store(q)}
     _note(spark, [(q, "") for q in sorted(late)], "deferred", log_path)
     if todo:
+        _stage_stored(spark, store_path, staging, todo)
         _build(spark, spark.read.schema(xbrl.FACT_ROWS).parquet(staging), store_path, log_path, todo)
 
 

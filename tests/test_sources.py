@@ -159,6 +159,36 @@ def test_a_name_with_two_dates_stays_in_its_own_quarter(spark):
     assert read() == first
 
 
+def test_stored_rows_outlive_their_staging(spark):
+    root, drop = _folder(spark, "pruned")
+    read = lambda: {(r.rssd_id, r.code, r.value_raw) for r in store.read_facts(spark, f"{root}/facts").collect()}
+    run = lambda: incremental.ingest_new(spark, f"{root}/in", f"{root}/facts", f"{root}/log", f"{root}/cp", "2021-01-15")
+    three = {k: v for i in "123" for k, v in _one(i, "2020-03-31", ("UBPRE013", i), ("UBPRE018", "8")).items()}
+    drop("20200331-a.zip", zip_of(three))
+    run()
+    assert incremental.prune_staging(spark, f"{root}/facts", f"{root}/log") == ["20200331"]
+    assert not store.path_exists(spark, f"{root}/facts__staged/quarter_date=20200331")
+    # One institution is restated, with a code less; the others are kept from the store.
+    drop("20200331-b.zip", zip_of(_one("2", "2020-03-31", ("UBPRE013", "9"))))
+    run()
+    kept = {(i, c, v) for i in "13" for c, v in (("UBPRE013", i), ("UBPRE018", "8"))}
+    assert read() == kept | {("2", "UBPRE013", "9")}
+    # A third archive, with all of it staged again; and the store's own rows are no archive in the log.
+    drop("20200331-c.zip", zip_of(_one("3", "2020-03-31", ("UBPRE013", "7"))))
+    run()
+    assert read() == {("1", "UBPRE013", "1"), ("1", "UBPRE018", "8"), ("2", "UBPRE013", "9"), ("3", "UBPRE013", "7")}
+    log = spark.read.schema(incremental.OUTCOMES).parquet(f"{root}/log")
+    assert log.where("path = 'stored'").count() == 0
+
+
+def test_rows_staged_twice_count_once(spark):
+    archive = spark.createDataFrame([("a-20200331.zip", None, zip_of(_one("1", "2020-03-31", ("UBPRE013", "1"), ("UBPRE018", "2"))), "20200331")],
+                                    "path string, modified timestamp, content binary, quarter_date string")
+    rows = xbrl.parse_archives(archive)
+    assert xbrl.archive_outcomes(rows.union(rows)).first().n_facts == 2
+    assert str(xbrl.facts_of(rows)._jdf.queryExecution().executedPlan()).split("== Initial")[0].count("MapInPandas") == 2
+
+
 def test_newest_archive_of_an_institution_wins_whole(spark):
     import datetime as dt
 
