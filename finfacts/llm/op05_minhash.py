@@ -7,22 +7,28 @@ with probability 3e-7.
 
 Equal sets become one node first, so copies meet no further step. Candidates are then confirmed on full sets:
 
-1. every node of a bucket against the bucket's least node (a star: linear in the bucket);
-2. within buckets whose nodes are still in different components, the pairs of different components that may reach
-   the similarity by three tests inside the join: the set sizes; the parities of 1024 shingle counters, whose number
-   of differences never exceeds the sets' symmetric difference, so no link fails it; and the signatures, which may
-   differ in at most MAX_BITS of 192 single-bit coordinates (a pair at 0.8 differs in 19 on average; 46 is more than
-   six standard deviations away).
+1. every node of a bucket against the bucket's most central node, the one whose buckets hold most (a star: linear in
+   the bucket). Copies with few edits are central, so the copies around them fall into one component;
+2. nodes of buckets that still hold several components, by an exact prefix filter. Shingles are ordered by how many of
+   these nodes hold them, rarest first. Two sets that reach the similarity share a shingle among the first
+   ``n - overlap + 1`` of both, where ``overlap`` follows from both sizes (taken in classes of CLASS). Shingles that
+   no other node holds take up places and meet nobody, and places where one component meets itself are dropped, so
+   edited copies that link with nothing are not paired up. What is left is paired if the components differ and if three
+   tests hold: the set sizes; the parities of 1024 shingle counters, whose number of differences never exceeds the sets'
+   symmetric difference; and the signatures, which may differ in at most MAX_BITS of 192 single-bit coordinates (a
+   pair at 0.8 differs in 19 on average; 46 is more than six standard deviations away).
 
 Pairs that are already in one component are never compared: more links would not change the components.
 
 ``shingle`` is 4 words for the contract's query and 5 for the pipeline. Null and empty texts have an empty set and
 link with nothing. Rows with a null doc_id link with nothing: component_id null, kept. Repeated rows share a node.
 Two rows with one doc_id and different texts are nodes each; the id reached is that doc_id for both if it is least.
+Extra columns are not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -40,8 +46,10 @@ PERCENT = 80
 BANDS, ROWS, COORDINATES = 38, 5, 192
 MAX_BITS = 46
 PARITIES = 1024
+#: Width of a class of set sizes: the partner's size is known that closely when a prefix is cut.
+CLASS = 1.03
 
-_PROFILE = "doc_id long, n_shingles long, node long, buckets array<long>, bits array<long>, odd array<long>"
+_PROFILE = "doc_id long, h long, n_shingles long, node long, buckets array<long>, bits array<long>, odd array<long>"
 
 
 def shingles(text: str | None, width: int, cache: HashCache) -> np.ndarray:
@@ -105,7 +113,7 @@ def _profile(width: int):
                 buckets.append(key.view(np.int64))
                 bits.append(np.packbits((s & 1).astype(np.uint8)).view(np.int64))
                 odd.append(parities(found))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": sizes, "node": pd.array(nodes, "Int64"),
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h": b["h"], "n_shingles": sizes, "node": pd.array(nodes, "Int64"),
                                 "buckets": buckets, "bits": bits, "odd": odd})
 
     return run
@@ -145,12 +153,16 @@ def _nodes_of(width: int):
     return run
 
 
-def _confirmed(candidates: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """The candidate pairs (u, v) that are links. Only texts of nodes in some pair are moved."""
-    wanted = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def _texts(wanted: DataFrame, nodes: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """(node, text) of the wanted nodes, from the least document of each."""
     ids = nodes.select("node", "doc_id").join(wanted, "node")
     texts = documents.select("doc_id", "text").join(ids, "doc_id").select("node", "text")
-    texts = stored(texts.mapInPandas(_nodes_of(width), "node long, text string").dropDuplicates(["node"]), "texts")
+    return stored(texts.mapInPandas(_nodes_of(width), "node long, text string").dropDuplicates(["node"]), "texts")
+
+
+def _confirmed(candidates: DataFrame, nodes: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """The candidate pairs (u, v) that are links. Only texts of nodes in some pair are moved."""
+    texts = _texts(candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, documents, width)
     left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
     # The second join leaves the pairs of one v together, so its set is built once.
@@ -160,60 +172,128 @@ def _confirmed(candidates: DataFrame, nodes: DataFrame, documents: DataFrame, wi
     return links
 
 
-def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``documents``."""
-    profiles = stored(documents.select("doc_id", "text").mapInPandas(_profile(width), _PROFILE), "profiles")
+def _sets(width: int):
+    """(node, set) of texts, shingles as signed 64-bit numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = HashCache()
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "set": [shingles(t, width, cache).view(np.int64) for t in b["text"]]})
+
+    return run
+
+
+def _prefixes(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(token, a, b, own, node, component): the shared shingles in which an open node (node, component, n) of size class
+    ``own`` must meet a partner of the other class of a and b, where both classes and different components do meet."""
+    sets = stored(texts.mapInPandas(_sets(width), "node long, set array<long>"), "sets")
+    tokens = sets.select("node", F.explode("set").alias("token"))
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = tokens.join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    rows = open_nodes.join(ranked, "node")
+    n = F.col("n")
+    size_class = lambda x: F.floor(F.log(x.cast("double")) / math.log(CLASS)).cast("int")
+    least = F.ceil(n * percent / 100)
+    rows = rows.withColumn("own", size_class(n)).withColumn(
+        "other", F.explode(F.sequence(size_class(least), size_class(F.floor(n * 100 / percent)))))
+    partner = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("other"))), least)
+    overlap = F.ceil(percent * (n + partner) / (100 + percent))
+    # Shingles of this node alone come first and take up places.
+    places = n - overlap + 1 - (n - F.size("shared"))
+    rows = rows.withColumn("token", F.explode(F.slice("shared", 1, F.greatest(places, F.lit(0)).cast("int"))["token"]))
+    keyed = stored(rows.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "component"), "prefixes")
+    mixed = keyed.groupBy("token", "a", "b").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.min("own").alias("low"), F.max("own").alias("high"),
+    ).where("x <> y AND low = a AND high = b").select("token", "a", "b")
+    out = stored(keyed.join(mixed, ["token", "a", "b"]), "mixed")
+    discard(sets, keyed)
+    return out
+
+
+def _differing(name: str, words: int) -> Column:
+    each = (F.bit_count(F.col(f"a.{name}")[i].bitwiseXOR(F.col(f"b.{name}")[i])) for i in range(words))
+    return reduce(lambda x, y: x + y, each)
+
+
+def _paired(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of nodes of different components that meet in a prefix and may reach the similarity."""
+    rows = stored(prefixes.join(sketches, "node"), "open")
+    a, b = rows.alias("a"), rows.alias("b")
+    n_a, n_b = F.col("a.n"), F.col("b.n")
+    sizes = (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
+    # Similarity p means a symmetric difference of at most (1 - p) / (1 + p) of both sizes together.
+    apart = (100 + percent) * _differing("odd", PARITIES // 64) <= (100 - percent) * (n_a + n_b)
+    close = (F.col("a.component") < F.col("b.component")) & sizes & apart & (_differing("bits", COORDINATES // 64) <= MAX_BITS)
+    same = reduce(lambda x, y: x & y, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("token", "a", "b")))
+    sides = (F.col("a.a") == F.col("a.b")) | (F.col("a.own") != F.col("b.own"))
+    pairs = a.join(b, same & sides & close).select(
+        F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
+    out = stored(pairs, "pairs")
+    discard(rows)
+    return out
+
+
+def _linked(documents: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, node, component_id, and the least (doc_id, node) of the component."""
+    rows = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    profiles = stored(rows.mapInPandas(_profile(width), _PROFILE), "profiles")
     usable = profiles.where("node is not null and doc_id is not null")
     nodes = stored(usable.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     # One profile row for each node: that of its least document.
     heads = usable.join(nodes, ["node", "doc_id"]).dropDuplicates(["node"])
-    buckets = stored(heads.select("node", F.explode("buckets").alias("bucket")), "buckets")
-
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v <> w")
-    stars = buckets.join(shared, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    stars = stored(stars, "stars")
+    buckets = heads.select("node", F.explode("buckets").alias("bucket"))
+    crowds = buckets.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    crowded = stored(buckets.join(crowds, "bucket"), "buckets")
+    rank = crowded.groupBy("node").agg(F.sum("crowd").alias("rank"))
+    buckets = stored(crowded.join(rank, "node").select("bucket", "node", "rank"), "ranked")
+
+    centres = buckets.groupBy("bucket").agg(F.max(F.struct("rank", "node")).alias("centre"))
+    stars = buckets.join(centres.select("bucket", F.col("centre.node").alias("v")), "bucket").where("node <> v")
+    stars = stored(stars.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "stars")
     links = _confirmed(stars, nodes, documents, width, percent)
     first = components(links)
 
     named = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     sketches = heads.select("node", F.col("n_shingles").alias("n"), "bits", "odd")
-    open_rows = stored(named.join(mixed.select("bucket"), "bucket").join(sketches, "node"), "open")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
-
-    def differing(name: str, words: int) -> Column:
-        each = (F.bit_count(F.col(f"a.{name}")[i].bitwiseXOR(F.col(f"b.{name}")[i])) for i in range(words))
-        return reduce(lambda x, y: x + y, each)
-
-    n_a, n_b = F.col("a.n"), F.col("b.n")
-    sizes = (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
-    # Similarity p means a symmetric difference of at most (1 - p) / (1 + p) of both sizes together.
-    apart = (100 + percent) * differing("odd", PARITIES // 64) <= (100 - percent) * (n_a + n_b)
-    close = (F.col("a.component") < F.col("b.component")) & sizes & apart & (differing("bits", COORDINATES // 64) <= MAX_BITS)
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & close).select(
-        F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct()
-    pairs = stored(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
-    more = _confirmed(pairs, nodes, documents, width, percent)
+    open_nodes = named.join(mixed.select("bucket"), "bucket", "left_semi").select("node", "component").distinct()
+    open_nodes = stored(open_nodes.join(sketches, "node"), "open")
+    texts = _texts(open_nodes.select("node"), nodes, documents, width)
+    prefixes = _prefixes(open_nodes.select("node", "component", "n"), texts, width, percent)
+    pairs = _paired(prefixes, open_nodes.select("node", "n", "bits", "odd"), percent)
+    more = _confirmed(pairs.join(stars, ["u", "v"], "left_anti"), nodes, documents, width, percent)
     labels = components(links.unionAll(more))
     # From here on only the profiles, the nodes and their labels are read.
-    discard(buckets, stars, links, first, open_rows, pairs, more)
+    discard(crowded, buckets, stars, links, first, open_nodes, texts, prefixes, pairs, more)
 
-    # Least doc_id of a component from its nodes, not from all copies.
+    # The least document of a component from its nodes, not from all copies.
     placed = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(least, "component").select("node", "component_id")
-    joined = profiles.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"),
-                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    least = placed.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    found = placed.join(least, "component").select("node", "least")
+    return profiles.select("doc_id", "h", "n_shingles", "node").join(found, "node", "left")
+
+
+def link(documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``documents``."""
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    return _linked(documents, width, percent).select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents with one of each group, its least doc_id, and all columns; identical rows count as one."""
-    verdict = link(documents, width, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    found = documents.where("doc_id is not null").join(verdict, "doc_id", "left_semi")
-    found = found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return found.unionByName(documents.where("doc_id is null"))
+    """The documents with one of each group, the least by doc_id and then by text, and all columns. Identical rows count
+    as one, also where texts have no words; rows without a doc_id stay."""
+    alone = F.col("node").isNull()
+    first = (F.col("doc_id") == F.col("least.doc_id")) & (F.col("node") == F.col("least.node"))
+    # Of equal word sequences under one doc_id, one text is taken.
+    chosen = _linked(documents, width, percent).where(F.col("doc_id").isNotNull() & (alone | first)).groupBy(
+        "doc_id", F.coalesce("node", "h").alias("k")).agg(F.min("h").alias("h"))
+    key = "text_key"
+    while key in documents.columns:
+        key += "_"
+    keyed = documents.where("doc_id is not null").withColumn(key, F.xxhash64("text"))
+    found = keyed.join(chosen.select("doc_id", F.col("h").alias(key)).distinct(), ["doc_id", key], "left_semi")
+    return found.dropDuplicates(["doc_id", key]).drop(key).unionByName(documents.where("doc_id is null"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

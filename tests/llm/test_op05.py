@@ -55,6 +55,56 @@ def test_equals_brute_force(documents_of):
         assert got == by_hand(rows, width)
 
 
+def graded(seed=3):
+    """One large group: copies of one text with 0 to 9 edits, some of them edited on from others, so that copies with
+    few edits link, those with many link with nothing, and a few are linked by chains."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    made = [base]
+    for i in range(260):
+        copy = list(rng.choice(made) if i % 5 == 0 else base)
+        for _ in range(i % 10):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        made.append(copy)
+    rows = [(i, " ".join(c)) for i, c in enumerate(made)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_large_group_equals_brute_force(documents_of):
+    rows = graded()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.link(documents_of(rows)).collect()}
+    want = by_hand(rows, 4)
+    assert got == want
+    assert 20 < len({c for _, c in want.values()}) < 200
+
+
+def test_edited_copies_are_not_paired_up(spark, documents_of):
+    """Copies that link with nothing meet nobody in their prefixes, however many they are."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for at in rng.sample(range(0, 150, 5), 8):
+            copy[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(copy)))
+    texts = spark.createDataFrame([(i, t) for i, t in rows], "node long, text string")
+    nodes = spark.createDataFrame([(i, i, len(op.shingles(t, 4, op.HashCache()))) for i, t in rows], "node long, component long, n long")
+    assert op._prefixes(nodes, texts, 4, 80).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    near = a + " more"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, near, 5), (9, "", 6), (9, "", 7), (9, None, 8), (None, a, 9), (None, a, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text int").withColumn("text_key", op.F.lit(1))
+    kept = op.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted(
+        (str(d), str(t)) for d, t in [(3, a), (5, b), (9, ""), (9, None), (None, a), (None, a)])
+
+
 def test_equals_sql(spark, oracle, sf_dir):
     assert difference(spark, oracle, "op5", op.op5_minhash, op.ORACLE, sf_dir) is None
 
