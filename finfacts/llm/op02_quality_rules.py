@@ -1,11 +1,13 @@
 """Quality rules: lines that many documents of one host share are removed; a document left depleted is rejected.
 
 Lines are normalised (ASCII lower case, digits as 0, runs of separators as one space) and hashed. A line's frequency
-is the number of distinct documents of its host (``source``) that hold it; copies of one text are one document.
+is the number of distinct documents (doc_ids) of its host (``source``) that hold it, copies included.
 A line in more than ``max_documents`` of them is boilerplate. A document is depleted if less than ``min_left`` of its
 words stay. The base rules (too few words, too many repeated 8-word windows) reject first.
 
-Null and empty texts have no words and fail the base rule. Null hosts form one host. Repeated rows are judged each.
+Null and empty texts have no words and fail the base rule. Null hosts form one host. Repeated rows are judged each and
+count as one document; a row without a doc_id is a document of its own. Extra columns are not read, but ``cleaned``
+keeps them. There are no ties; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ MIN_LEFT_PERCENT = 50
 _NORMAL = bytes.maketrans(b"0123456789", b"0000000000")
 _PROFILE = (
     "row_id long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, text_hash binary, lines array<struct<h: long, w: int>>"
+    "n_repeat_words long, lines array<struct<h: long, w: int>>"
 )
 
 
@@ -82,31 +84,68 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = b[["row_id", "doc_id", "host"]].copy()
         for i, name in enumerate(names):
             out[name] = [x[i] for x in found]
-        out["text_hash"] = [xxhash.xxh3_128_digest((t or "").encode()) for t in b["text"]]
         out["lines"] = [[{"h": h, "w": w} for h, w in x[5].items()] for x in found]
         yield out
 
 
+def _profiled(rows: DataFrame) -> DataFrame:
+    """Counts and line hashes of the rows (row_id, doc_id, source, text)."""
+    wanted = rows.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), "text")
+    return stored(wanted.mapInPandas(_profiles, _PROFILE), "profiles")
+
+
+def _boilerplate(base: DataFrame, max_documents: int) -> DataFrame:
+    """(row_id, h, w): the lines of each row that more than ``max_documents`` documents of its host hold."""
+    lines = base.select("row_id", "doc_id", "host", F.explode("lines").alias("line")).select(
+        "row_id", "doc_id", "host", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+    # One row for each document of a line, spread by document too; counts of a hot line are added up map-side.
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("row_id")).alias("row"))
+    common = (lines.select("host", "h", document.alias("document")).distinct().groupBy("host", "h").count()
+              .where(F.col("count") > max_documents).select("host", "h"))
+    return lines.join(common, ["host", "h"]).select("row_id", "h", "w")
+
+
 def judge(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
     """Base counts, words on boilerplate lines and the verdict of every document."""
-    rows = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
-                            F.coalesce("source", F.lit("")).alias("host"), "text")
-    base = stored(rows.mapInPandas(_profiles, _PROFILE), "profiles")
-    lines = base.select("row_id", "host", "text_hash", F.explode("lines").alias("line")).select(
-        "row_id", "host", "text_hash", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    # Copies of a text are gone before the count, so a hot line has one row for each distinct document.
-    common = (lines.select("host", "h", "text_hash").distinct().groupBy("host", "h").count()
-              .where(F.col("count") > max_documents).select("host", "h"))
-    removed = lines.join(common, ["host", "h"]).groupBy("row_id").agg(F.sum("w").alias("n_removed"))
+    return _judged(_profiled(_numbered(documents)), max_documents, min_left).drop("row_id")
+
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    return documents.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", "text")
+
+
+def _judged(base: DataFrame, max_documents: int, min_left: int) -> DataFrame:
+    removed = _boilerplate(base, max_documents).groupBy("row_id").agg(F.sum("w").alias("n_removed"))
     n_removed = F.coalesce("n_removed", F.lit(0).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = 100 * (F.col("n_words") - n_removed) < min_left * F.col("n_words")
-    counts = base.drop("lines", "text_hash", "host")
+    counts = base.drop("lines", "host")
     return counts.join(removed, "row_id", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "row_id", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), n_removed.alias("n_boilerplate_words"))
 
 
+def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts = [kept_text(t, set(h)) if h is not None and t is not None else t for t, h in zip(b["text"], b["hashes"])]
+        yield pd.DataFrame({"row_id": b["row_id"], "text": texts})
+
+
+def cleaned(documents: DataFrame, max_documents: int = MAX_DOCUMENTS, min_left: int = MIN_LEFT_PERCENT) -> DataFrame:
+    """The kept documents with all their columns, boilerplate lines taken out of the texts."""
+    packed = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document")
+    rows = stored(documents.select(F.monotonically_increasing_id().alias("row_id"), packed), "numbered")
+    texts = rows.select("row_id", "document.doc_id", "document.source", "document.text")
+    base = _profiled(texts)
+    kept = _judged(base, max_documents, min_left).where("kept").select("row_id")
+    # A row's own lines only.
+    gone = _boilerplate(base, max_documents).groupBy("row_id").agg(F.collect_list("h").alias("hashes"))
+    new = texts.select("row_id", "text").join(kept, "row_id").join(gone, "row_id", "left")
+    new = new.mapInPandas(_without, "row_id long, text string")
+    out = rows.join(new, "row_id").withColumn("document", F.col("document").withField("text", F.col("text")))
+    return out.select("document.*")
+
+
 def kept_text(text: str, boilerplate: set[int]) -> str:
     """The text without its boilerplate lines (hashes as in ``profile``)."""
     out = []
@@ -141,9 +180,9 @@ WITH d AS (
          sum(length(regexp_replace(word, '[^#*$%&|<>]', '', 'g'))) AS n_symbols
   FROM cov GROUP BY k
 ), raw AS (
-  SELECT k, host, text, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT k, doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d
 ), ln AS (
-  SELECT k, host, text, line,
+  SELECT k, doc_id, host, line,
          trim(regexp_replace(translate(line, '{_UPPER_DIGITS}', '{_UPPER_DIGITS[:26].lower()}0000000000'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS norm
   FROM raw
 ), ok AS (
@@ -151,7 +190,7 @@ WITH d AS (
 ), dup AS (
   SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM ok GROUP BY k
 ), common AS (
-  SELECT host, norm FROM ok GROUP BY host, norm HAVING count(DISTINCT text) > {MAX_DOCUMENTS}
+  SELECT host, norm FROM ok GROUP BY host, norm HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'row ' || k::VARCHAR)) > {MAX_DOCUMENTS}
 ), gone AS (
   SELECT k, sum(nw) AS n_removed FROM ok JOIN common USING (host, norm) GROUP BY k
 ), f AS (
