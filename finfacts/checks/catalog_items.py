@@ -22,7 +22,9 @@ VARIANT_CODES = [c for _, codes in ref.METRIC_VARIANTS for c in codes]
 
 def _periods(spark, sf):
     """The panel's own calendar: every quarter between the first and the last that a line has."""
-    span = line_items(spark, sf).agg(F.min("quarter_date").alias("a"), F.max("quarter_date").alias("b")).first()
+    # Two dates are read from one column; the keys are made of them.
+    days = table(spark, sf, "lineitem").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"))
+    span = days.select(per.quarter_end("a").alias("a"), per.quarter_end("b").alias("b")).first()
     return [f"{k[4:6]}/{k[6:]}/{k[:4]}" for k in (per.quarter_keys(span.a, span.b) if span.a else [])]
 
 

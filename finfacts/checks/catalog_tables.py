@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from finfacts import reference_data as ref
 from finfacts.checks import sqltext as S
-from finfacts.checks.registry import query
+from finfacts.checks.registry import ORACLES, query
 from finfacts.functions import periods as per
 from finfacts.operators import asof, facts as fx, intervals, items as it, peers, questions as qn, ratios, terms, trends
-from finfacts.sources.panel import PANEL_CODES, facts, institutions, line_items, pick, questions, table
+from finfacts.plans import sqltools
+from finfacts.sources.panel import PANEL_BUCKETS, PANEL_CODES, facts, institutions, line_items, pick, questions, table
 
 # ---------------------------------------------------------------- terms
 
@@ -255,3 +256,37 @@ SELECT q.question_id, p.class AS place, k.class AS kind FROM questions q LEFT JO
 LEFT JOIN (SELECT * FROM hit WHERE topic = 'kind') k USING (question_id)""".lstrip())
 def _(spark, sf):
     return qn.classify(questions(spark, sf), _keywords(spark, sf)).select("question_id", "place", "kind")
+
+
+# ---------------------------------------------------------------- tools called from SQL
+
+def _tool(name: str, like: str, call: str, **frames):
+    """The same result as the query ``like``, through the SQL function."""
+
+    @query(name, ORACLES[like])
+    def _(spark, sf):
+        sqltools.register(spark, buckets=PANEL_BUCKETS, **{k: make(spark, sf) for k, make in frames.items()})
+        return spark.sql(f"SELECT * FROM {call}")
+
+
+_tool("tf01_sql", "tf01_ratios", "get_ubpr_ratios()", facts=facts)
+_tool("tf02_sql", "tf02_peer_comparison", "get_peer_comparison('community')", facts=facts)
+_tool("tf03_sql", "tf03_trend", "get_ubpr_trend(' UBPRE013,, UBPRE018 ', '20001231', '19960331')", facts=facts)
+_tool("tf04_sql", "tf04_regulatory_lines", "flag_regulatory_issues()", facts=facts)
+_tool("tf05_sql", "tf05_available_periods", "get_available_periods()", periods=lambda spark, sf: facts(spark, sf).select(
+    per.key_to_period("quarter_date").alias("period"), "quarter_date").distinct())
+_tool("tf06_sql", "tf06_metrics", "get_bank_metrics()", items=lambda spark, sf: it.with_section(line_items(spark, sf)))
+_tool("tf07_sql", "tf07_schedule_data", "get_schedule_data('RC, RI,,RC-C')",
+      items=lambda spark, sf: it.with_section(line_items(spark, sf)))
+_tool("tf08_sql", "tf08_schedules", "get_available_schedules()", items=lambda spark, sf: it.with_section(line_items(spark, sf)))
+
+
+@query("tf03_sql_lateral", S.with_(S.FACTS, S.INSTITUTIONS) + """
+SELECT name, i.rssd_id, code, quarter_date, value_raw FROM institutions i JOIN facts f ON f.rssd_id = i.rssd_id
+WHERE code IN ('UBPRE013', 'UBPR7414') AND quarter_date BETWEEN '19980331' AND '19991231'""")
+def _(spark, sf):
+    """Each institution calls the trend function with its own id."""
+    sqltools.register(spark, facts(spark, sf))
+    institutions(spark, sf).createOrReplaceTempView("banks")
+    return spark.sql("""SELECT b.name, t.* FROM banks b, LATERAL (
+      SELECT * FROM get_ubpr_trend('UBPRE013,UBPR7414', '19980331', '19991231') t WHERE t.rssd_id = b.rssd_id) t""")

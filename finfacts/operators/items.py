@@ -45,8 +45,13 @@ def variant_values(items: DataFrame) -> DataFrame:
     before the second turns them into columns.
     """
     wanted = [c for _, codes in METRIC_VARIANTS for c in codes]
-    firsts = first_values(items, wanted).withColumn("num", lenient_number("value_raw"))
-    return firsts.groupBy(*FILING).agg(
+    return _variant_columns(first_values(items, wanted))
+
+
+def _variant_columns(firsts: DataFrame, *more: Column) -> DataFrame:
+    """First values of known codes to a column per base measure, beside other aggregates of a filing."""
+    return firsts.withColumn("num", lenient_number("value_raw")).groupBy(*FILING).agg(
+        *more,
         *[
             F.coalesce(*[F.max(F.when(F.col("item_code") == c, F.col("num"))) for c in codes]).alias(metric)
             for metric, codes in METRIC_VARIANTS
@@ -64,18 +69,25 @@ def sum_of_present(*columns: Column) -> Column:
 
 def metrics(items: DataFrame) -> DataFrame:
     """The nine measures of each filing; missing inputs and zero denominators give NULL.
-    Filings without any known code still get a row."""
+    Filings without any known code still get a row.
+
+    Rows and measures come from one scan: the first aggregate keeps each known code and all the others of a filing
+    as one more row, the second adds up their rows and turns the codes into columns."""
     c = F.col
+    code = F.upper(F.trim("item_code"))
+    wanted = [x for _, codes in METRIC_VARIANTS for x in codes]
+    known = F.when(code.isin(wanted), code)
+    firsts = items.groupBy(*FILING, known.alias("item_code")).agg(
+        F.min_by(F.when(known.isNotNull(), F.col("value_raw")), "ord").alias("value_raw"), F.count(F.lit(1)).alias("n"))
+    based = _variant_columns(firsts, F.sum("n").alias("total_rows"))
     residential = sum_of_present(c("res_1_4"), c("multifamily"), c("construction"))
-    measured = variant_values(items).withColumn("residential_total", residential).select(
-        *FILING, "total_assets", "total_loans", "total_deposits", "total_equity", "net_income",
+    return based.withColumn("residential_total", residential).select(
+        *FILING, "total_rows", "total_assets", "total_loans", "total_deposits", "total_equity", "net_income",
         "residential_total",
         safe_divide(c("residential_total"), c("total_loans")).alias("residential_ratio"),
         safe_divide(c("total_equity"), c("total_assets")).alias("equity_to_assets"),
         safe_divide(c("total_loans"), c("total_deposits")).alias("loans_to_deposits"),
     )
-    counts = items.groupBy(*FILING).agg(F.count(F.lit(1)).alias("total_rows"))
-    return counts.join(measured, FILING, "left")
 
 
 def metric_rows(measured: DataFrame) -> DataFrame:

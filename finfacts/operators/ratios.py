@@ -34,12 +34,9 @@ def custom_ratios(facts: DataFrame, definitions: Sequence[RatioDef]) -> DataFram
     ]
     codes = safe_codes([c for d in definitions for c in (d.numerator, d.denominator) if c])
     number = prefix_number("value_raw")
-    # The cells come from the id columns alone, the texts are read for the asked codes.
-    found = facts.where(F.col("code").isin(codes)).groupBy(*CELL).agg(
-        *[F.max(F.when(F.col("code") == c, number)).alias(c) for c in codes]
-    ) if codes else None
-    rows = facts.select(*CELL).distinct()
-    rows = rows.join(found, CELL, "left") if found is not None else rows
+    # One aggregate over all cells: a cell without any asked code keeps its error rows.
+    found = [F.max(F.when(F.col("code") == c, number)).alias(c) for c in codes]
+    rows = facts.groupBy(*CELL).agg(*found) if codes else facts.select(*CELL).distinct()
     out = []
     for d in definitions:
         num = F.col(d.numerator) if d.numerator in codes else F.lit(None).cast("double")

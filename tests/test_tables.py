@@ -209,3 +209,38 @@ def test_question_is_read_once(spark):
     for column in (qn.route("question", F.col("rssd_id")), qn.action("question", F.col("rssd_id"), F.lit("a"), F.lit("b"))):
         optimized = asked.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
         assert optimized.count("(?=(") == 1 and "Contains(" not in optimized
+
+
+# ---------------------------------------------------------------- tools called from SQL
+
+def test_arguments_of_sql_tools_reach_the_scan(spark, sf_dir):
+    from finfacts.plans import sqltools, tools
+    from finfacts.session import scratch_path
+    from finfacts.sources import store
+
+    path = scratch_path(spark, "tools")
+    store.write_quarters(facts(spark, sf_dir), path)
+    stored = store.read_facts(spark, path)
+    assert len(sqltools.register(spark, stored)) == 4
+    calls = {
+        "get_ubpr_ratios('3', '19981231')": tools.get_ubpr_ratios(stored, "3", "19981231"),
+        "get_ubpr_trend('UBPRE013', '19991231', '19980331', '3')": tools.get_ubpr_trend(stored, "19980331", "19991231", "UBPRE013", "3"),
+        "flag_regulatory_issues(for_bank => '3')": tools.flag_regulatory_issues(stored, "3"),
+    }
+    for call, same in calls.items():
+        found = spark.sql(f"SELECT * FROM {call}")
+        text = plan(found)
+        assert "EqualTo(rssd_id,3)" in text, call
+        assert ("quarter" in text.split("PartitionFilters: [")[1].split("]")[0]) == ("1998" in call)
+        assert sorted(map(str, found.collect())) == sorted(map(str, same.select(*found.columns).collect())) != []
+    # One quarter's peers are all read; only the own rows are the bank's.
+    peer = plan(spark.sql("SELECT * FROM get_peer_comparison('all', '3', '19981231')"))
+    assert all("quarter" in part.split("]")[0] for part in peer.split("PartitionFilters: [")[1:])
+
+
+def test_measures_and_cells_from_one_scan(spark, sf_dir):
+    from finfacts.checks.catalog import QUERIES
+
+    for name in ("rep07_metrics", "rep06_defs", "prj06_size_bucket", "rep06_saved"):
+        text = plan(QUERIES[name](spark, sf_dir))
+        assert text.count("lineitem.parquet") == 1, name
