@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from finfacts import reference_data as ref
 from finfacts.checks import sqltext as S
+from finfacts.checks.catalog_items import _LABELS, _renamed
 from finfacts.checks.registry import ORACLES, query
 from finfacts.functions import periods as per
-from finfacts.operators import asof, facts as fx, intervals, items as it, peers, questions as qn, ratios, terms, trends
+from finfacts.operators import asof, facts as fx, intervals, items as it, peers, questions as qn, ratios, terms, trends, wide_report
 from finfacts.plans import sqltools
+from finfacts.session import scratch_path
 from finfacts.sources.panel import PANEL_BUCKETS, PANEL_CODES, facts, institutions, line_items, pick, questions, table
 
 # ---------------------------------------------------------------- terms
@@ -258,6 +260,46 @@ def _(spark, sf):
     return qn.classify(questions(spark, sf), _keywords(spark, sf)).select("question_id", "place", "kind")
 
 
+# ---------------------------------------------------------------- wide reports
+
+_CELLS = f"""cells8 AS (SELECT section, item_code, c.rssd_id, reporting_period, description, value, coalesce(bank_label, c.rssd_id) AS bank,
+    substr(reporting_period, 7, 4) || substr(reporting_period, 1, 2) || substr(reporting_period, 4, 2) AS pk
+  FROM (SELECT section, item_code, rssd_id, reporting_period, arg_min(description, ord) AS description, arg_max(value_raw, ord) AS value
+    FROM items WHERE section IS NOT NULL GROUP BY 1, 2, 3, 4) c LEFT JOIN labels2 l ON l.rssd_id = c.rssd_id)"""
+
+
+def _lines_sql(label: str, order: str, shard: int) -> str:
+    """The report's lines from the full grid of rows and columns."""
+    quote = lambda x: f"""'"' || replace({x}, '"', '""') || '"'"""
+    return S.with_(S.ITEMS, S.INSTITUTIONS, _LABELS, _CELLS, f"""
+cols AS (SELECT label, row_number() OVER (ORDER BY o) - 1 AS col FROM (SELECT DISTINCT {label} AS label, {order} AS o FROM cells8)),
+vals AS (SELECT section, item_code, {label} AS label, arg_max(value, ROW(pk, rssd_id)) AS v FROM cells8 GROUP BY 1, 2, 3),
+heads AS (SELECT section, item_code, min(description) AS description FROM cells8 GROUP BY 1, 2)""") + f"""
+SELECT CAST(col // {shard} AS INT) AS shard, {quote('r.section')} || ',' || {quote('r.item_code')} || ',' || {quote('r.description')} || ',' ||
+  string_agg({quote("coalesce(v, '-')")}, ',' ORDER BY col) AS line
+FROM heads r CROSS JOIN cols k LEFT JOIN vals v ON v.section = r.section AND v.item_code = r.item_code AND v.label = k.label
+GROUP BY 1, r.section, r.item_code, r.description
+UNION ALL SELECT CAST(col // {shard} AS INT), '"section","item_code","description",' || string_agg({quote('label')}, ',' ORDER BY col) FROM cols GROUP BY 1"""
+
+
+def _written_report(spark, sf, many_banks: bool, many_periods: bool, shard: int):
+    """The report as files, and their lines read back."""
+    path = scratch_path(spark, "report")
+    rows = it.with_section(line_items(spark, sf))
+    wide_report.write_report(wide_report.report_lines(rows, _renamed(spark, sf), many_banks, many_periods, shard), path)
+    return spark.read.schema("value string, shard int").text(path).select("shard", F.col("value").alias("line"))
+
+
+@query("rep08_bank_period_csv", _lines_sql("bank || ' · ' || reporting_period", "ROW(bank, pk)", 1000))
+def _(spark, sf):
+    return _written_report(spark, sf, True, True, 1000)
+
+
+@query("rep08_bank_csv", _lines_sql("bank", "bank", 64))
+def _(spark, sf):
+    return _written_report(spark, sf, True, False, 64)
+
+
 # ---------------------------------------------------------------- tools called from SQL
 
 def _tool(name: str, like: str, call: str, **frames):

@@ -244,3 +244,37 @@ def test_measures_and_cells_from_one_scan(spark, sf_dir):
     for name in ("rep07_metrics", "rep06_defs", "prj06_size_bucket", "rep06_saved"):
         text = plan(QUERIES[name](spark, sf_dir))
         assert text.count("lineitem.parquet") == 1, name
+
+
+# ---------------------------------------------------------------- wide reports
+
+def test_ten_thousand_columns_as_csv(spark):
+    from finfacts.operators import wide_report
+    from finfacts.session import scratch_path
+
+    # 400 banks by 25 periods; one code of a bank's own leaves wide gaps, one bank shares its name, texts need quoting.
+    items = spark.range(10_000).selectExpr(
+        "cast(id % 400 as string) AS rssd_id", "concat('12/31/', 2000 + id div 400) AS reporting_period", "id AS ord",
+        "explode(array('A', concat('B', id % 400 % 7))) AS item_code", "concat('say \"', id, '\", x') AS value_raw",
+        "'text, with comma' AS description", "'RC' AS section")
+    banks = spark.range(400).selectExpr("cast(id as string) AS rssd_id", "if(id < 2, 'Same', concat('Bank ', id)) AS name")
+    lines = wide_report.report_lines(items, banks, shard_columns=1500)
+    path = scratch_path(spark, "wide")
+    wide_report.write_report(lines, path)
+    tables = [wide_report.read_shard(spark, path, k) for k in range(7)]
+    headers = [t.columns for t in tables]
+    assert all(h[:3] == ["section", "item_code", "description"] for h in headers)
+    columns = [c for h in headers for c in h[3:]]
+    assert len(columns) == len(set(columns)) == 10_000 and [len(h) for h in headers] == [1503] * 6 + [1003]
+    assert columns[:2] == ["Bank 10 · 12/31/2000", "Bank 10 · 12/31/2001"] and "Same (1) · 12/31/2000" in columns
+    found = {}
+    for t in tables:
+        for r in t.collect():
+            found.setdefault(r.item_code, {}).update({c: r[c] for c in t.columns[3:]})
+    assert sorted(found) == ["A", *[f"B{i}" for i in range(7)]]
+    for i in range(0, 10_000, 37):
+        bank, period = i % 400, f"12/31/{2000 + i // 400}"
+        name = f"Same ({bank})" if bank < 2 else f"Bank {bank}"
+        assert found["A"][f"{name} · {period}"] == f'say "{i}", x'
+        assert found[f"B{bank % 7}"][f"{name} · {period}"] == f'say "{i}", x' and found[f"B{(bank + 1) % 7}"][f"{name} · {period}"] == "-"
+    assert wide_report.report_lines(items.where("false"), banks).count() == 0
