@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, shared, table
@@ -123,12 +123,13 @@ class Field:
 
 
 def learning_rows(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """text, toxic: at most ``max_rows`` documents of each class, none held out."""
+    """text, toxic: at most ``max_rows`` documents of each class, none held out, one row (the least text) for each id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_rows).select("doc_id", "toxic")
-    return documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # The first by hash of each class: every task keeps its own first ones, and those are merged.
+    clean, toxic = (known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1))
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(clean.unionAll(toxic)), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _feature_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -312,9 +313,12 @@ def offending(text: str, p: np.ndarray) -> list[tuple[int, int]]:
     if not (p > 0.5).any():
         return []
     lowered = text.lower()
-    # Lower-casing may lengthen a text (a few letters do); tokens are then matched in order in the text itself.
-    spans = [m.span() for m in _TOKEN.finditer(lowered if len(lowered) == len(text) else text)]
-    return [s for s, x in zip(spans, p) if x > 0.5]
+    spans = [m.span() for m, x in zip(_TOKEN.finditer(lowered), p) if x > 0.5]
+    if len(lowered) == len(text):
+        return spans
+    # A few letters get longer in lower case; each lower-case place belongs to one letter of the text.
+    letter = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+    return [(int(letter[a]), int(letter[b - 1]) + 1) for a, b in spans]
 
 
 def score(documents: DataFrame, model: Field | None) -> DataFrame:

@@ -150,19 +150,22 @@ def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redact(documents: DataFrame, scope: int = SCOPE, mask: str = MASK) -> DataFrame:
     """The documents with every reported span masked (overlapping ones together); all rows and columns stay."""
-    keyed = documents.withColumn("_key", row_key("doc_id", "text"))
-    spans = reported(matches(documents), scope).select(F.col("key").alias("_key"), F.array_sort(
-        F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("_spans"))
+    # The columns travel as one, so their names may be any.
+    packed = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document")
+    keyed = documents.select(packed, row_key("doc_id", "text").alias("key"))
+    spans = reported(matches(documents), scope).select("key", F.array_sort(
+        F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
+    text = F.col("document.text")
     cut = F.aggregate(
-        "_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        "spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
-                acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+                acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
                 F.lit(mask))).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    masked = keyed.join(spans, "_key", "left")
-    return masked.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*documents.columns)
+        lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    masked = F.when(F.col("spans").isNull(), text).otherwise(cut)
+    return keyed.join(spans, "key", "left").select(F.col("document").withField("text", masked).alias("document")).select("document.*")
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ nothing to a large one. Its size is bounded by the number of languages and it is
 on its whole text.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any learning row every text is ``und``.
-Repeated rows are scored each; rows with a null language never train.
+Repeated rows are scored each and train once; rows with a null language never train. An empty table gives an empty
+result; extra columns are not read by the query and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -53,14 +54,15 @@ def held_out() -> Column:
 
 
 def learning_sample(documents: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """text, lang: at most ``max_documents`` learning rows of each language, by the hash of their text."""
+    """text, lang: at most ``max_documents`` learning texts of each language, by the hash of the text; a text that many
+    rows hold is one."""
     rows = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy("h")
     # Only hashes are ranked; the limit is applied in every task before the shuffle.
     keys = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
     chosen = keys.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_documents).select("lang", "h")
     texts = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    return texts.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "text")
+    return texts.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

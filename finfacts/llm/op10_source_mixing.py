@@ -92,7 +92,8 @@ def solve(totals: DataFrame, target_entropy: float | None, max_repeats: float |
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("_row", F.monotonically_increasing_id())
+    """What :func:`mix` reads of the documents, with a number for each row."""
+    return documents.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "source", "text")
 
 
 def mix(rows: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS,
@@ -128,10 +129,12 @@ def mix(rows: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repe
 
 def realise(documents: DataFrame, **targets) -> DataFrame:
     """The mixture itself: every document's row as often as planned, with all its columns."""
-    rows = stored(numbered(documents), "numbered")
-    plan = mix(rows, **targets).where("copies > 0").select("_row", "copies")
+    # The columns travel as one, so their names may be any.
+    packed = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document")
+    rows = stored(documents.select(F.monotonically_increasing_id().alias("_row"), packed), "numbered")
+    plan = mix(rows.select("_row", "document.doc_id", "document.source", "document.text"), **targets).where("copies > 0")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return rows.join(plan, "_row").withColumn("_copy", copies).select(*documents.columns)
+    return rows.join(plan.select("_row", "copies"), "_row").select("document", copies.alias("copy")).select("document.*")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
