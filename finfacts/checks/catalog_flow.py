@@ -187,6 +187,23 @@ def _(spark, sf):
     return snapshots.read_institutions(spark, path)
 
 
+@query("src08_lost_lines", S.with_(S.INSTITUTIONS) + """
+SELECT count(*) FILTER (WHERE NOT ends_with(rssd_id, '7')) AS n_read, count(*) FILTER (WHERE ends_with(rssd_id, '7')) AS n_lost
+FROM institutions""")
+def _(spark, sf):
+    """Lines that break off (here those of ids ending in 7) are counted; all others are read."""
+    path = scratch_path(spark, "panel")
+    line = F.to_json(F.struct(F.col("rssd_id").cast("bigint").alias("ID_RSSD"), F.col("name").alias("Name"),
+                              F.col("city").alias("City"), F.col("state").alias("State")))
+    broken = F.when(F.col("rssd_id").endswith("7"), F.substring(line, 1, 20)).otherwise(line)
+    institutions(spark, sf).select(broken.alias("value")).write.text(path)
+    read = snapshots.read_institutions(spark, path).agg(F.count(F.lit(1)).alias("n_read"))
+    lost = snapshots.unreadable(spark, path, "struct<ID_RSSD:bigint>")
+    lost = lost.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).cast("bigint").alias("n_lost"))
+    # Both sides have one row.
+    return read.select("n_read", lost.scalar().alias("n_lost"))
+
+
 _PERIODS_SQL = f"""periods AS (SELECT DISTINCT strftime(last_day(make_date(year(l_shipdate), quarter(l_shipdate) * 3, 1)), '%m/%d/%Y') AS period,
   {S.q_end('l_shipdate')} AS quarter_date FROM lineitem)"""
 
@@ -370,6 +387,21 @@ def _(spark, sf):
         "total_quarters")
 
 
+@query("rep12_observed", S.with_(S.FACTS) + """
+, d AS (SELECT DISTINCT rssd_id, quarter_date FROM facts)
+SELECT count(*) AS n_members,
+  (SELECT count(*) FROM facts WHERE quarter_date <= '20010630' AND (trim(value_raw) <> '' OR code = 'UBPR2170')) AS n_facts,
+  count(DISTINCT quarter_date || '-' || CAST(floor(CAST(rssd_id AS BIGINT) / 256) AS BIGINT)) AS n_strays
+FROM d""".lstrip())
+def _(spark, sf):
+    """What the run's own writes observed, from the run log: members staged, facts stored, stray members of archives."""
+    root = _landed(spark, sf)
+    ingestion.run(spark, f"{root}/in", f"{root}/facts", f"{root}/log", f"{root}/runs", f"{root}/checkpoint", AS_OF,
+                  start_year=START_YEAR, max_files_per_trigger=512)
+    return store.last_run(spark, f"{root}/runs").select(
+        "n_members", "n_facts", F.col("rejects")["no_entity_id"].alias("n_strays"))
+
+
 @query("src10_last_run", S.with_(S.FACTS) + """
 SELECT (SELECT count(*) FROM (SELECT DISTINCT quarter_date FROM facts)) AS total_quarters, 0::BIGINT AS rows_when_absent""")
 def _(spark, sf):

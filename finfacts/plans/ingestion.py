@@ -40,7 +40,7 @@ def run(
     admitted = {q for q, d in decisions.items() if d == "admitted"}
     known = {r[0] for r in stored.select("quarter_date").collect()}
     started = datetime.now(timezone.utc)
-    incremental.ingest_new(
+    seen = incremental.ingest_new(
         spark, landing, store_path, log_path, checkpoint, as_of, lag_quarters,
         max_files_per_trigger=max_files_per_trigger, admitted=admitted | known,
     )
@@ -53,7 +53,7 @@ def run(
         "run_ts": started, "mode": "incremental" if recent else "full", "succeeded": split(summary.succeeded),
         "failed": split(summary.failed), "deferred": split(summary.deferred), "bytes_written": summary.bytes_written,
         "duration_seconds": int(time.time() - began), "total_quarters": totals.n_quarters, "total_gb": totals.total_gb,
-        "result": summary.result,
+        "result": summary.result, **seen,
     })
     return plan
 

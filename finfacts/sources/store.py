@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from finfacts.functions.numeric import strict_number
 
@@ -13,13 +13,21 @@ LAYOUT = "rssd_id string, code string, value_raw string, year string, quarter st
 RUN_LOG = (
     "run_ts timestamp, mode string, succeeded array<string>, failed array<string>,"
     " deferred array<string>, bytes_written bigint, duration_seconds bigint, total_quarters bigint,"
-    " total_gb double, result string"
+    " total_gb double, result string, n_members bigint, n_facts bigint, rejects map<string,bigint>"
 )
 ROWS_PER_FILE = 20_000_000
 
 
-def write_quarters(facts: DataFrame, path: str) -> None:
-    """Overwrite exactly the quarters present in ``facts``.
+def observed(frame: DataFrame, metrics: Sequence[Column], write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Run ``write`` on ``frame`` and return the counts ``metrics`` that the same job observed: no second scan. They
+    belong to the last stage before the write, whose tasks count once however often they are tried."""
+    seen = Observation()
+    write(frame.observe(seen, *metrics))
+    return {name: value or 0 for name, value in seen.get.items()}
+
+
+def write_quarters(facts: DataFrame, path: str) -> int:
+    """Overwrite exactly the quarters present in ``facts``; return the number of facts written.
 
     The rows are rebalanced by quarter: adaptive execution splits a quarter by its bytes and joins small
     ones, so a heavy quarter becomes many tasks at any size. Rows are sorted so that the column statistics
@@ -29,17 +37,20 @@ def write_quarters(facts: DataFrame, path: str) -> None:
         "rssd_id", "code", "value_raw",
         F.substring("quarter_date", 1, 4).alias("year"), F.col("quarter_date").alias("quarter"),
     )
-    (
-        rows.hint("rebalance", "year", "quarter")
-        .sortWithinPartitions("quarter", "rssd_id", "code")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .option("maxRecordsPerFile", ROWS_PER_FILE)
-        .option("parquet.bloom.filter.enabled#rssd_id", "true")
-        .partitionBy("year", "quarter")
-        .parquet(path)
-    )
+    ordered = rows.hint("rebalance", "year", "quarter").sortWithinPartitions("quarter", "rssd_id", "code")
+
+    def write(frame: DataFrame) -> None:
+        (
+            frame.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "snappy")
+            .option("maxRecordsPerFile", ROWS_PER_FILE)
+            .option("parquet.bloom.filter.enabled#rssd_id", "true")
+            .partitionBy("year", "quarter")
+            .parquet(path)
+        )
+
+    return observed(ordered, [F.count(F.lit(1)).alias("n_facts")], write).get("n_facts", 0)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:

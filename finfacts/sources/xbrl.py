@@ -157,6 +157,17 @@ def facts_of(parsed: DataFrame) -> DataFrame:
     )
 
 
+#: What can be wrong with an archive or with one of its members; each gives one row of that status.
+REJECTS = ("unreadable_archive", "unreadable_member", "no_entity_id", "malformed_xml", "no_facts")
+
+
+def parse_metrics() -> list[Column]:
+    """Counts for a write of parsed rows to observe: members that gave facts, and rejects of each kind."""
+    kinds = [F.count(F.when(F.col("status") == kind, 1)).alias(kind) for kind in REJECTS]
+    # A member's first fact stands for the member.
+    return [F.count(F.when((F.col("status") == "ok") & (F.col("ord") == 0), 1)).alias("n_members"), *kinds]
+
+
 def archive_outcomes(parsed: DataFrame) -> DataFrame:
     """Per archive: institutions extracted, members skipped, and whether anything was usable. Facts are counted by
     their position in a document, so rows that were staged twice count once."""

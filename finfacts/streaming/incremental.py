@@ -78,28 +78,32 @@ def prune_staging(spark: SparkSession, store_path: str, log_path: str) -> list[s
     return [q for q in done if q in stored and store.delete_path(spark, f"{staging}/quarter_date={q}")]
 
 
-def _build(spark: SparkSession, parsed: DataFrame, store_path: str, log_path: str, quarters: Collection[str]) -> None:
-    """Overwrite each of ``quarters`` from its parsed rows. If the write fails, quarters are tried one by
-    one: a quarter that cannot be built is logged as failed, stays as it was, and stops no other."""
+def _build(spark: SparkSession, parsed: DataFrame, store_path: str, log_path: str, quarters: Collection[str]) -> int:
+    """Overwrite each of ``quarters`` from its parsed rows; return the number of facts written. If the write fails,
+    quarters are tried one by one: a quarter that cannot be built is logged as failed, stays as it was, and stops
+    no other."""
 
-    def build(names: list[str]) -> None:
+    def build(names: list[str]) -> int:
         rows = parsed.where(F.col("quarter_date").isin(names))
-        store.write_quarters(xbrl.facts_of(rows), store_path)
+        n_facts = store.write_quarters(xbrl.facts_of(rows), store_path)
         _log(xbrl.archive_outcomes(rows.where(F.col("path") != STORED)), log_path)
+        return n_facts
 
     names = sorted(quarters)
+    n_facts = 0
     if not names:
-        return
+        return n_facts
     try:
-        build(names)
+        n_facts = build(names)
     except Exception as error:
         warnings.warn(f"quarters are built one by one: {error}", stacklevel=2)
         for name in names:
             try:
-                build([name])
+                n_facts += build([name])
             except Exception as reason:
                 warnings.warn(f"quarter {name} is not built: {reason}", stacklevel=2)
                 _note(spark, [(name, "")], "failed", log_path)
+    return n_facts
 
 
 def load_quarters(
@@ -139,12 +143,15 @@ def ingest_new(
     spark: SparkSession, landing: str, store_path: str, log_path: str, checkpoint: str, as_of: str,
     lag_quarters: int = PUBLICATION_LAG_QUARTERS, spread: int | None = None,
     max_files_per_trigger: int = 64, admitted: Collection[str] | None = None,
-) -> None:
+) -> dict:
     """Process every archive that arrived since the last call, then stop; a no-op when none did.
 
     A quarter younger than the publication lag, or outside ``admitted`` when that is given, is logged as
     deferred; its staged rows are stored by the first later call that may. Archives without a quarter in
     their name are logged as failed.
+
+    Returns what this call's own writes observed: ``n_members`` staged, ``n_facts`` stored, and ``rejects``, the
+    number of archives and members of each kind that gave nothing. A batch that is replayed counts once.
     """
     newest_eligible = last_published_key(as_of, lag_quarters)
     staging = f"{store_path.rstrip('/')}__staged"
@@ -155,18 +162,22 @@ def ingest_new(
     waiting = [q for q in deferred_quarters(spark, log_path) if may_store(q)]
     touched: set[str] = set()
     late: set[str] = set()
+    counts: dict[int, dict[str, int]] = {}
 
-    def on_arrival(batch: DataFrame, _batch_id: int) -> None:
+    def on_arrival(batch: DataFrame, batch_id: int) -> None:
         # Names only: the content column is not read here.
         named = batch.select("path", xbrl.quarter_of("path").alias("q"))
         usable = F.coalesce(is_quarter_key("q"), F.lit(False))
         lost = [(r.q or "", r.path) for r in named.where(~usable).collect()]
         _note(spark, lost, "failed", log_path)
+        counts[batch_id] = {"no_quarter": len(lost)}
         keys = sorted(r[0] for r in named.where(usable).select("q").distinct().collect())
         if not keys:
             return
         archives = xbrl.with_quarter(batch).where(F.col("quarter_date").isin(keys))
-        xbrl.parse_archives(archives, spread).write.mode("append").partitionBy("quarter_date").parquet(staging)
+        counts[batch_id] |= store.observed(
+            xbrl.parse_archives(archives, spread), xbrl.parse_metrics(),
+            lambda rows: rows.write.mode("append").partitionBy("quarter_date").parquet(staging))
         touched.update(q for q in keys if may_store(q))
         late.update(q for q in keys if not may_store(q))
 
@@ -186,9 +197,13 @@ def ingest_new(
     staged_only = _staged_unlogged(spark, staging, log_path)
     todo = touched | set(waiting) | {q for q in staged_only if may_store(q)}
     _note(spark, [(q, "") for q in sorted(late)], "deferred", log_path)
+    n_facts = 0
     if todo:
         _stage_stored(spark, store_path, staging, todo)
-        _build(spark, spark.read.schema(xbrl.FACT_ROWS).parquet(staging), store_path, log_path, todo)
+        n_facts = _build(spark, spark.read.schema(xbrl.FACT_ROWS).parquet(staging), store_path, log_path, todo)
+    total = lambda name: sum(seen.get(name, 0) for seen in counts.values())
+    rejects = {kind: total(kind) for kind in ("no_quarter", *xbrl.REJECTS)}
+    return {"n_members": total("n_members"), "n_facts": n_facts, "rejects": {k: n for k, n in rejects.items() if n}}
 
 
 def _staged_unlogged(spark: SparkSession, staging: str, log_path: str) -> list[str]:

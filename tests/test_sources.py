@@ -231,6 +231,43 @@ def test_budget_defers_and_a_later_run_takes_in(spark):
     assert stored() == {"20200331", "20200630"}
 
 
+def test_a_run_logs_what_its_writes_observed(spark):
+    from finfacts.plans import ingestion
+
+    root, drop = _folder(spark, "observed")
+    run = lambda: ingestion.run(
+        spark, f"{root}/in", f"{root}/facts", f"{root}/log", f"{root}/runs", f"{root}/cp", "2021-01-15", start_year=2020,
+        max_files_per_trigger=1)
+    seen = lambda: store.last_run(spark, f"{root}/runs").select("n_members", "n_facts", "rejects").first()
+    drop("20200331-a.zip", zip_of({
+        **_one("1", "2020-03-31", ("UBPRE013", "1"), ("UBPRE018", "2"), ("UBPRE013", "3")),
+        "FI 2(ID RSSD) x.xml": "<broken", "summary.xml": "<none/>", "FI 3(ID RSSD) x.xml": report()}))
+    drop("20200630-a.zip", zip_of(_one("1", "2020-06-30", ("UBPRE013", "5"))))
+    drop("20200930-a.zip", b"no archive")
+    drop("undated.zip", zip_of(_one("1", "2020-06-30", ("UBPRE013", "5"))))
+    run()
+    # Of the two facts of a code the later one is stored.
+    assert tuple(seen()) == (2, 3, {
+        "no_quarter": 1, "unreadable_archive": 1, "no_entity_id": 1, "malformed_xml": 1, "no_facts": 1})
+    run()
+    assert tuple(seen()) == (0, 0, {})
+    # A restated quarter is written whole, with what it had before.
+    drop("20200331-b.zip", zip_of(_one("4", "2020-03-31", ("UBPRE013", "9"))))
+    run()
+    assert tuple(seen()) == (1, 3, {})
+
+
+def test_counts_of_an_empty_write(spark):
+    empty = spark.createDataFrame([], "rssd_id string, quarter_date string, code string, value_raw string")
+    assert store.write_quarters(empty, scratch_path(spark, "empty")) == 0
+
+
+def test_an_old_run_log_is_still_read(spark):
+    path = scratch_path(spark, "oldlog")
+    spark.sql("SELECT timestamp'2020-01-01' AS run_ts, 'full' AS mode").write.parquet(path)
+    assert store.last_run(spark, path).select("mode", "rejects").first() == ("full", None)
+
+
 def test_a_run_log_that_cannot_be_written_fails_nothing(spark):
     import pytest
 
