@@ -1,8 +1,8 @@
 """Substring dedup: words covered by a 20-word window that also starts earlier are removed.
 
-A suffix tree cut at 20 words, in prefix partitions. Its nodes at depth 20 are the windows; a node with two leaves or
-more is a repeat, and all its leaves but the earliest mark their window. Building it over every position would move
-the corpus many times over, so suffixes are taken at content-chosen starts: of the 15 runs of 6 words inside a window,
+This is not a suffix tree: suffixes of every position would move the corpus many times over, so 20-word windows are
+hashed and grouped by a prefix. Equal windows are what the nodes of such a tree at depth 20 would be; all leaves of a
+node but the earliest mark their window. Windows are grouped at content-chosen starts: of the 15 runs of 6 words inside a window,
 the one of least hash is its anchor, whatever document it stands in. Equal windows have equal anchors, so
 
 1. anchors that stand once in the corpus are dropped with all the windows they own (a count, combined in the tasks);
@@ -11,12 +11,14 @@ the one of least hash is its anchor, whatever document it stands in. Equal windo
    the full 20 words, so no group outgrows a task;
 3. a group is read in the order of its suffixes' starts, as a sorted stream that Spark may spill: a window seen before
    in its group is a deep internal node, and its later leaves are marked;
-4. marks return to their documents, whose covered words are removed.
+4. marks return to their documents, whose covered words are removed. Overlapping and touching windows make one span.
 
 A window is known by the 128 bits of its anchor's and its own hash. Texts are read whole and move compressed.
 
-Order: doc_id, then the text's hash (for a doc_id with several texts), then the start; null doc_ids come last.
+Order: doc_id, then the text's hash (for a doc_id with several texts), then the start; null doc_ids come last, each text
+of them as a document of its own. doc_ids are below 2^62.
 Identical rows count as one document and get its result each. Null and empty texts have no words.
+An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from .common import HashCache, discard, stored, table, windows
 
 WORDS, ANCHOR = 20, 6
 HEAVY = 20_000
-_LAST = 2**63 - 1
+#: Rows without a doc_id are ordered from here on, by their text.
+_LAST = 2**62
 
 
 def anchors_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,10 +207,28 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def remove_repeats(documents: DataFrame, heavy: int = HEAVY) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+    for batch in batches:
+        ids, texts, spans = [], [], []
+        for doc_id, z, marks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "marks"))):
+            words, found = _words(z), []
+            if marks:
+                gone = covered(len(words), [(m["lo"], m["mask"]) for m in marks])
+                edges = np.flatnonzero(np.diff(np.r_[False, gone, False])).tolist()
+                found = [{"start": a, "length": b - a} for a, b in zip(edges[::2], edges[1::2])]
+                words = [w for w, g in zip(words, gone.tolist()) if not g]
+            ids.append(doc_id), texts.append(b" ".join(words).decode()), spans.append(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(spans, kind)], names=["doc_id", "text", "spans"])
+
+
+def _marked(documents: DataFrame, heavy: int) -> DataFrame:
+    """doc_id, z, marks: the words of every document, packed, and its marked windows."""
+    # Texts without a doc_id are documents of their own, not one group.
+    nameless = F.lit(_LAST) + F.shiftrightunsigned(F.xxhash64("text"), 3)
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), nameless).alias("d"),
         F.hash("text").alias("th"), "text")
     anchors = stored(rows.select("d", "text").mapInArrow(_anchors, "anchor long, d long, n int"), "anchors")
     times = anchors.groupBy("anchor").agg(F.sum("n").alias("times")).where("times > 1")
@@ -229,10 +250,22 @@ def remove_repeats(documents: DataFrame, heavy: int = HEAVY) -> DataFrame:
     columns = ["d", "th", "lo", "mask"]
     every = marks.where("window is null").select(columns).unionAll(later.select(columns))
     by_document = every.groupBy("d", "th").agg(F.collect_list(F.struct("lo", "mask")).alias("marks"))
-    return packed.join(by_document, ["d", "th"], "left").select("doc_id", "z", "marks").mapInArrow(
+    return packed.join(by_document, ["d", "th"], "left").select("doc_id", "z", "marks")
+
+
+def remove_repeats(documents: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    return _marked(documents, heavy).mapInArrow(
         _results, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def deduplicated(documents: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, text, spans of every document: the words that stay, joined by one space, and the removed stretches
+    (numbers of their first word and of their words). A passage that repeats is one span, however long it is."""
+    return _marked(documents, heavy).mapInArrow(
+        _spans, "doc_id long, text string, spans array<struct<start:long,length:long>>")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 

@@ -46,6 +46,29 @@ def test_equals_brute_force(documents_of, heavy):
     assert got == by_hand(rows)
 
 
+def test_texts_and_spans(documents_of):
+    rows = texts(9, 120)
+    by_id = dict(rows)
+    digests = {d: (n, sha) for d, (_, n, sha) in by_hand(rows).items()}
+    for r in op.deduplicated(documents_of(rows)).collect():
+        words = by_id[r.doc_id].split()
+        gone = {i for s in r.spans for i in range(s.start, s.start + s.length)}
+        assert r.text == " ".join(w for i, w in enumerate(words) if i not in gone)
+        assert (len(gone), hashlib.sha256(r.text.encode()).hexdigest()) == digests[r.doc_id]
+        # Maximal: spans neither overlap nor touch.
+        assert all(a.start + a.length < b.start for a, b in zip(r.spans, r.spans[1:]))
+    passage = " ".join(f"p{i}" for i in range(300))
+    out = op.deduplicated(documents_of([(1, passage), (2, "x " + passage + " y"), (3, None)])).orderBy("doc_id").collect()
+    assert [(r.text, [tuple(s) for s in r.spans]) for r in out] == [(passage, []), ("x y", [(1, 300)]), ("", [])]
+
+
+def test_texts_without_an_id_are_documents(documents_of):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"{passage} {i}") for i in range(50)] + [(7, passage), (None, None), (None, "")]
+    got = [(r.doc_id, r.n_words, r.n_removed) for r in op.remove_repeats(documents_of(rows), heavy=3).collect()]
+    assert sorted(got, key=str) == sorted([(None, 31, 30)] * 50 + [(7, 30, 0), (None, 0, 0), (None, 0, 0)], key=str)
+
+
 def test_equals_sql(spark, oracle, sf_dir):
     assert difference(spark, oracle, "op9", op.op9_substring_dedup, op.ORACLE, sf_dir) is None
 
