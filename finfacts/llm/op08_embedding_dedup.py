@@ -4,16 +4,21 @@ Fit (bounded sample of ``SAMPLE`` distinct vectors, those of least hash, with on
 a hot group does not become the centre): principal axes, then a rotation by turns of
 "nearest binary code" and "nearest rotation" (a singular value decomposition). Several starts give several rotations;
 their bits, each cut at the widest gap among the middle fifth of the sample so that they are balanced and no group
-of near copies is split by the cut, make one code of TABLES * TABLE_BITS bits.
+of near copies is split by the cut, make one code. Its runs of bits are the tables.
 
-Index (every vector): each run of TABLE_BITS bits is a table. Vectors with equal bits there are compared in the
-original space, in double precision. A pair at cosine 0.95 differs in a bit with probability 0.10, so it agrees in
-one of the 20 tables of 16 bits with probability 0.98; pairs at 0.98 with more than 0.999.
+Index (every vector): a table is as wide as the number of vectors asks (``shape_of``), so that unrelated vectors rarely
+meet in it however many there are, and there are as many tables as that width needs: a pair at cosine 0.95 differs in a
+bit with probability 0.10 and agrees in one table or more with probability 0.98 at every width; pairs at 0.98 with more
+than 0.999. Vectors with equal bits in a table are first compared by the Hamming distance of their whole codes; only
+those within ``DISTANCE`` of the bits of another are then moved and compared in the original space, in double precision.
+A pair is looked at in the first table that holds it and in no other, so none counts twice, and a vector moves only
+with the tables that are first for one of its pairs.
 
 A table's bucket is compared as blocks of at most ``CHUNK`` vectors: a hot bucket becomes many block pairs, spread
-over the tasks, and what leaves a block is a count and a root for each vector, never its pairs. A pair counts in the
-first table that holds it, so no pair counts twice. Equal vectors are one node with a multiplicity.
+over the tasks, and what leaves a block is a count and a root for each vector, never its pairs. Equal vectors are one
+node with a multiplicity. A group of n different vectors that are all near each other still costs n * n / 2 products.
 
+An empty table gives an empty result; extra columns, ``label`` among them, are ignored. Ties at the cosine link.
 Vectors that are null, zero, empty or hold null or non-finite components link with nothing; vectors of different
 length do not link. Rows with a null vec_id count as other vectors, but have no component_id and are kept. Repeated
 rows are vectors each.
@@ -21,6 +26,7 @@ rows are vectors each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,21 +39,34 @@ from .common import stored, table
 from .components import components
 
 COSINE = 0.95
-TABLES, TABLE_BITS = 20, 16
+#: Share of pairs at the cosine that no table may hold; least and greatest width of a table.
+MISSED, LEAST_BITS, MOST_BITS = 0.018, 16, 30
+#: Pairs whose codes differ in a greater share of the bits are not compared as vectors. The expected share at the cosine
+#: is 0.10, and vectors that differ in a quarter of the bits are at a cosine of about 0.7.
+DISTANCE = 0.25
 SAMPLE, ROUNDS = 10_000, 25
 CHUNK = 2_048
 
 
+def shape_of(vectors: int) -> tuple[int, int]:
+    """(tables, bits of each) for a number of vectors: about one unrelated vector in eight shares a bucket."""
+    bits = min(max(math.ceil(math.log2(max(vectors, 1))) + 3, LEAST_BITS), MOST_BITS)
+    agree = (1 - math.acos(COSINE) / math.pi) ** bits
+    return math.ceil(math.log(MISSED) / math.log(1 - agree)), bits
+
+
 @dataclass(frozen=True)
 class Codes:
     mean: np.ndarray
-    turns: np.ndarray  # dimensions x bits
+    turns: np.ndarray  # dimensions x (tables * bits)
     cuts: np.ndarray
+    tables: int
+    bits: int
 
     def of(self, unit: np.ndarray) -> np.ndarray:
-        """The tables' values (n x TABLES) of unit vectors."""
-        bits = ((unit - self.mean) @ self.turns > self.cuts).reshape(len(unit), TABLES, TABLE_BITS)
-        return bits @ (1 << np.arange(TABLE_BITS))
+        """The tables' values (n x tables) of unit vectors."""
+        bits = ((unit - self.mean) @ self.turns > self.cuts).reshape(len(unit), self.tables, self.bits)
+        return bits @ (1 << np.arange(self.bits))
 
 
 def _leaders(unit: np.ndarray, cosine: float = 0.9, step: int = 500) -> np.ndarray:
@@ -71,7 +90,7 @@ def _cuts(values: np.ndarray) -> np.ndarray:
     return (ordered[at, columns] + ordered[at + 1, columns]) / 2
 
 
-def fit(sample: np.ndarray, seed: int = 7) -> Codes:
+def fit(sample: np.ndarray, tables: int, bits: int, seed: int = 7) -> Codes:
     """Rotations that bring the sample's principal components closest to binary codes."""
     unit = _leaders(sample / np.linalg.norm(sample, axis=1, keepdims=True))
     mean = unit.mean(axis=0)
@@ -81,19 +100,19 @@ def fit(sample: np.ndarray, seed: int = 7) -> Codes:
     projected = centred @ axes
     rng = np.random.default_rng(seed)
     turns = []
-    while sum(t.shape[1] for t in turns) < TABLES * TABLE_BITS:
+    while sum(t.shape[1] for t in turns) < tables * bits:
         rotation = np.linalg.qr(rng.standard_normal((width, width)))[0]
         for _ in range(ROUNDS):
             code = np.where(projected @ rotation >= 0, 1.0, -1.0)
             left, _, right = np.linalg.svd(code.T @ projected)
             rotation = right.T @ left.T
         turns.append(axes @ rotation)
-    every = np.concatenate(turns, axis=1)[:, : TABLES * TABLE_BITS]
-    return Codes(mean, every, _cuts(centred @ every))
+    every = np.concatenate(turns, axis=1)[:, : tables * bits]
+    return Codes(mean, every, _cuts(centred @ every), tables, bits)
 
 
-def _matrix(column: pa.ListArray) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def _matrix(column: pa.ListArray, kind: type = np.float64) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
     return flat.reshape(len(column), -1)
 
 
@@ -109,7 +128,7 @@ def _index(codes: Codes):
             if not batch.num_rows:
                 continue
             values = codes.of(_unit(_matrix(batch.column("vec")))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, TABLES, dtype=np.int32)), pa.array(values.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, codes.tables, dtype=np.int32)), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("times"), batch.column("vec"), lists],
                                              names=["node", "times", "vec", "code"])
 
@@ -127,6 +146,21 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
+def _within(number: int, side: np.ndarray, code: np.ndarray, distance: float) -> np.ndarray:
+    """Which rows (last axis but one of ``code``) of a block pair have a partner whose code is near and that no earlier
+    table holds. Leading axes are blocks of one size. Side 2 marks a block compared with itself."""
+    size = code.shape[-2]
+    fits = side[..., :, None] != side[..., None, :]
+    fits |= (side[..., :, None] == 2) & ~np.eye(size, dtype=bool)
+    apart = np.zeros(fits.shape, np.int16)
+    for t in range(code.shape[-1]):
+        differ = code[..., :, None, t] ^ code[..., None, :, t]
+        apart += np.bitwise_count(differ)
+        if t < number:
+            fits &= differ != 0
+    return (fits & (apart <= distance)).any(axis=-1)
+
+
 def _block(number: int, side: np.ndarray, node: np.ndarray, times: np.ndarray, unit: np.ndarray, code: np.ndarray):
     """(node, links, root) of the rows of one block pair; side 2 marks a block compared with itself."""
     linked = unit @ unit.T >= COSINE
@@ -136,64 +170,89 @@ def _block(number: int, side: np.ndarray, node: np.ndarray, times: np.ndarray, u
         linked &= side[:, None] != side[None, :]
     if not linked.any():
         return None
-    roots = _roots(linked)
-    counted = linked
     for earlier in range(number):
-        counted = counted & (code[:, None, earlier] != code[None, :, earlier])
-    links = counted @ times
+        linked &= code[:, None, earlier] != code[None, :, earlier]
     some = linked.any(axis=1)
-    return node[some], links[some], node[roots[some]]
+    return node[some], (linked @ times)[some], node[_roots(linked)[some]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block pairs of a partition sorted by (number, value, i, j); a block pair may go on in the next batch."""
+_KEY = ("number", "value", "i", "j")
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, table of each block, edges of the blocks) of a partition sorted by _KEY; no block is cut in two."""
     kept: list[pa.RecordBatch] = []
-    names = ("number", "value", "i", "j")
 
-    def blocks(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = np.stack([rows.column(c).to_numpy() for c in names])
+    def blocks(parts: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        keys = np.stack([rows.column(c).to_numpy() for c in _KEY])
         starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        side, node, times = (rows.column(c).to_numpy() for c in ("side", "node", "times"))
-        unit, code = _unit(_matrix(rows.column("vec"))), _matrix(rows.column("code")).astype(np.int32)
-        found = []
-        for a, b in zip(starts, np.r_[starts[1:], rows.num_rows]):
-            if b - a > 1 and (out := _block(int(keys[0, a]), side[a:b], node[a:b], times[a:b], unit[a:b], code[a:b])):
-                found.append(out)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)],
-                                             names=["node", "links", "root"])
-
-    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return rows, keys[0, starts], np.r_[starts, rows.num_rows]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in names])
-        cut = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0))[-1]) + 1 if (keys != keys[:, -1:]).any() else 0
+        keys = np.stack([batch.column(c).to_numpy() for c in _KEY])
+        before_last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+        cut = int(before_last[-1]) + 1 if len(before_last) else 0
         if cut:
-            yield from blocks(joined([*kept, batch.slice(0, cut)]))
+            yield blocks([*kept, batch.slice(0, cut)])
+            kept = []
+        elif kept and any(kept[-1].column(c)[0].as_py() != batch.column(c)[0].as_py() for c in _KEY):
+            # The whole batch has one key, another than what is kept.
+            yield blocks(kept)
             kept = []
-        elif kept:
-            # The whole batch has one key: does it go on with what is kept?
-            before = kept[-1]
-            if any(before.column(c)[0].as_py() != batch.column(c)[0].as_py() for c in names):
-                yield from blocks(joined(kept))
-                kept = []
         kept.append(batch.slice(cut))
     if kept:
-        yield from blocks(joined(kept))
+        yield blocks(kept)
+
+
+def _near(distance: float):
+    """The rows whose code is near that of another row of their block pair, without the codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, number, edges in _whole_blocks(batches):
+            side, code = rows.column("side").to_numpy(), _matrix(rows.column("code"), np.int32)
+            sizes, keep = np.diff(edges), np.zeros(rows.num_rows, bool)
+            # Small blocks of one table and size together, large ones one by one.
+            shapes = np.unique(np.stack([number, sizes])[:, (sizes > 1) & (sizes <= 16)], axis=1)
+            for table_number, size in shapes.T:
+                starts = edges[:-1][(number == table_number) & (sizes == size)]
+                for some in np.array_split(starts, len(starts) * size * size // 1_000_000 + 1):
+                    at = some[:, None] + np.arange(size)
+                    keep[at] = _within(int(table_number), side[at], code[at], distance)
+            for k in np.flatnonzero(sizes > 16):
+                at = slice(edges[k], edges[k + 1])
+                keep[at] = _within(int(number[k]), side[at], code[at], distance)
+            if keep.any():
+                yield rows.select([*_KEY, "side", "node"]).filter(pa.array(keep))
+
+    return run
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, number, edges in _whole_blocks(batches):
+        side, node, times = (rows.column(c).to_numpy() for c in ("side", "node", "times"))
+        unit, code = _unit(_matrix(rows.column("vec"))), _matrix(rows.column("code"), np.int32)
+        found = []
+        for n, a, b in zip(number.tolist(), edges[:-1], edges[1:]):
+            if b - a > 1 and (out := _block(n, side[a:b], node[a:b], times[a:b], unit[a:b], code[a:b])):
+                found.append(out)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)],
+                                             names=["node", "links", "root"])
 
 
-def _linked(nodes: DataFrame, chunk: int) -> DataFrame:
-    """(node, links, root) parts of the vectors of one length."""
+def _linked(nodes: DataFrame, count: int, chunk: int) -> DataFrame:
+    """(node, links, root) parts of the ``count`` vectors of one length."""
     sample = nodes.orderBy("h").limit(SAMPLE).select("vec").collect()
-    codes = fit(_unit(np.array([r.vec for r in sample], np.float64)))
+    tables, bits = shape_of(count)
+    codes = fit(_unit(np.array([r.vec for r in sample], np.float64)), tables, bits)
     indexed = nodes.select("node", "times", "vec").mapInArrow(_index(codes), "node long, times long, vec array<double>, code array<int>")
     indexed = stored(indexed, "codes")
     rows = indexed.select("node", F.posexplode("code").alias("number", "value"))
     sizes = rows.groupBy("number", "value").count().where("count > 1")
-    # Only buckets with company are moved, and vectors join them last.
+    # Only buckets with company are moved.
     shared = rows.join(sizes, ["number", "value"])
     parts = F.ceil(F.col("count") / chunk)
     shared = shared.select("number", "value", "node", parts.cast("int").alias("parts"),
@@ -202,8 +261,13 @@ def _linked(nodes: DataFrame, chunk: int) -> DataFrame:
     units = others.select(
         "number", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node")
-    full = units.join(indexed, "node").select("number", "value", "i", "j", "side", "node", "times", "vec", "code")
-    ordered = full.repartition("number", "value", "i", "j").sortWithinPartitions("number", "value", "i", "j", "node")
+    # The codes first; vectors move only for rows with a near code in their block pair.
+    coded = units.join(indexed.select("node", "code"), "node").select(*_KEY, "side", "node", "code")
+    ordered = coded.repartition(*_KEY).sortWithinPartitions(*_KEY, "node")
+    near = stored(ordered.mapInArrow(_near(DISTANCE * tables * bits), "number int, value int, i int, j int, side int, node long"),
+                  "near_codes")
+    full = near.join(indexed, "node").select(*_KEY, "side", "node", "times", "vec", "code")
+    ordered = full.repartition(*_KEY).sortWithinPartitions(*_KEY, "node")
     return ordered.mapInArrow(_compare, "node long, links long, root long")
 
 
@@ -222,10 +286,10 @@ def link(embeddings: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.count("*").alias("times"), F.min("vec_id").alias("vec_id"), F.first("vec").alias("vec"))
     # A node's number is its hash: it exists without a vec_id too.
     nodes = stored(nodes.withColumn("node", F.xxhash64("h", "h2")), "nodes")
-    widths = sorted(r.n for r in nodes.select(F.size("vec").alias("n")).distinct().collect())
+    widths = sorted(tuple(r) for r in nodes.groupBy(F.size("vec")).count().collect())
     found = rows.sparkSession.createDataFrame([], "node long, links long, root long")
-    for width in widths:
-        found = found.unionAll(_linked(nodes.where(F.size("vec") == width), chunk))
+    for width, count in widths:
+        found = found.unionAll(_linked(nodes.where(F.size("vec") == width), count, chunk))
     found = stored(found, "found")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -58,3 +58,41 @@ def test_odd_rows(spark):
     assert got[None] == (4, None, True)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11))
     assert op.link(frame(spark, [])).count() == 0
+
+
+def test_tables_widen_with_the_vectors():
+    shapes = [op.shape_of(n) for n in (0, 1, 1_000, 100_000, 10**8)]
+    assert [bits for _, bits in shapes] == [16, 16, 16, 20, 30]
+    agree = 1 - np.arccos(op.COSINE) / np.pi
+    for tables, bits in shapes:
+        assert (1 - agree**bits) ** tables <= op.MISSED < (1 - agree**bits) ** (tables - 1)
+
+
+@pytest.mark.parametrize("tables, bits", [op.shape_of(1_000), op.shape_of(10**6)])
+def test_recall_at_the_threshold(tables, bits):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(4_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = op.COSINE * a + np.sqrt(1 - op.COSINE**2) * side
+    codes = op.fit(a, tables, bits)
+    differ = codes.of(a) ^ codes.of(b)
+    assert (differ == 0).any(axis=1).mean() >= 0.95
+    # The distance of whole codes loses none that a table holds.
+    assert (np.bitwise_count(differ).sum(axis=1) <= op.DISTANCE * tables * bits).all()
+
+
+def test_near_codes_equal_plain_loops():
+    rng = np.random.default_rng(4)
+    for number, split in ((0, False), (2, True), (3, False)):
+        code = rng.integers(0, 4, (5, 9, 4)).astype(np.int32)
+        side = rng.integers(0, 2, (5, 9)) if split else np.full((5, 9), 2)
+        got = op._within(number, side, code, 3)
+        for k in range(5):
+            for x in range(9):
+                want = any(
+                    x != y and (not split or side[k, x] != side[k, y]) and not (code[k, x, :number] == code[k, y, :number]).any()
+                    and sum(int(d).bit_count() for d in code[k, x] ^ code[k, y]) <= 3 for y in range(9))
+                assert got[k, x] == want
