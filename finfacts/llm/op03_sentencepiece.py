@@ -1,19 +1,28 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into three machines. The normaliser puts a word mark before the text and turns spaces into
-it. The piece machine is a trie from characters to piece ids, with the byte pieces of a character's UTF-8 form where
-no piece covers it. Both carry tropical weights (costs that add up along a path; the least path wins). A merge model
-(BPE) adds a pair machine: piece b may follow piece a only if merging the text of both leaves exactly a and b.
-A sequence of pieces is the merge result of its text if and only if every neighbouring pair passes this test, so the
-composed machine has exactly one path of finite cost, and the shortest path is the library's own encoding.
-
-An input is composed lazily with the machines and its shortest path taken by position. Inputs are cut only where no
+The model file is compiled into three machines.
+
+* Normaliser: one arc that reads nothing and writes a word mark, then for each character an arc that writes it (a space
+  is written as a word mark).
+* Pieces: a trie from characters to piece ids. A character that no piece covers has an arc of its own that writes the
+  byte pieces of its UTF-8 form, at a cost above all pieces'.
+* Pairs, for merge models (BPE): piece b may follow piece a only if merging the text of both leaves exactly a and b. A
+  sequence of pieces is the merge result of its text if and only if every neighbouring pair passes this test.
+
+Weights are tropical (they add up along a path; the least path wins). In a unigram model an arc's weight is the negated
+score. A merge model's scores only rank its merges: its arcs weigh nothing, and pairs that fail weigh infinity, so the
+composed machine has exactly one finite path, the library's own encoding.
+
+The normaliser is composed with the pieces once. Each input is composed with the result and the pairs while a search
+with a priority queue (least weight, then furthest position) settles states of (position, last piece), until the
+input's end is settled; outputs are read off the arcs of that path. Inputs are cut only where no
 piece can span (before a run of word marks, around line feeds): the path of the whole is the paths of the parts one
-after the other, and parts that recur are looked up in a bounded cache. Texts are never shortened.
+after the other, and parts that recur are looked up in a bounded cache. Texts are never shortened; a part without a
+cut takes memory in proportion to its length.
 
 Null texts give null ids, empty texts no ids. Decoding joins the pieces' bytes, turns word marks into spaces and drops
 the first one. A text that holds the word mark U+2581 itself comes back with a space there; such rows, and only those,
-have ``round_trip`` false. Repeated rows are encoded each.
+have ``round_trip`` false. Repeated rows are encoded each. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +32,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +43,8 @@ from .common import shared, table
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 MARK = "▁"
+#: The position before the normaliser's first arc, and the symbol before the first one (below all characters' symbols).
+BEGIN, NOTHING = -1, -2_000_000
 #: Longest part that the cache keeps, and how many parts one generation of it holds.
 PART_LENGTH, PARTS = 48, 200_000
 #: The format's numbers for kinds of pieces and of models.
@@ -101,6 +113,8 @@ class Machine:
 
     def __init__(self, model: Model):
         self.model = model
+        #: What the normaliser writes for a character it does not copy, and before the first one.
+        self.normal, self.front = {" ": MARK}, MARK
         self.arcs: list[dict[str, int]] = [{}]
         self.final: list[int] = [-1]
         self.score: dict[str, float] = {}
@@ -111,15 +125,28 @@ class Machine:
             elif kind in (NORMAL, USER):
                 self._add(piece, i)
                 self.score[piece] = model.scores[i]
+        self._compose()
         # Cuts are allowed where no piece can span.
         self.cuts = not any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S) for p in self.score)
         worst = min(self.score.values(), default=0.0)
-        self.cost = [-s for s in model.scores]
-        self.unknown_cost = 10.0 - worst
+        self.cost = [0.0 if model.merges else -s for s in model.scores]
+        self.unknown_cost = 0.0 if model.merges else 10.0 - worst
+        if min(self.cost, default=0.0) < 0:
+            raise ValueError("the search needs weights of zero or more")
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.parts = _Parts(self)
+        self.outputs: dict[int, bytes] = {}
+        self.parts, self.first_parts = _Parts(self, 0), _Parts(self, BEGIN)
         self.decoded = [self._bytes(i) for i in range(len(model.pieces))]
 
+    def _compose(self) -> None:
+        """Normaliser and pieces as one machine: its arcs read what the normaliser reads."""
+        for arcs in self.arcs:
+            for read, written in self.normal.items():
+                if written in arcs:
+                    arcs[read] = arcs[written]
+                else:
+                    arcs.pop(read, None)
+
     def _add(self, piece: str, number: int) -> None:
         state = 0
         for char in piece:
@@ -156,112 +183,84 @@ class Machine:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
-    def follows(self, before: int | None, after: int) -> bool:
+    def follows(self, before: int, after: int) -> bool:
         key = (before, after)
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= 1_000_000:
                 self.pairs.clear()
             own = self.text_of(after)
-            if before is None:
-                known = self.merged(own) == [own]
-            else:
-                ahead = self.text_of(before)
-                known = self.merged(ahead + own) == [ahead, own]
-            self.pairs[key] = known
+            ahead = [] if before == NOTHING else [self.text_of(before)]
+            known = self.pairs[key] = self.merged("".join(ahead) + own) == [*ahead, own]
         return known
 
     # -- composition and shortest path
 
     def steps(self, text: str, start: int) -> list[tuple[int, int, float]]:
-        """(end, symbol, cost) of the arcs that leave a position of the input."""
-        out, state, at = [], 0, start
-        single = False
-        while at < len(text):
-            state = self.arcs[state].get(text[at], 0)
+        """(end, symbol, weight) of the arcs that leave a position of the input; before BEGIN + 1 nothing was read."""
+        out, arcs, final, cost = [], self.arcs, self.final, self.cost
+        state, at, n = 0, start, len(text)
+        if start == BEGIN:
+            state, at = arcs[0].get(self.front, 0), 0
+            if not state:
+                n = 0
+            elif final[state] >= 0:
+                out.append((0, final[state], cost[final[state]]))
+        while at < n:
+            state = arcs[state].get(text[at], 0)
             if not state:
                 break
             at += 1
-            piece = self.final[state]
+            piece = final[state]
             if piece >= 0:
-                single |= at == start + 1
-                out.append((at, piece, self.cost[piece]))
-        if not single:
-            out.insert(0, (start + 1, -1 - ord(text[start]), self.unknown_cost))
+                out.append((at, piece, cost[piece]))
+        if not out or out[0][0] != start + 1:
+            char = self.front if start == BEGIN else self.normal.get(text[start], text[start])
+            out.append((start + 1, -1 - ord(char), self.unknown_cost))
         return out
 
-    def shortest(self, text: str) -> list[int]:
-        """Symbols of the path of least cost from the input's start to its end."""
-        n = len(text)
-        # At each position: last symbol -> (cost, position before, symbol before).
-        best: list[dict] = [{} for _ in range(n + 1)]
-        best[0][None] = (0.0, -1, None)
-        merges, pairs, follows = self.model.merges, self.pairs, self.follows
-        for at in range(n):
-            here = best[at]
-            if not here:
-                continue
-            for end, symbol, cost in self.steps(text, at):
-                for last, (sofar, _, _) in here.items():
-                    if merges:
-                        fits = pairs.get((last, symbol))
-                        if not (follows(last, symbol) if fits is None else fits):
-                            continue
-                    known = best[end].get(symbol)
-                    if known is None or sofar + cost < known[0]:
-                        best[end][symbol] = (sofar + cost, at, last)
-        last = min(best[n], key=lambda s: best[n][s][0])
+    def shortest(self, text: str, start: int = BEGIN) -> list[int]:
+        """Symbols of the path of least weight from a start position to the input's end."""
+        n, merges, pairs, follows, steps = len(text), self.model.merges, self.pairs, self.follows, self.steps
+        before: dict[tuple[int, int], tuple] = {}  # settled state -> state before, symbol
+        state, weight = (start, NOTHING), 0.0
+        queue: list[tuple] = []
+        while state[0] < n:
+            for end, symbol, more in steps(text, state[0]):
+                heappush(queue, (weight + more, -end, symbol, state))
+            while True:
+                weight, end, symbol, last = heappop(queue)
+                state = (-end, symbol if merges else 0)
+                if state in before:
+                    continue
+                if merges:
+                    fits = pairs.get((last[1], symbol))
+                    if not (follows(last[1], symbol) if fits is None else fits):
+                        continue
+                break
+            before[state] = (last, symbol)
         out = []
-        at = n
-        while last is not None:
-            out.append(last)
-            _, at, last = best[at][last]
+        while state in before:
+            state, symbol = before[state]
+            out.append(symbol)
         return out[::-1]
 
-    def path(self, text: str) -> list[int]:
-        """``shortest`` for a merge model: its one path of finite cost, found depth first, longest pieces first."""
-        if not self.model.merges:
-            return self.shortest(text)
-        pairs, follows, n = self.pairs, self.follows, len(text)
-        out: list[int] = []
-        at, last = 0, None
-        ways = [self.steps(text, 0)]
-        dead: set[tuple[int, int]] = set()
-        while at < n:
-            options = ways[-1]
-            while options:
-                end, symbol, _ = options.pop()
-                fits = pairs.get((last, symbol))
-                if (follows(last, symbol) if fits is None else fits) and (end, symbol) not in dead:
-                    break
-            else:
-                # No way on from here: this state leads nowhere, whatever came before it.
-                dead.add((at, last))
-                ways.pop()
-                at -= len(self.text_of(out.pop()))
-                last = out[-1] if out else None
-                continue
-            out.append(symbol)
-            at, last = end, symbol
-            ways.append(self.steps(text, at) if at < n else [])
-        return out
+    def output(self, symbol: int) -> bytes:
+        """What an arc writes, as 32-bit ids: a piece, or the byte pieces of an uncovered character."""
+        known = self.outputs.get(symbol)
+        if known is None:
+            written = [symbol] if symbol >= 0 else [self.byte[b] for b in chr(-1 - symbol).encode()]
+            known = self.outputs[symbol] = np.array(written, np.int32).tobytes()
+        return known
 
-    def ids(self, symbols: list[int]) -> np.ndarray:
-        """Piece ids; an uncovered character becomes the pieces of its bytes."""
-        out: list[int] = []
-        for s in symbols:
-            if s >= 0:
-                out.append(s)
-            else:
-                out += [self.byte[b] for b in chr(-1 - s).encode()]
-        return np.array(out, np.int32)
+    def transduce(self, text: str, start: int = BEGIN) -> bytes:
+        return b"".join(map(self.output, self.shortest(text, start)))
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        marked = " " + text.replace(MARK, " ")
-        parts = _PART.findall(marked) if self.cuts else [marked]
-        return np.frombuffer(b"".join(map(self.parts.__getitem__, parts)), np.int32)
+        parts = _PART.findall(text) if self.cuts else [text]
+        return np.frombuffer(self.first_parts[parts[0]] + b"".join(map(self.parts.__getitem__, parts[1:])), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.decoded
@@ -269,22 +268,21 @@ class Machine:
         return data.decode(errors="replace").removeprefix(" ")
 
 
-#: A line feed, spaces with the word behind them, or a word after a line feed.
-_PART = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+#: A line feed, spaces or word marks with the word behind them, or a word after a line feed.
+_PART = re.compile(rf"\n|[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+")
 
 
 class _Parts(dict):
     """Encoded parts (bytes of 32-bit ids) in two generations: what was used lately survives when one is full."""
 
-    def __init__(self, machine: Machine):
+    def __init__(self, machine: Machine, start: int):
         super().__init__()
-        self.machine, self.old = machine, {}
+        self.machine, self.start, self.old = machine, start, {}
 
     def __missing__(self, part: str) -> bytes:
         found = self.old.get(part)
         if found is None:
-            m = self.machine
-            found = m.ids(m.path(part.replace(" ", MARK))).tobytes()
+            found = self.machine.transduce(part, self.start)
         if len(part) <= PART_LENGTH:
             if len(self) >= PARTS:
                 self.old = dict(self)

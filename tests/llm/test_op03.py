@@ -32,11 +32,51 @@ def test_equals_the_library(machine, library):
         assert machine.decode(ids) == text.replace(op.MARK, " ")
 
 
-def test_the_one_path_is_the_shortest(machine):
+def paths(machine, text, at=op.BEGIN, last=op.NOTHING):
+    """Every path of finite weight from a state to the input's end, by plain recursion."""
+    if at == len(text):
+        return [(0.0, [])]
+    return [(weight + more, [symbol, *rest])
+            for end, symbol, weight in machine.steps(text, at) if not machine.model.merges or machine.follows(last, symbol)
+            for more, rest in paths(machine, text, end, symbol)]
+
+
+def test_a_merge_model_has_one_path(machine):
     rng = random.Random(6)
     for _ in range(300):
-        text = op.MARK + "".join(rng.choice("thesaingmorxü的") for _ in range(rng.randint(1, 14)))
-        assert machine.path(text) == machine.shortest(text)
+        text = "".join(rng.choice("thesaingmorxü的 ") for _ in range(rng.randint(1, 14)))
+        assert [p for _, p in paths(machine, text)] == [machine.shortest(text)]
+
+
+def test_a_unigram_model_takes_the_least_weight():
+    rng = random.Random(8)
+    pieces = {op.MARK: -3.0, "a": -2.0, "b": -2.5, "ab": -3.1, "ba": -3.3, op.MARK + "a": -3.9, "aba": -5.0, "bb": -4.6}
+    names = [*pieces, *(f"<0x{i:02X}>" for i in range(256))]
+    model = op.Model(tuple(names), tuple(pieces.get(p, 0.0) for p in names),
+                     tuple(op.NORMAL if p in pieces else op.BYTE for p in names), False)
+    machine = op.Machine(model)
+    for _ in range(200):
+        text = "".join(rng.choice("aabb é") for _ in range(rng.randint(1, 9)))
+        least, _ = min(paths(machine, text))
+        taken = machine.shortest(text)
+        assert sum(machine.cost[s] if s >= 0 else machine.unknown_cost for s in taken) == pytest.approx(least)
+        assert "".join(map(machine.text_of, taken)) == op.MARK + text.replace(" ", op.MARK)
+        assert machine.decode(machine.encode(text)) == text
+
+
+def test_normaliser_and_bytes_are_arcs(machine, library):
+    assert machine.steps("a", op.BEGIN)[0][0] == 0
+    assert machine.steps(" a", 0) == machine.steps(op.MARK + "a", 0)
+    symbols = machine.shortest("\U0001f9ff", 0)
+    assert symbols == [-1 - 0x1F9FF]
+    assert np.frombuffer(machine.output(symbols[0]), np.int32).tolist() == [machine.byte[b] for b in "\U0001f9ff".encode()]
+    assert np.frombuffer(machine.transduce("x \U0001f9ff"), np.int32).tolist() == library.encode("x \U0001f9ff")
+
+
+def test_long_part_without_a_cut(machine, library):
+    rng = random.Random(12)
+    text = "".join(rng.choice("thesaingmor") for _ in range(100_000))
+    assert machine.encode(text).tolist() == library.encode(text)
 
 
 def test_real_texts(documents, library):
@@ -61,8 +101,8 @@ def test_odd_rows(odd_documents, documents_of):
 
 def test_cache_stays_bounded(machine, monkeypatch):
     monkeypatch.setattr(op, "PARTS", 50)
-    parts = op._Parts(machine)
+    parts = op._Parts(machine, 0)
     for i in range(500):
         parts[f" word{i}"]
     assert len(parts) <= 51 and len(parts.old) <= 51
-    assert np.frombuffer(parts[" word3"], np.int32).tolist() == machine.ids(machine.path("▁word3")).tolist()
+    assert parts[" word3"] == machine.transduce("▁word3", 0)
