@@ -135,7 +135,7 @@ class Machine:
             raise ValueError("the search needs weights of zero or more")
         self.pairs: dict[tuple[int, int], bool] = {}
         self.outputs: dict[int, bytes] = {}
-        self.parts, self.first_parts = _Parts(self, 0), _Parts(self, BEGIN)
+        self.parts = _Parts(self)
         self.decoded = [self._bytes(i) for i in range(len(model.pieces))]
 
     def _compose(self) -> None:
@@ -260,7 +260,7 @@ class Machine:
         if not text:
             return np.empty(0, np.int32)
         parts = _PART.findall(text) if self.cuts else [text]
-        return np.frombuffer(self.first_parts[parts[0]] + b"".join(map(self.parts.__getitem__, parts[1:])), np.int32)
+        return np.frombuffer(self.transduce(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:])), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         table = self.decoded
@@ -273,16 +273,17 @@ _PART = re.compile(rf"\n|[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+")
 
 
 class _Parts(dict):
-    """Encoded parts (bytes of 32-bit ids) in two generations: what was used lately survives when one is full."""
+    """Encoded parts behind the first one (bytes of 32-bit ids) in two generations: what was used lately survives
+    when one is full."""
 
-    def __init__(self, machine: Machine, start: int):
+    def __init__(self, machine: Machine):
         super().__init__()
-        self.machine, self.start, self.old = machine, start, {}
+        self.machine, self.old = machine, {}
 
     def __missing__(self, part: str) -> bytes:
         found = self.old.get(part)
         if found is None:
-            found = self.machine.transduce(part, self.start)
+            found = self.machine.transduce(part, 0)
         if len(part) <= PART_LENGTH:
             if len(self) >= PARTS:
                 self.old = dict(self)
