@@ -15,10 +15,10 @@ composed machine has exactly one finite path, the library's own encoding.
 
 The normaliser is composed with the pieces once. Each input is composed with the result and the pairs while a search
 with a priority queue (least weight, then furthest position) settles states of (position, last piece), until the
-input's end is settled; outputs are read off the arcs of that path. Inputs are cut only where no
-piece can span (before a run of word marks, around line feeds): the path of the whole is the paths of the parts one
-after the other, and parts that recur are looked up in a bounded cache. Texts are never shortened; a part without a
-cut takes memory in proportion to its length.
+input's end is settled; outputs are read off the arcs of that path. Inputs are cut only between characters that stand
+side by side in no piece (before a run of word marks, between a letter and a comma): the path of the whole is the paths
+of the parts one after the other, and parts that recur are looked up in a bounded cache. Texts are never shortened; a
+part without a cut takes memory in proportion to its length.
 
 Null texts give null ids, empty texts no ids. Decoding joins the pieces' bytes, turns word marks into spaces and drops
 the first one. A text that holds the word mark U+2581 itself comes back with a space there; such rows, and only those,
@@ -30,7 +30,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
@@ -46,7 +46,7 @@ MARK = "▁"
 #: The position before the normaliser's first arc, and the symbol before the first one (below all characters' symbols).
 BEGIN, NOTHING = -1, -2_000_000
 #: Longest part that the cache keeps, and how many parts one generation of it holds.
-PART_LENGTH, PARTS = 48, 200_000
+PART_LENGTH, PARTS = 48, 400_000
 #: The format's numbers for kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -126,13 +126,14 @@ class Machine:
                 self._add(piece, i)
                 self.score[piece] = model.scores[i]
         self._compose()
-        # Cuts are allowed where no piece can span.
-        self.cuts = not any(re.search(f"[^{MARK}]{MARK}|.\n|\n.", p, re.S) for p in self.score)
+        self.cut = part_pattern(self.score)
         worst = min(self.score.values(), default=0.0)
         self.cost = [0.0 if model.merges else -s for s in model.scores]
         self.unknown_cost = 0.0 if model.merges else 10.0 - worst
         if min(self.cost, default=0.0) < 0:
             raise ValueError("the search needs weights of zero or more")
+        self.longest = max(map(len, self.score), default=1)
+        self.ways = self._ways()
         self.pairs: dict[tuple[int, int], bool] = {}
         self.outputs: dict[int, bytes] = {}
         self.parts = _Parts(self)
@@ -158,6 +159,22 @@ class Machine:
             state = following
         self.final[state] = number
 
+    def _ways(self) -> list[tuple]:
+        """For each state the arcs that its characters take from the start: (length, symbol, weight)."""
+        ways, depth = [()] * len(self.arcs), [0] * len(self.arcs)
+        # A state's number is above that of the state before it.
+        for state, arcs in enumerate(self.arcs):
+            for char, following in arcs.items():
+                depth[following], piece = depth[state] + 1, self.final[following]
+                if piece >= 0:
+                    ways[following] = (*ways[state], (depth[following], piece, self.cost[piece]))
+                else:
+                    ways[following] = ways[state] if state else (self._uncovered(char),)
+        return ways
+
+    def _uncovered(self, char: str) -> tuple[int, int, float]:
+        return 1, -1 - ord(self.normal.get(char, char)), self.unknown_cost
+
     def _bytes(self, i: int) -> bytes:
         kind, piece = self.model.kinds[i], self.model.pieces[i]
         if kind == BYTE:
@@ -196,38 +213,33 @@ class Machine:
 
     # -- composition and shortest path
 
-    def steps(self, text: str, start: int) -> list[tuple[int, int, float]]:
-        """(end, symbol, weight) of the arcs that leave a position of the input; before BEGIN + 1 nothing was read."""
-        out, arcs, final, cost = [], self.arcs, self.final, self.cost
-        state, at, n = 0, start, len(text)
-        if start == BEGIN:
-            state, at = arcs[0].get(self.front, 0), 0
-            if not state:
-                n = 0
-            elif final[state] >= 0:
-                out.append((0, final[state], cost[final[state]]))
-        while at < n:
-            state = arcs[state].get(text[at], 0)
-            if not state:
+    def leaving(self, text: str, start: int) -> tuple:
+        """(length, symbol, weight) of the arcs that leave a position of the input; before BEGIN + 1 nothing was read."""
+        arcs, first = self.arcs, self.front if start == BEGIN else text[start]
+        state = arcs[0].get(first)
+        if state is None:
+            return (self._uncovered(first),)
+        for char in text[start + 1 : start + self.longest]:
+            following = arcs[state].get(char)
+            if following is None:
                 break
-            at += 1
-            piece = final[state]
-            if piece >= 0:
-                out.append((at, piece, cost[piece]))
-        if not out or out[0][0] != start + 1:
-            char = self.front if start == BEGIN else self.normal.get(text[start], text[start])
-            out.append((start + 1, -1 - ord(char), self.unknown_cost))
-        return out
+            state = following
+        return self.ways[state]
+
+    def steps(self, text: str, start: int) -> list[tuple[int, int, float]]:
+        """The same arcs as (end, symbol, weight)."""
+        return [(start + length, symbol, weight) for length, symbol, weight in self.leaving(text, start)]
 
     def shortest(self, text: str, start: int = BEGIN) -> list[int]:
         """Symbols of the path of least weight from a start position to the input's end."""
-        n, merges, pairs, follows, steps = len(text), self.model.merges, self.pairs, self.follows, self.steps
+        n, merges, pairs, follows, leaving = len(text), self.model.merges, self.pairs, self.follows, self.leaving
         before: dict[tuple[int, int], tuple] = {}  # settled state -> state before, symbol
         state, weight = (start, NOTHING), 0.0
         queue: list[tuple] = []
         while state[0] < n:
-            for end, symbol, more in steps(text, state[0]):
-                heappush(queue, (weight + more, -end, symbol, state))
+            at = state[0]
+            for length, symbol, more in leaving(text, at):
+                heappush(queue, (weight + more, -at - length, symbol, state))
             while True:
                 weight, end, symbol, last = heappop(queue)
                 state = (-end, symbol if merges else 0)
@@ -259,7 +271,7 @@ class Machine:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        parts = _PART.findall(text) if self.cuts else [text]
+        parts = self.cut.findall(text)
         return np.frombuffer(self.transduce(parts[0]) + b"".join(map(self.parts.__getitem__, parts[1:])), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -268,8 +280,27 @@ class Machine:
         return data.decode(errors="replace").removeprefix(" ")
 
 
-#: A line feed, spaces or word marks with the word behind them, or a word after a line feed.
-_PART = re.compile(rf"\n|[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+")
+def part_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Parts that no piece leaves: a run of spaces and word marks, and behind it a run of characters that pieces link
+    (directly or by others), or one character that they do not."""
+    linked: dict[str, str] = {}
+
+    def root(char: str) -> str:
+        while linked.setdefault(char, char) != char:
+            linked[char] = char = linked[linked[char]]
+        return char
+
+    for piece in pieces:
+        body = piece.lstrip(MARK)
+        if MARK in body:
+            return re.compile(".+", re.S)
+        for one, other in zip(body, body[1:]):
+            linked[root(one)] = root(other)
+    classes: dict[str, list[str]] = {}
+    for char in sorted(linked):
+        classes.setdefault(root(char), []).append(char)
+    runs = [f"[{re.escape(''.join(chars))}]+" for chars in sorted(classes.values(), key=len, reverse=True)]
+    return re.compile(f"[ {MARK}]*(?:{'|'.join([*runs, '.'])})", re.S)
 
 
 class _Parts(dict):

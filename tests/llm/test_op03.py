@@ -106,3 +106,39 @@ def test_cache_stays_bounded(machine, monkeypatch):
         parts[f" word{i}"]
     assert len(parts) <= 51 and len(parts.old) <= 51
     assert parts[" word3"] == machine.transduce("▁word3", 0)
+
+
+def test_parts_are_cut_wherever_no_piece_spans(machine, library):
+    text = "reading, (reading) reading... x1reading\nreading  \n \u0434\u0430reading "
+    parts = machine.cut.findall(text)
+    assert "".join(parts) == text
+    assert parts[:7] == ["reading", ",", " (", "reading", ")", " reading", "..."]
+    joined = {pair for piece in machine.score for pair in zip(piece, piece[1:])}
+    for one, other in zip(parts, parts[1:]):
+        pair = one[-1].replace(" ", op.MARK), other[0].replace(" ", op.MARK)
+        assert pair not in joined
+    assert machine.encode(text).tolist() == library.encode(text)
+
+
+def test_words_with_new_signs_behind_them_are_searched_once(machine, monkeypatch):
+    own = op._Parts(machine)
+    monkeypatch.setattr(machine, "parts", own)
+    searched = []
+    shortest = machine.shortest
+    monkeypatch.setattr(machine, "shortest", lambda text, *start: searched.append(text) or shortest(text, *start))
+    machine.encode("x" + "".join(f" freinedes{sign}" for sign in ["", ",", ".", "!!", "###", "&&&", "%%%"]))
+    assert searched.count(" freinedes") == 1 and not any("freinedes" in t and t != " freinedes" for t in searched)
+
+
+def test_pieces_that_span_marks_or_lines_are_never_cut():
+    def machine_of(*pieces):
+        names = [*pieces, *(f"<0x{i:02X}>" for i in range(256))]
+        return op.Machine(op.Model(tuple(names), (-1.0,) * len(names),
+                                   tuple(op.NORMAL if p in pieces else op.BYTE for p in names), False))
+
+    spanning = machine_of(op.MARK, "a", "b", "a" + op.MARK + "b")
+    assert spanning.cut.findall("a b\na") == ["a b\na"]
+    assert spanning.encode("a b").tolist() == [0, 3]
+    lines = machine_of(op.MARK, "a", "\n", "a\n", "]", "-^")
+    assert lines.cut.findall("a\na ]-^") == ["a\na", " ]", "-^"]
+    assert lines.encode("a\na").tolist() == [0, 3, 1]
