@@ -1,6 +1,7 @@
 """Operators whose terms, bands, rules, definitions and keywords are tables."""
 
 import random
+from bisect import bisect_right
 from datetime import date
 
 import pytest
@@ -102,6 +103,29 @@ def test_bands_without_bounds_or_rows(spark):
     assert count(one(1, 1.0, 1.0)) == 1 and count(one(1, 1.0, 1.0).where("false")) == 0
 
 
+def test_nested_size_bands_move_each_value_once(spark, monkeypatch):
+    # Wide bands around one another, some open: each would stand in most blocks, so the blocks must get wider.
+    rng = random.Random(7)
+    bands = []
+    for i in range(600):
+        low = rng.choice([None, rng.random() * 500])
+        bands.append((i, low, rng.choice([None, (low or 0) + rng.random() * 900])))
+    values = [rng.random() * 1200 for _ in range(300)]
+    frame = spark.createDataFrame(bands, "band int, lo double, hi double")
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    found = intervals.band_join(rows, F.col("v"), frame, high_closed=False)
+    # The values' side of the join has no rows made from rows; only the bands are laid out.
+    assert plan(found).count("Generate explode(") == 1 and no_pairs(found)
+    assert sorted((r.v, r.band) for r in found.collect()) == bands_by_hand(values, bands, True, False)
+    monkeypatch.setattr(intervals, "PLACES", 0)
+    fences = intervals._fences(frame.select(F.col("lo").alias("__low"), F.col("hi").alias("__high")), 25_000)
+    block = lambda x: bisect_right(fences, x)
+    places = sum((len(fences) if hi is None else block(hi)) - (0 if lo is None else block(lo)) + 1 for _, lo, hi in bands)
+    assert len(fences) > 5 and places < 10 * len(bands)
+    found = intervals.band_join(rows, F.col("v"), frame, high_closed=False)
+    assert sorted((r.v, r.band) for r in found.collect()) == bands_by_hand(values, bands, True, False)
+
+
 # ---------------------------------------------------------------- rules and dates
 
 def test_rules_by_code_and_for_all(spark):
