@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finfacts.functions.phrases import Matcher, pattern
-from finfacts.operators import asof, intervals, questions as qn, ratios, terms
+from finfacts.operators import asof, facts as fx, intervals, questions as qn, ratios, terms
 from finfacts.sources.panel import facts, line_items
 
 
@@ -126,6 +126,20 @@ def test_nested_size_bands_move_each_value_once(spark, monkeypatch):
     assert sorted((r.v, r.band) for r in found.collect()) == bands_by_hand(values, bands, True, False)
 
 
+def test_values_at_the_edges_of_narrow_bands(spark):
+    # Ties, both zeros, infinite values and bounds, values beyond all bounds; each fact goes to one block.
+    inf = float("inf")
+    bands = [(i, i / 100, i / 100 + i % 5 / 500) for i in range(400)]
+    bands += [(900, -0.0, -0.0), (901, None, 0.0), (902, 3.5, None), (903, -inf, -1.0), (904, 2.0, inf), (905, inf, inf),
+              (906, 5.0, 4.0), (907, float("nan"), 9.0), (908, 1.0, 1.0), (908, 1.0, 1.0), (909, None, None)]
+    values = [None, 0.0, -0.0, inf, -inf, -5.0, 99.0, 1.0, 1.0, 4.0, *[i / 250 for i in range(0, 1100, 3)]]
+    facts_ = spark.createDataFrame([("a", v) for v in [*values, float("nan")]], "code string, value_num double")
+    found = fx.values_in_bands(facts_, spark.createDataFrame(bands, "band int, lo double, hi double"))
+    assert plan(found).count("Generate explode(") == 1 and no_pairs(found)
+    sound = [b for b in bands if b[1] is None or b[1] == b[1]]
+    assert sorted((r.value_num, r.band) for r in found.collect()) == bands_by_hand(values, sound, True, True)
+
+
 # ---------------------------------------------------------------- rules and dates
 
 def test_rules_by_code_and_for_all(spark):
